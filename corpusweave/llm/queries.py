@@ -3,10 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusweave.runtime import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.survivors import paper_survivors, store_survivors
+
+    def led(found, name: str) -> DataFrame:
+        return found.chosen.select(F.lit(name).alias("table_name"), F.col("__key").alias("group_key"), F.col("anchor_row").alias("row_id"))
+
+    papers = led(paper_survivors(table(spark, folder, "papers")), "papers")
+    return papers.unionByName(led(store_survivors(table(spark, folder, "live_store")), "live_store"))
+
+
+def p1_papers(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.survivors import paper_survivors
+
+    return paper_survivors(table(spark, folder, "papers")).records()
+
+
+def p1_store(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.survivors import store_survivors
+
+    return store_survivors(table(spark, folder, "live_store")).records()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from corpusweave.llm.neardup import similar_papers
 
@@ -19,6 +42,45 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return store_groups(table(spark, folder, "live_store"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found)}
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.packing import pack
+    from corpusweave.llm.splitting import size_limit
+
+    capacity, _ = size_limit(table(spark, folder, "size_limits"), "context_2k")
+    return pack(table(spark, folder, "documents"), capacity)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_shares(spark, folder).where("unreachable").select("source")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.splitting import size_limit, split_oversized
+
+    capacity, overlap = size_limit(table(spark, folder, "size_limits"), "context_2k")
+    pieces = split_oversized(table(spark, folder, "documents"), capacity, overlap, oversized_only=True, with_text=False)
+    return pieces.where("piece_no = 0 and n_pieces > 1").select("doc_id")
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.splitting import size_limit, split_oversized
+
+    capacity, overlap = size_limit(table(spark, folder, "size_limits"), "context_2k")
+    return split_oversized(table(spark, folder, "documents"), capacity, overlap, oversized_only=True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p3_found, p4_found, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
 
 SQL: dict[str, str] = {}
