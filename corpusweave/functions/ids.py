@@ -21,11 +21,20 @@ def id_version(col: Column) -> Column:
 
 
 def parse_time(col: Column) -> Column:
-    """Timestamp (UTC) from ISO text with `Z`, an offset, a space or a date only, or from RFC 822 text; else null."""
+    """Timestamp from ISO text with `Z`, an offset, a space or a date only, or from RFC 822 text; else null.
+
+    Text without a zone is UTC, whatever the session's zone. Each form is recognised before it is parsed, so no row
+    pays for a failed attempt at another form.
+    """
     s = F.trim(col)
-    return F.coalesce(
-        F.try_to_timestamp(s),
-        F.try_to_timestamp(F.regexp_replace(s, r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss z")),
+    return (
+        F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(F.concat(s, F.lit("T00:00:00Z"))))
+        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.try_to_timestamp(F.concat(s, F.lit("Z"))))
+        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}[ T]"), F.try_to_timestamp(s))
+        .when(
+            s.rlike(r"^[A-Za-z]{3}, \d"),
+            F.try_to_timestamp(F.regexp_replace(s, r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss z")),
+        )
     )
 
 
