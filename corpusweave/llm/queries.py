@@ -30,6 +30,16 @@ def p1_store(spark: SparkSession, folder: str) -> DataFrame:
     return store_survivors(table(spark, folder, "live_store")).records()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_matches(spark, folder).select("record_id", "paper_id")
+
+
+def p2_matches(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.matching import match_records
+
+    return match_records(table(spark, folder, "source_records"), table(spark, folder, "live_store"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from corpusweave.llm.neardup import similar_papers
 
@@ -81,6 +91,6 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), capacity, overlap, oversized_only=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p3_found, p4_found, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
 
 SQL: dict[str, str] = {}
