@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.runtime import table
+from corpusweave.runtime import Staging, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,6 +52,18 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return store_groups(table(spark, folder, "live_store"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.bisecting import cluster_vectors, mislabelled
+
+    return mislabelled(Staging(spark).write(cluster_vectors(table(spark, folder, "bundle")), "clustered"))
+
+
+def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.bisecting import cluster_vectors, describe
+
+    return describe(Staging(spark).write(cluster_vectors(table(spark, folder, "bundle")), "clustered"))
+
+
 def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     from corpusweave.llm.packing import pack
     from corpusweave.llm.splitting import size_limit
@@ -91,6 +103,6 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), capacity, overlap, oversized_only=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
 
 SQL: dict[str, str] = {}
