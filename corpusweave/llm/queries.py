@@ -64,6 +64,18 @@ def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return describe(Staging(spark).write(cluster_vectors(table(spark, folder, "bundle")), "clustered"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.forest import similar_pairs
+
+    return similar_pairs(table(spark, folder, "bundle")).select("vec_id_a", "vec_id_b")
+
+
+def p6_knn(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.forest import nearest_neighbours
+
+    return nearest_neighbours(table(spark, folder, "bundle"))
+
+
 def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     from corpusweave.llm.packing import pack
     from corpusweave.llm.splitting import size_limit
@@ -103,6 +115,6 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), capacity, overlap, oversized_only=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p6_found, p6_knn, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
 
 SQL: dict[str, str] = {}
