@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusweave.functions.text import PHRASE_STOP, bigrams, phrase_query, phrase_text, search_tokens
 
@@ -82,8 +83,7 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-@F.pandas_udf("double")
-def min_span(text: pd.Series, words: pd.Series) -> pd.Series:
+def min_span(text: Column, words: Column) -> Column:
     """Length of the shortest run of a text's tokens that holds all the words; null if there is none."""
     def shortest(tokens: str, wanted: list[str]) -> float | None:
         last: dict[str, int] = {}
@@ -97,7 +97,10 @@ def min_span(text: pd.Series, words: pd.Series) -> pd.Series:
                     best = span if best is None else min(best, span)
         return best
 
-    return pd.Series([shortest(t, list(w)) if t is not None and w is not None and len(w) else None for t, w in zip(text, words)], dtype="float64")
+    def run(text: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([shortest(t, list(w)) if t is not None and w is not None and len(w) else None for t, w in zip(text, words)], dtype="float64")
+
+    return F.pandas_udf(run, T.DoubleType())(text, words)
 
 
 def phrase_levels(docs: DataFrame, id_col: str, title: Column, abstract: Column, phrases: list[tuple[int, str]], window: int = 8) -> DataFrame:
