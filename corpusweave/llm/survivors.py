@@ -170,7 +170,7 @@ def paper_survivors(papers: DataFrame) -> Survivors:
 
 def source_count(col: Column) -> Column:
     """Distinct names in a `;` list, case and spaces aside."""
-    return F.size(F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(col, F.lit(""))), ";"), F.trim), lambda x: x != "")))
+    return F.size(F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(col, F.lit(""))), ";"), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def store_survivors(store: DataFrame) -> Survivors:
