@@ -57,7 +57,7 @@ def enrich_groups(df: DataFrame, key: str, seq: str, first: list[str], longest:
     First and longest values are minima and maxima of structs, lists are sets of their few names: all of it is
     aggregated partially before the shuffle."""
     filled = lambda c: F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "", F.col(c))
-    names = lambda c: F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), ";"), F.trim), lambda x: x != "")
+    names = lambda c: F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), ";"), lambda x: F.trim(x)), lambda x: x != "")
     return df.groupBy(key).agg(
         *(F.min_by(filled(c), F.when(filled(c).isNotNull(), F.col(seq))).alias(c) for c in first),
         *(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.length(c), -F.col(seq)))).alias(c) for c in longest),

@@ -147,7 +147,7 @@ def bibtex(df: DataFrame) -> DataFrame:
     """(entry): a BibTeX entry per row of (paper_id, title, authors, year, url)."""
     esc = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[{}]", "")
     key = F.regexp_replace("paper_id", r"[^A-Za-z0-9]+", "_")
-    authors = F.array_join(F.filter(F.transform(F.split(esc("authors"), ";"), F.trim), lambda x: x != ""), " and ")
+    authors = F.array_join(F.filter(F.transform(F.split(esc("authors"), ";"), lambda x: F.trim(x)), lambda x: x != ""), " and ")
     fields = [("title", esc("title")), ("author", authors), ("year", esc("year")), ("url", esc("url"))]
     body = F.concat_ws(",\n", *(F.when(v != "", F.concat(F.lit(f"  {n} = {{"), v, F.lit("}"))) for n, v in fields))
     return df.select(F.concat(F.lit("@article{"), key, F.lit(",\n"), body, F.lit("\n}")).alias("entry"))
