@@ -74,12 +74,14 @@ def cut_points(strengths: np.ndarray, capacity: int, overlap: int) -> list[tuple
     while n - start > capacity:
         end = best.query(start + max(capacity // 2, overlap + 1), start + capacity)
         if allowed[end] < 0:
-            while strengths[end] < 0:
+            end = start + capacity
+            while strengths[end] < 0 and end > start + 1:
                 end -= 1
         out.append((start, end))
-        start = end - overlap
-        while strengths[start] < 0:
-            start -= 1
+        after = end - overlap
+        while strengths[after] < 0 and after > start:
+            after -= 1
+        start = after if after > start else end
     out.append((start, n))
     return out
 
@@ -97,10 +99,10 @@ def split_text(text: str, tok: Tokenizer, capacity: int, overlap: int) -> list[t
     strengths, limit = boundary_strengths(data, ends), capacity
     while True:
         pieces = [(a, b, int(ends[a]), int(ends[b])) for a, b in cut_points(strengths, limit, overlap)]
-        excess = max(len(tok.encode(data[x:y].decode())) for _, _, x, y in pieces) - capacity
-        if excess <= 0:
+        excess = max(len(tok.encode(data[x:y].decode(errors="replace"))) for _, _, x, y in pieces) - capacity
+        if excess <= 0 or limit <= max(8, 2 * overlap + 2):
             return pieces
-        limit -= excess
+        limit = max(limit - excess, 8, 2 * overlap + 2)
 
 
 def split_oversized(
