@@ -20,9 +20,18 @@ WIDE = 128
 
 @dataclass
 class Tree:
-    """splits[p] = (left node, right node, left centre, right centre), parents before children."""
+    """splits[p] = (left node, right node, left centre, right centre), parents before children.
+
+    The tree is over the vectors outside the radius of all known centres."""
 
     splits: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    known: np.ndarray | None = None
+    radius: float = 1.0
+
+    def outside(self, x: np.ndarray) -> np.ndarray:
+        if self.known is None or not len(self.known):
+            return x
+        return x[(x @ self.known.T).max(1) < self.radius]
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), np.int64)
@@ -50,7 +59,7 @@ def _moments(points: DataFrame, dim: int, tree: Tree, nodes: set[int]) -> dict[i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = matrix(batch.column("v"), dim)
+            x = tree.outside(matrix(batch.column("v"), dim))
             node = tree.assign(x)
             for p in nodes.intersection(node.tolist()):
                 y = x[node == p]
@@ -67,7 +76,7 @@ def _halves(points: DataFrame, dim: int, tree: Tree, trial: dict[int, tuple[np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = matrix(batch.column("v"), dim)
+            x = tree.outside(matrix(batch.column("v"), dim))
             node = tree.assign(x)
             for p, (a, b) in trial.items():
                 y = x[node == p]
@@ -115,9 +124,20 @@ def fit_centres(
     `lloyd` passes. Every pass covers all vectors; only sums per node, of a size set by `dim` and `max_leaves`, reach
     the driver. A cluster cut in two by an early split has leaves of nearly equal direction: leaves whose centres have
     a cosine of `merge` are joined, then centres are moved to the mean of the vectors within `radius`. Clusters of
-    fewer than `least` vectors within the radius are noise.
+    fewer than `least` vectors within the radius are noise. A compact leaf may still hide a small cluster beside a large
+    one: the vectors outside the radius of all centres are bisected again, until that finds no further centre.
     """
-    tree, open_nodes, leaves, next_id = Tree(), {0}, {}, 1
+    centres = np.zeros((0, dim))
+    while True:
+        found = _bisect(points, dim, Tree(known=centres, radius=radius), compact, least, max_leaves, lloyd, merge)
+        after = _refined(points, dim, np.concatenate([centres, found]), radius, least, merge)
+        if len(after) <= len(centres):
+            return after if len(after) else centres
+        centres = after
+
+
+def _bisect(points: DataFrame, dim: int, tree: Tree, compact: float, least: int, max_leaves: int, lloyd: int, merge: float) -> np.ndarray:
+    open_nodes, leaves, next_id = {0}, {}, 1
     while open_nodes:
         trial: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sizes = _moments(points, dim, tree, open_nodes)
@@ -153,7 +173,11 @@ def fit_centres(
             sums[like[0]] = sums[like[0]] + s
         else:
             sums.append(s.copy())
-    centres = np.array([_unit(s) for s in sums]).reshape(-1, dim)
+    return np.array([_unit(s) for s in sums]).reshape(-1, dim)
+
+
+def _refined(points: DataFrame, dim: int, centres: np.ndarray, radius: float, least: int, merge: float) -> np.ndarray:
+    """Centres moved to the mean of the vectors within their radius; those with too few or like a larger one go."""
     for _ in range(3):
         if not len(centres):
             break

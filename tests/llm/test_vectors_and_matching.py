@@ -160,7 +160,7 @@ def test_matches(spark):
 def test_hot_surname_and_word_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(M, "HOT_KEY", 5)
     rng = random.Random(6)
-    words = [f"term{i:02d}" for i in range(40)]
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(40)]
     titles = [" ".join(["common", *rng.sample(words, 6)]) for _ in range(60)]
     store = spark.createDataFrame([(f"p{i:03d}", t, "Ana Lee", 2010 + i % 3) for i, t in enumerate(titles)], "paper_id string, title string, authors string, year int")
     records = spark.createDataFrame([(i, t, "Lee, A.", 2010 + i % 3) for i, t in enumerate(titles)], "record_id long, title string, authors string, year int")
