@@ -116,7 +116,7 @@ def test_growth_of_a_planted_cluster(spark):
     rng = np.random.default_rng(3)
     rows = []
     for m in range(36):
-        for c, rate in ((0, 20 * 1.06**m), (1, 60)):
+        for c, rate in ((0, 20 * 1.06**m), (1, 400)):
             for _ in range(int(rng.poisson(rate))):
                 rows.append((dt.datetime(2021 + m // 12, m % 12 + 1, int(rng.integers(1, 28))), c))
     df = spark.createDataFrame(rows, "date timestamp_ntz, cluster_id int")
