@@ -117,4 +117,31 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p6_found, p6_knn, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
 
-SQL: dict[str, str] = {}
+_BARE = r"nullif(regexp_extract({0}, '(\d{{4}}\.\d{{4,5}})(?:v\d+)?\s*$', 1), '')"
+_TIME = (
+    "coalesce(try_strptime(last_updated, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(last_updated, '%Y-%m-%d'), try_strptime(last_updated, '%Y-%m-%d %H:%M:%S'), "
+    "try_strptime(last_updated, '%a, %d %b %Y %H:%M:%S GMT'), (try_cast(last_updated as timestamptz) at time zone 'UTC'))"
+)
+_NAME = (
+    r"(select case when not regexp_matches(d, '(^|[/: ])10\.\d{{4,9}}/[^\s]+$') or regexp_matches(d, '(^|[/: ])10\.0+/') then null "
+    r"when regexp_matches(d, '10\.48550/arxiv\.\d{{4}}\.\d{{4,5}}(v\d+)?$') then 'id:' || regexp_extract(d, '10\.48550/arxiv\.(\d{{4}}\.\d{{4,5}})(?:v\d+)?$', 1) "
+    r"else 'doi:' || regexp_extract(d, '(?:^|[/: ])(10\.\d{{4,9}}/[^\s]+)$', 1) end from (select lower(trim(regexp_replace({0}, '\s+', ' ', 'g'))) as d))"
+)
+
+#: The same results in SQL where SQL can say them on whole tables. Sizes in characters stand in for tokens in p8: the
+#: outcome is the same for any measure of size.
+SQL: dict[str, str] = {
+    "p1_found": f"""with p as (select row_id, {_BARE.format('arxiv_id')} as k, coalesce(version, try_cast(nullif(regexp_extract(arxiv_id, 'v(\\d+)\\s*$', 1), '') as int), 1) as v, {_TIME} as t from papers),
+  s as (select row_id, paper_id as k, len(list_distinct(list_filter(list_transform(string_split(lower(sources), ';'), lambda x: trim(x)), lambda x: x <> ''))) as v, added_at as t from live_store),
+  a as (select 'papers' as table_name, * from p union all select 'live_store', * from s)
+  select table_name, k as group_key, row_id from (select *, count(*) over (partition by table_name, k) as n, row_number() over (partition by table_name, k order by v desc, t desc nulls last, row_id) as rn from a where k is not null) where n > 1 and rn = 1""",
+    "p4_found": f"""with recursive n as (select paper_id, unnest([{_NAME.format('doi')}, 'id:' || {_BARE.format('arxiv_id')}, case when paper_id ilike 'doi:%' then {_NAME.format('paper_id')} end,
+    case when not regexp_matches(paper_id, '^[a-zA-Z_]+:') then 'id:' || {_BARE.format('paper_id')} end]) as name from live_store),
+  m as (select distinct paper_id, name from n where name is not null), e as (select distinct a.paper_id as a, b.paper_id as b from m a join m b using (name)),
+  r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+  select a as paper_id, min(b) as group_id from r group by 1 having count(distinct b) > 1""",
+    "p6_found": """with u as (select vec_id, list_transform(embeddings, lambda x: x::double) as v from bundle where len(embeddings) = 64 and list_sum(list_transform(embeddings, lambda x: abs(x))) > 0)
+  select a.vec_id as vec_id_a, b.vec_id as vec_id_b from u a join u b on a.vec_id < b.vec_id where list_dot_product(a.v, b.v) >= 0.95 * sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))""",
+    "p8_found": r"""with s as (select regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g') as source, sum(length(text)) as n from documents group by 1)
+  select t.source from mix_targets t left join s using (source) where t.max_repeats * coalesce(n, 0) < t.target_share * (select sum(n) from s)""",
+}
