@@ -90,6 +90,20 @@ def test_papers_pair_across_ids_only(spark):
     assert got == {("2401.00001", "2402.00002"), ("2401.00001", "2404.00004"), ("2402.00002", "2404.00004")}
 
 
+def test_copies_above_the_hot_share_pair_across_all_ids(spark):
+    rng = random.Random(11)
+    base = [rng.choice(WORDS) for _ in range(80)]
+    near = " ".join([*base[:-3], "other", "last", "words"])
+    rows = [(i, f"2401.{i:05d}", " ".join(base)) for i in range(60)]
+    rows += [(i, f"2401.{i:05d}", near) for i in (60, 61, 62)]
+    rows += [(i, f"2401.{i:05d}", " ".join(rng.choice(WORDS) for _ in range(80))) for i in range(63, 70)]
+    df = spark.createDataFrame([(i, a, None, t) for i, a, t in rows], "row_id long, arxiv_id string, title string, abstract string")
+    got = {tuple(r) for r in similar_papers(df).collect()}
+    assert got == {(rows[i][1], rows[j][1]) for j in range(63) for i in range(j)}
+    copies = {r.id: r.rep for r in near_duplicates(df.selectExpr("row_id as id", "abstract as text")).copies.collect()}
+    assert copies == {i: 0 for i in range(1, 60)} | {61: 60, 62: 60}
+
+
 def brute_components(pairs):
     label = {n: n for p in pairs for n in p}
     for _ in label:
