@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.ids import bare_id, normalize_doi
 from corpusweave.functions.text import title_key
+from corpusweave.operators.graph import components
 
 #: A shorter title identifies nothing.
 LEAST_TITLE = 12
@@ -66,6 +67,21 @@ def enrich_groups(df: DataFrame, key: str, seq: str, first: list[str], longest:
     )
 
 
+def resolve(records: DataFrame, seq: str) -> DataFrame:
+    """(seq, entity): every record with the least seq of the records it is linked to, directly or not.
+
+    Records are linked that share a DOI or a paper id, or a title in the same year or in years side by side. The records
+    of a key in their own year form a star, and those of the years beside it are tied to its centre, so edges stay
+    fewer than keys; years two apart are linked only through a record between them.
+    """
+    own = with_keys(records, False).select(seq, F.explode("keys").alias("key"))
+    wide = with_keys(records, True).select(seq, F.explode("keys").alias("key"))
+    centre = own.groupBy("key").agg(F.min(seq).alias("src"))
+    ties = wide.join(centre, "key").where(F.col(seq) != F.col("src")).select("src", F.col(seq).alias("dst"))
+    comp = components(ties).select(F.col("node").alias(seq), "component")
+    return records.select(seq).join(comp, seq, "left").select(seq, F.coalesce("component", seq).alias("entity"))
+
+
 def merge_in_order(records: DataFrame, batch: str, seq: str) -> DataFrame:
     """(batch, seq, entity): records of one fetched batch merged greedily in order, as `entity`, its first record's seq.
 

@@ -75,9 +75,9 @@ def live_store_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @_R.add()
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy merging within pages of a hundred fetched records; a page is what one search returns."""
-    r = table(spark, d, "source_records").withColumn("page", F.floor((F.col("record_id") - 1) / 100))
-    return S.merge_in_order(r, "page", "record_id")
+    """Connected components of all fetched records over their identity keys."""
+    r = table(spark, d, "source_records").select("record_id", "doi", "arxiv_id", "title", "year")
+    return S.resolve(r, "record_id")
 
 
 @_R.add()

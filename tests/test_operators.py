@@ -12,6 +12,7 @@ from corpusweave.config import ConfigError, load_config
 from corpusweave.functions import text as X
 from corpusweave.functions.ids import bare_id, normalize_doi, parse_time
 from corpusweave.operators import acronyms, clusters, graph, growth, ingest, leads, livestore, retrieval, validation
+from corpusweave.plans import catalogue
 from corpusweave.sources import files, rest
 from corpusweave.sources.store import PaperStore, Releases
 from corpusweave.sources.synthetic import synthetic_papers
@@ -151,6 +152,16 @@ def test_records_merge_in_order(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}
 
 
+def test_entities_resolve_across_pages(spark, tmp_path):
+    t = "A long enough title"
+    rows = [(1, "10.1234/a", None, "x", 2020), (2, None, None, t, 2020), (3, None, None, t, 2023), (4, None, None, "Another title entirely", 2020), (5, None, None, "Another title entirely", 2022), (6, None, "2401.00001", "z", None), (7, None, None, None, None)]
+    rows += [(201, "10.1234/A", None, "y", 2020), (302, None, None, t, 2021), (406, "10.48550/arXiv.2401.00001", None, "w", None), (507, None, None, None, None)]
+    df = spark.createDataFrame(rows, "record_id long, doi string, arxiv_id string, title string, year int")
+    df.write.parquet(str(tmp_path / "source_records.parquet"))
+    got = {r.record_id: r.entity for r in catalogue.QUERIES["entity_resolution"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 201: 1, 302: 2, 406: 6, 507: 507}
+
+
 def test_snapshot_and_oai(spark, tmp_path):
     line = {"id": "2401.00001", "title": "T", "abstract": "A", "categories": "cs.LG", "authors_parsed": [["Lee", "Ana"]], "versions": [{"created": "Wed, 1 May 2024 10:00:00 GMT"}, {"created": "Thu, 2 May 2024 10:00:00 GMT"}]}
     (tmp_path / "s.json").write_text(json.dumps(line) + "\n" + json.dumps(line | {"categories": "math.ST"}) + "\n")
