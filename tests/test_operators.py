@@ -152,6 +152,25 @@ def test_records_merge_in_order(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}
 
 
+def test_dbscan_joins_dense_clumps_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    at = lambda d: [float(np.cos(d)), float(np.sin(d)), 0.0]
+    v = [at(0.0)] * 80 + [at(0.4)] * 80 + [at(0.8)] + [at(2.5)] * 3 + rng.normal(size=(60, 3)).tolist()
+    x = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    near = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)) <= 0.5
+    core = near.sum(1) >= 5
+    label = np.where(core, np.arange(len(v)), -1)
+    for _ in v:
+        label = np.where(core, [min(label[(near[i] & core)], default=-1) for i in range(len(v))], -1)
+    for i in np.flatnonzero(~core & (near & core).any(1)):
+        label[i] = label[np.where(near[i] & core, np.round(x[i] @ x.T, 12), -2).argmax()]
+    names = {c: k for k, c in enumerate(sorted(set(label[core])))}
+    df = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>")
+    for block in (2048, 50):
+        got = {r.id: r.cluster_id for r in clusters.dbscan(df, 0.5, 5, 3, block=block).collect()}
+        assert got == {i: names.get(c, -1) for i, c in enumerate(label)} and got[0] == got[80] == got[160]
+
+
 def test_entities_resolve_across_pages(spark, tmp_path):
     t = "A long enough title"
     rows = [(1, "10.1234/a", None, "x", 2020), (2, None, None, t, 2020), (3, None, None, t, 2023), (4, None, None, "Another title entirely", 2020), (5, None, None, "Another title entirely", 2022), (6, None, "2401.00001", "z", None), (7, None, None, None, None)]
