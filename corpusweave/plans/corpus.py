@@ -183,6 +183,17 @@ def stale_records(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_id", enrich.is_stale(F.to_date("added_at"), today, age, F.col("has_vec"), F.lit(1), 1).alias("stale"))
 
 
+@_R.add("""select row_id, case when since is null then true when not has_vec then since >= 14 when age < 91 then since >= 7 when age < 730 then since >= 30 else since >= 90 end as stale from
+  (select row_id, has_vec, datediff('day', added_at::date, date '2025-06-01') as since, datediff('day', coalesce(try_cast(date as date), try_cast(date || '-01' as date), try_cast(date || '-01-01' as date)), date '2025-06-01') as age from live_store)""")
+def stale_records_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the store; `stale_records` leaves out, as its SQL does, those without a full date.
+
+    A year or a month counts from its first day; a row without a readable date is refreshed as the oldest are."""
+    today = F.lit("2025-06-01").cast("date")
+    age = F.date_diff(today, F.col("date").try_cast("date"))
+    return table(spark, d, "live_store").select("row_id", enrich.is_stale(F.to_date("added_at"), today, age, F.col("has_vec"), F.lit(1), 1).alias("stale"))
+
+
 @_R.add(r"""select row_id, case when regexp_matches(d, '(^|[/: ])10\.\d{4,9}/[^\s]+$') and not regexp_matches(d, '(^|[/: ])10\.0+/[^\s]+$') then regexp_extract(d, '(?:^|[/: ])(10\.\d{4,9}/[^\s]+)$', 1) end as doi
   from (select row_id, lower(trim(regexp_replace(doi, '\s+', ' ', 'g'))) as d from live_store)""")
 def normalized_dois(spark: SparkSession, d: str) -> DataFrame:

@@ -152,6 +152,15 @@ def test_records_merge_in_order(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}
 
 
+def test_every_stored_record_has_a_verdict(spark, tmp_path):
+    day = lambda n: dt.datetime(2025, 6, 1) - dt.timedelta(days=n)
+    rows = [(1, "2025-05-01", day(8), True), (2, "2025", day(29), True), (3, "2025", day(30), True), (4, "2025-05", day(7), True), (5, "", day(89), True), (6, None, day(90), True), (7, None, None, True), (8, "", day(14), False), (9, "2020", day(89), True), (10, "soon", day(90), True)]
+    df = spark.createDataFrame(rows, "row_id long, date string, added_at timestamp_ntz, has_vec boolean")
+    df.write.parquet(str(tmp_path / "live_store.parquet"))
+    got = {r.row_id: r.stale for r in catalogue.QUERIES["stale_records_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 8: True, 9: False, 10: True}
+
+
 def test_dbscan_joins_dense_clumps_of_any_size(spark):
     rng = np.random.default_rng(4)
     at = lambda d: [float(np.cos(d)), float(np.sin(d)), 0.0]
