@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +21,16 @@ AUTHOR = {"shared": 4.0, "unknown": 0.0, "different": -8.0}
 YEAR = {"same": 1.0, "next": 0.5, "unknown": 0.0, "apart": -8.0}
 TITLE = {"same": 6.0, "noise": 5.0, "one word": 3.0, "two words": 0.0, "other": -6.0}
 SEQUEL = -12.0
-#: Log-odds by which a second record of one paper is held back; a record itself has one paper at most.
-EXCLUSION = 0.7
-#: Words in more than this share of the titles make no candidate keys (there are at most 1/share times a title's words
-#: of them); of a title's other words the KEY_WORDS least by hash are combined by threes.
-FREQUENT_SHARE, KEY_WORDS = 0.05, 9
-#: Share of the shorter title's words that two titles must have in the same spelling to be compared further.
-LEAST_SHARED = 0.5
-#: Stored titles with one surname and word beyond which a second word is added to the key.
-HOT_KEY = 2000
+#: Log-odds by which a further record of one source is held back, since a source seldom lists a paper twice.
+REPEAT = 1.0
+#: Two titles may agree only if they have (SHARED[0] / SHARED[1]) of the shorter one's distinct words in one spelling,
+#: and if the shorter one has half of the longer one's words at least.
+SHARED = (3, 5)
+#: Words and surnames in more than this share of all rows have their counts known to every task: at most 1/share times
+#: the words of a row. They order words by rarity and bound the rows of a key; any order finds the same pairs.
+KNOWN_SHARE = 1 / 5000
+#: Stored rows of a key that one task is meant to hold; keys that may have more are split by salt.
+KEY_ROWS = 20_000
 
 _MARKUP = re.compile(r"<[^>]*>")
 _COMMAND = re.compile(r"\\[A-Za-z]+\*?|[${}]")
@@ -120,12 +121,19 @@ def strip_marks(words: list[str]) -> tuple[list[str], int]:
     return words, 1
 
 
+def least_shared(shorter: int) -> int:
+    """Words that two titles must have in one spelling, given the distinct words of the shorter."""
+    return -(-SHARED[0] * shorter // SHARED[1])
+
+
 def title_evidence(a: list[str], b: list[str]) -> float:
     """Log-odds from two titles. Order, slips of the pen and a part that is missing at one end do not count against."""
-    a, na = strip_marks(a)
-    b, nb = strip_marks(b)
-    if na != nb:
-        return SEQUEL
+    (a, na), (b, nb) = strip_marks(a), strip_marks(b)
+    return SEQUEL if na != nb else _agreement(a, b)
+
+
+def _agreement(a: list[str], b: list[str]) -> float:
+    """Log-odds from the words of two titles without marks of form and sequel."""
     if a == b and a:
         return TITLE["same"]
     if len(a) > len(b):
@@ -137,8 +145,8 @@ def title_evidence(a: list[str], b: list[str]) -> float:
             left.remove(w)
         else:
             extra.append(w)
-    rest = []
-    if len(a) - len(extra) < LEAST_SHARED * len(a):
+    rest: list[str] = []
+    if len(set(a) & set(b)) < least_shared(min(len(set(a)), len(set(b)))):
         return TITLE["other"]
     for w in extra:
         if len(rest) > 2:
@@ -166,93 +174,148 @@ def title_evidence(a: list[str], b: list[str]) -> float:
     return TITLE[("noise", "one word", "two words")[changed]] if changed < 3 else TITLE["other"]
 
 
-def _described(rows: DataFrame, keep: str) -> DataFrame:
-    """(keep, words, names, year): words and names of each record with a title."""
-    kind = rows.schema[keep].dataType.simpleString()
+def _described(rows: DataFrame, keep: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, words, sequel, names, year, *more): each row's title without marks, its place in a series, its names."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [title_words(t) for t in batch.column("title").to_pylist()]
-            names = [name_keys(a) for a in batch.column("authors").to_pylist()]
-            text = [" ".join(w) for w in words]
+            marked = [strip_marks(title_words(t)) for t in batch.column("title").to_pylist()]
+            text = pa.array([" ".join(w) for w, _ in marked], pa.string())
+            sequel = pa.array([n for _, n in marked], pa.int32())
+            names = pa.array([name_keys(a) for a in batch.column("authors").to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(keep), pa.array(text, pa.string()), pa.array(names, pa.list_(pa.string())), batch.column("year")],
-                [keep, "words", "names", "year"],
+                [batch.column(keep), text, sequel, names, batch.column("year"), *(batch.column(c) for c in more)],
+                [keep, "words", "sequel", "names", "year", *more],
             )
 
-    got = rows.select(keep, "title", "authors", F.col("year").cast("int")).where(F.col("title").isNotNull())
-    return got.mapInArrow(run, f"{keep} {kind}, words string, names array<string>, year int").where("words <> ''")
+    year = F.col("year").cast("int")
+    got = rows.select(keep, "title", "authors", F.when(year.between(1, 9998), year).alias("year"), *more)
+    schema = f"{keep} {kinds[keep]}, words string, sequel int, names array<string>, year int" + "".join(f", {c} {kinds[c]}" for c in more)
+    return got.where(F.col("title").isNotNull() & F.col(keep).isNotNull()).mapInArrow(run, schema).where("words <> ''")
+
+
+@dataclass(frozen=True)
+class Counts:
+    """Rows of both tables with each frequent word and each frequent surname."""
+
+    words: dict[str, int]
+    names: dict[str, int]
+
 
+def _counts(a: DataFrame, b: DataFrame) -> Counts:
+    rows = a.select("words", "names").unionByName(b.select("words", "names"))
+    word = F.transform(F.array_distinct(F.split("words", " ")), lambda w: F.struct(F.lit(True).alias("is_word"), w.alias("v")))
+    surname = F.array_distinct(F.transform("names", lambda n: F.substring_index(n, "|", 1)))
+    name = F.transform(surname, lambda n: F.struct(F.lit(False).alias("is_word"), n.alias("v")))
+    per = rows.select(F.explode(F.concat(word, name)).alias("x")).select("x.*").groupBy("is_word", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = per.where(F.col("n") > KNOWN_SHARE * rows.count()).collect()
+    return Counts({r.v: r.n for r in found if r.is_word}, {r.v: r.n for r in found if not r.is_word})
 
-def _keys(titles: DataFrame, frequent: frozenset[str]) -> DataFrame:
-    """(key, tid) of every three of a title's words that are not frequent; of shorter titles all such words at once."""
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _keys(rows: DataFrame, row: str, counts: Counts, stored: bool) -> DataFrame:
+    """(key, row, bits, n, year, short): the keys by which a row meets those whose title may agree with its own.
+
+    Words are ordered by rarity. Of n words, o of which are shared, one is among the first n - o + 1 of either title, so
+    a row is keyed by that many of its words: `short` are those that do if its title is the shorter one, all keys do if
+    it is the longer one and the other has but half its words. A key is such a word with the place in a series and a
+    surname; rows without a name, and those of the other table for their sake, are keyed without a surname as well.
+    `bits` has a bit set for each word, by which most rows of a key that share too few words are told at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        triples = {n: np.array(list(itertools.combinations(range(n), min(n, 3))), np.int64) for n in range(1, KEY_WORDS + 1)}
+        unnamed = {True: ("+records", "+stored"), False: ("+records",)}[stored]
         for batch in batches:
-            ids, keys = [], []
-            for tid, text in zip(batch.column("tid").to_pylist(), batch.column("words").to_pylist()):
-                words = {w for w in text.split() if w not in frequent} or set(text.split())
-                for w in words.difference(known):
-                    known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                h = np.array(sorted(known[w] for w in words)[:KEY_WORDS], np.uint64)
-                pick = h[triples[len(h)]]
-                mixed = np.zeros(len(pick), np.uint64)
-                for k in range(pick.shape[1]):
-                    mixed = (mixed ^ pick[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-                    mixed ^= mixed >> np.uint64(29)
-                keys.append(mixed)
-                ids.append(np.full(len(mixed), tid, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "tid"])
-
-    return titles.mapInArrow(run, "key long, tid long")
-
-
-def _author_keys(rows: DataFrame, tid: str, frequent: frozenset[str]) -> DataFrame:
-    """(tid, name, word, rest): a surname of the record with a word of its title, and the title's other such words."""
-    words = F.array_distinct(F.split("words", " "))
-    rare = F.array_except(words, F.array(*(F.lit(w) for w in sorted(frequent))).cast("array<string>"))
-    rows = rows.where(F.size("names") > 0).select(tid, "names", F.when(F.size(rare) > 0, rare).otherwise(words).alias("ws")).distinct()
-    named = rows.select(tid, "ws", F.explode(F.array_distinct(F.transform("names", lambda n: F.substring_index(n, "|", 1)))).alias("name"))
-    return named.select(tid, "name", F.explode("ws").alias("word"), "ws")
-
-
-def _candidates(a: DataFrame, b: DataFrame, frequent: frozenset[str]) -> DataFrame:
-    """(ta, tb): titles of records that share a surname and two less frequent words (or one, if a title has only one),
-    or three such words where a record has no known author.
-
-    A surname and word of more than HOT_KEY stored titles is too coarse to join on: such rows are keyed by a second
-    word as well, which a pair has to share in any case.
-    """
-    ka, kb = _author_keys(a, "ta", frequent), _author_keys(b, "tb", frequent)
-    hot = kb.groupBy("name", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("name", "word")
-    two = lambda k, tid: k.join(hot, ["name", "word"], "left_semi").where(F.size("ws") > 1).select(
-        tid, "name", "word", F.explode(F.array_except("ws", F.array("word"))).alias("second"), F.size("ws").alias(f"n{tid}")
-    )
-    fine = two(ka, "ta").join(two(kb, "tb"), ["name", "word", "second"]).select("ta", "tb").distinct()
-    one = lambda k, tid: k.join(hot, ["name", "word"], "left_anti").select(F.xxhash64("name", "word").alias("key"), tid, F.size("ws").alias(f"n{tid}"))
-    met = one(ka, "ta").join(one(kb, "tb"), "key").groupBy("ta", "tb").agg(F.count(F.lit(1)).alias("n"), F.first("nta").alias("nta"), F.first("ntb").alias("ntb"))
-    # A shared word may be hot and so not be counted here; what is left of the pair's words then has to do.
-    named = met.where("n >= 2 or nta = 1 or ntb = 1").select("ta", "tb").unionByName(fine)
-
-    def titles(rows: DataFrame, tid: str, unnamed: bool) -> DataFrame:
-        rows = rows.where(F.size("names") == 0) if unnamed else rows
-        return _keys(rows.select(F.col(tid).alias("tid"), "words").distinct(), frequent).withColumnRenamed("tid", tid)
+            ids = batch.column(row).to_numpy(zero_copy_only=False)
+            word_hash, word_count, word_short, n_keys, n_words, bits = [], [], [], [], [], []
+            tag_hash, tag_count, n_tags = [], [], []
+            for text, sequel, names in zip(batch.column("words").to_pylist(), batch.column("sequel").to_pylist(), batch.column("names").to_pylist()):
+                words = set(text.split())
+                surnames = {x.rpartition("|")[0] for x in names}
+                for w in (words | surnames).difference(known):
+                    known[w] = _hash(w)
+                n = len(words)
+                order = sorted(words, key=lambda w: (counts.words.get(w, 0), known[w]))[: n - least_shared(-(-n // 2)) + 1]
+                short = n - least_shared(n) + 1
+                word_hash += [(known[w] + sequel) % 2**64 for w in order]
+                word_count += [counts.words.get(w, 0) for w in order]
+                word_short += [k < short for k in range(len(order))]
+                n_keys.append(len(order))
+                n_words.append(n)
+                b = 0
+                for w in words:
+                    b |= 1 << (known[w] >> 20) % 63
+                bits.append(b)
+                tags = ("+records" if stored else "+stored",) if names else unnamed
+                tag_hash += [known[x] for x in surnames] + [len(t) for t in tags]
+                tag_count += [counts.names.get(x, 0) for x in surnames] + [2**62] * len(tags)
+                n_tags.append(len(surnames) + len(tags))
+            wide, deep = np.array(n_keys, np.int64), np.array(n_tags, np.int64)
+            each = wide * deep
+            at = np.repeat(np.arange(len(ids)), each)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+            w = (np.cumsum(wide) - wide)[at] + place % wide[at]
+            t = (np.cumsum(deep) - deep)[at] + place // wide[at]
+            most = np.minimum(np.array(word_count, np.int64)[w], np.array(tag_count, np.int64)[t])
+            salts = np.maximum(1, -(-most // KEY_ROWS)).astype(np.uint64)
+            key = _scrambled(np.array(word_hash, np.uint64)[w] ^ _scrambled(np.array(tag_hash, np.uint64)[t]))
+            if stored:
+                salt = _scrambled(ids.astype(np.int64).view(np.uint64))[at] % salts
+            else:
+                copies = salts.astype(np.int64)
+                salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                key, at, w = np.repeat(key, copies), np.repeat(at, copies), np.repeat(w, copies)
+            key = _scrambled(key + salt.astype(np.uint64))
+            year = batch.column("year").fill_null(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(np.array(bits, np.int64)[at]), pa.array(np.array(n_words, np.int32)[at]),
+                 pa.array(year[at].astype(np.int32)), pa.array(np.array(word_short, bool)[w])],
+                ["key", row, "bits", "n", "year", "short"],
+            )
 
-    left = titles(a, "ta", True).join(titles(b, "tb", False), "key")
-    right = titles(a, "ta", False).join(titles(b, "tb", True), "key")
-    return named.unionByName(left.select("ta", "tb")).unionByName(right.select("ta", "tb")).distinct()
+    return rows.select(row, "words", "sequel", "names", "year").mapInArrow(run, f"key long, {row} long, bits long, n int, year int, short boolean")
+
+
+def candidates(a: DataFrame, b: DataFrame, counts: Counts) -> DataFrame:
+    """(record_id, stored): every two rows that share a surname, where both have names, whose years are next to each
+    other, where both are known, and whose titles share as many words as least_shared demands - and some that do not."""
+    ka = _keys(a, "record_id", counts, False)
+    kb = _keys(b, "stored", counts, True)
+    kb = kb.select("key", "stored", *(F.col(c).alias(f"{c}_b") for c in ("bits", "n", "year", "short")))
+    shorter = F.least("n", "n_b")
+    needed = F.floor((SHARED[0] * shorter + SHARED[1] - 1) / SHARED[1])
+    missing = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    met = ka.join(kb, "key").where(
+        (F.col("short") | F.col("short_b"))
+        & ((F.col("year") == 0) | (F.col("year_b") == 0) | (F.abs(F.col("year") - F.col("year_b")) <= 1))
+        & (2 * shorter >= F.greatest("n", "n_b"))
+        & (missing("bits", "bits_b") <= F.col("n") - needed)
+        & (missing("bits_b", "bits") <= F.col("n_b") - needed)
+    )
+    return met.select("record_id", "stored").distinct()
 
 
 def _title_scores(pairs: DataFrame) -> DataFrame:
+    """pairs (..., wa, wb) with the log-odds of their titles in place of the words."""
+    keep = [f for f in pairs.schema if f.name not in ("wa", "wb")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = [title_evidence(x.split(), y.split()) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("ta"), batch.column("tb"), pa.array(w, pa.float64())], ["ta", "tb", "title"])
+            w = [_agreement(x.split(), y.split()) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist())]
+            names = [f.name for f in keep]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(w, pa.float64())], [*names, "title"])
 
-    return pairs.mapInArrow(run, "ta long, tb long, title double")
+    return pairs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", title double")
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -268,29 +331,36 @@ def _shared(a: Column, b: Column) -> Column:
 
 
 def propagate(edges: DataFrame, most_rounds: int = 30, tolerance: float = 1e-3) -> DataFrame:
-    """(i, j, confidence): marginal probability of each candidate pair of edges (i, j, w), w being its log-odds.
+    """(i, j, confidence): marginal probability of each candidate pair of edges (i, j, source, w), w its log-odds.
 
-    Factors: a record i has one partner at most; a partner j with one record is more likely than with several, each
-    further one being held back by EXCLUSION. In a round every pair gets the messages of both factors, which are sums
-    over its rivals: a partial aggregate per factor, joined back and less the pair's own share, so that no factor is
-    gathered in a task. Rounds end when no marginal moves by `tolerance`. State is written each round.
+    Factors: a record i has one paper j at most; of one source a paper has one record, each further one being held back
+    by REPEAT. A pair without a rival in either factor has its marginal at once; the others exchange messages. In a
+    round every pair gets the messages of both factors, which are sums over its rivals: a partial aggregate per factor,
+    joined back and less the pair's own share, so that no factor is gathered in a task. Rounds end when no marginal
+    moves by `tolerance`; after the first few, messages are damped. State is written each round.
     """
     staging = Staging(edges.sparkSession)
     odds = F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("w"))))
-    state = staging.write(edges.select("i", "j", odds.alias("o"), F.lit(1.0).alias("from_j"), F.lit(0.0).alias("confidence")), "messages")
-    hold = float(np.exp(-EXCLUSION))
-    for _ in range(most_rounds):
-        to_i = state.withColumn("s", F.col("o") * F.col("from_j"))
-        sum_i = to_i.groupBy("i").agg(F.sum("s").alias("si"))
-        with_i = to_i.join(sum_i, "i").withColumn("from_i", 1 / (1 + F.greatest(F.lit(0.0), F.col("si") - F.col("s"))))
-        to_j = with_i.select("i", "j", "o", "from_j", "confidence", "from_i", (F.col("o") * F.col("from_i")).alias("t"))
-        sum_j = to_j.groupBy("j").agg(F.sum("t").alias("sj"))
+    source = F.coalesce("source", F.lit("")) if "source" in edges.columns else F.lit("")
+    each = edges.select("i", "j", source.alias("s"), odds.alias("o"))
+    of_i = each.groupBy("i").agg(F.count(F.lit(1)).alias("ni"))
+    of_j = each.groupBy("j", "s").agg(F.count(F.lit(1)).alias("nj"))
+    known = staging.write(each.join(of_i, "i").join(of_j, ["j", "s"]).withColumn("alone", F.expr("ni = 1 and nj = 1")), "pairs")
+    settled = known.where("alone").select("i", "j", (F.col("o") / (1 + F.col("o"))).alias("confidence"))
+    state = known.where("not alone").select("i", "j", "s", "o", F.lit(1.0).alias("from_j"), F.lit(0.0).alias("confidence"))
+    held = float(np.exp(-REPEAT))
+    for turn in range(most_rounds):
+        to_i = state.withColumn("t", F.col("o") * F.col("from_j"))
+        sum_i = to_i.groupBy("i").agg(F.sum("t").alias("si"))
+        with_i = to_i.join(sum_i, "i").withColumn("from_i", 1 / (1 + F.greatest(F.lit(0.0), F.col("si") - F.col("t"))))
+        to_j = with_i.select("i", "j", "s", "o", "from_j", "confidence", "from_i", (F.col("o") * F.col("from_i")).alias("t"))
+        sum_j = to_j.groupBy("j", "s").agg(F.sum("t").alias("sj"))
         rivals = F.greatest(F.lit(0.0), F.col("sj") - F.col("t"))
-        got = to_j.join(sum_j, "j").withColumn("new_j", (1 + hold * rivals) / (1 + rivals))
-        damped = F.sqrt(F.col("new_j") * F.col("from_j"))
-        belief = F.col("o") * F.col("from_i") * damped
-        after = got.select(
-            "i", "j", "o", damped.alias("from_j"), (belief / (1 + belief)).alias("confidence"),
+        fresh = (1 + held * rivals) / (1 + rivals)
+        message = fresh if turn < 4 else F.sqrt(fresh * F.col("from_j"))
+        belief = F.col("o") * F.col("from_i") * F.col("m")
+        after = to_j.join(sum_j, ["j", "s"]).withColumn("m", message).select(
+            "i", "j", "s", "o", F.col("m").alias("from_j"), (belief / (1 + belief)).alias("confidence"),
             F.abs(belief / (1 + belief) - F.col("confidence")).alias("moved"),
         )
         after = staging.write(after, "messages")
@@ -300,48 +370,46 @@ def propagate(edges: DataFrame, most_rounds: int = 30, tolerance: float = 1e-3)
         state._staged_path = after._staged_path
         if moved is None or moved < tolerance:
             break
-    return state.select("i", "j", "confidence")
+    return settled.unionByName(state.select("i", "j", "confidence"))
 
 
-def match_records(records: DataFrame, store: DataFrame, least: float = 0.5) -> DataFrame:
-    """(record_id, paper_id, confidence): the pairs of a record and a stored paper that are the same paper.
+def scored_pairs(records: DataFrame, store: DataFrame) -> DataFrame:
+    """(record_id, source, paper_id, stored_title, w): candidate pairs with the log-odds of all their evidence.
 
-    Candidates share a surname and two less frequent words of their titles, or three words where authors are unknown,
-    and no author list or year speaks against them; they are joined on these keys, all pairs are never formed. Titles are compared once per
-    pair of distinct titles. Belief propagation runs between records and distinct stored titles, so copies of a paper
-    in the store do not compete; a matched record is then given every stored row whose authors and year agree. Rows
-    without a title match nothing; empty inputs give an empty result.
-    """
+    Records and stored rows meet by keys of surname and word (see _keys); all pairs are never formed."""
     staging = Staging(records.sparkSession)
-    a = _described(records, "record_id").withColumn("ta", F.xxhash64("words"))
-    b = _described(store, "paper_id").withColumn("tb", F.xxhash64("words"))
-    a, b = staging.write(a, "records"), staging.write(b, "stored")
-
-    titles = a.select(F.col("ta").alias("tid"), "words").unionByName(b.select(F.col("tb").alias("tid"), "words")).distinct()
-    n = titles.count()
-    counts = titles.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    frequent = frozenset(r.w for r in counts.where(F.col("n") > max(5, FREQUENT_SHARE * n)).collect())
-    pairs = _candidates(a, b, frequent)
-
-    left = a.select("ta", "record_id", F.col("names").alias("na"), F.col("year").alias("ya"))
-    right = b.select("tb", "paper_id", F.col("names").alias("nb"), F.col("year").alias("yb")).distinct()
+    if "source" not in records.columns:
+        records = records.withColumn("source", F.lit(""))
+    a = staging.write(_described(records, "record_id", ("source",)), "records")
+    b = _described(store, "paper_id").withColumn("stored", F.xxhash64("paper_id", "words", "sequel", "names", F.coalesce("year", F.lit(0))))
+    b = staging.write(b.dropDuplicates(["stored"]), "stored")
+    pairs = candidates(a, b, _counts(a, b))
+
+    left = a.select("record_id", "source", F.col("words").alias("wa"), F.col("sequel").alias("qa"), F.col("names").alias("na"), F.col("year").alias("ya"))
+    right = b.select("stored", "paper_id", F.col("words").alias("wb"), F.col("sequel").alias("qb"), F.col("names").alias("nb"), F.col("year").alias("yb"))
     unknown = (F.size("na") == 0) | (F.size("nb") == 0)
     author = F.when(unknown, AUTHOR["unknown"]).when(_shared(F.col("na"), F.col("nb")), AUTHOR["shared"]).otherwise(AUTHOR["different"])
     gap = F.abs(F.col("ya") - F.col("yb"))
     year = F.when(gap.isNull(), YEAR["unknown"]).when(gap == 0, YEAR["same"]).when(gap == 1, YEAR["next"]).otherwise(YEAR["apart"])
-    rows = pairs.join(left, "ta").join(right, "tb").where((gap.isNull() | (gap <= 1)) & (unknown | _shared(F.col("na"), F.col("nb"))))
-    rows = staging.write(rows.select("ta", "tb", "record_id", "paper_id", (author + year).alias("rest")), "rows")
-
-    wa = a.select("ta", F.col("words").alias("wa")).distinct()
-    wb = b.select("tb", F.col("words").alias("wb")).distinct()
-    both = rows.select("ta", "tb").distinct().join(wa, "ta").join(wb, "tb")
     sa, sb = F.array_distinct(F.split("wa", " ")), F.array_distinct(F.split("wb", " "))
-    # Marks of form and sequel, three words at most, may be dropped from either title before they are compared.
-    enough = F.size(F.array_intersect(sa, sb)) >= LEAST_SHARED * (F.least(F.size(sa), F.size(sb)) - 3)
-    titles_of = _title_scores(both.where(enough))
-    rows = staging.write(rows.join(titles_of.where(F.col("title") > TITLE["other"]), ["ta", "tb"]), "scored")
-    edges = rows.groupBy(F.col("record_id").alias("i"), F.col("tb").alias("j")).agg((PRIOR + F.max(F.col("rest") + F.col("title"))).alias("w"))
+    shorter = F.least(F.size(sa), F.size(sb))
+    enough = SHARED[1] * F.size(F.array_intersect(sa, sb)) >= SHARED[0] * shorter
+    both = pairs.join(left, "record_id").join(right, "stored").where((F.col("qa") == F.col("qb")) & enough)
+    both = both.select("record_id", "source", "paper_id", F.xxhash64("wb", "qb").alias("stored_title"), (author + year).alias("rest"), "wa", "wb")
+    return staging.write(_title_scores(both).select("record_id", "source", "paper_id", "stored_title", (PRIOR + F.col("rest") + F.col("title")).alias("w")), "scored")
+
+
+def match_records(records: DataFrame, store: DataFrame, least: float = 0.5) -> DataFrame:
+    """(record_id, paper_id, confidence): the pairs of a record and a stored paper that are the same paper.
+
+    Belief propagation runs over all candidate pairs between records and distinct stored titles, so copies of a paper in
+    the store do not compete. A record of two titles within reach goes to the likelier one, and a doubtful record of a
+    source that has a better one of the same paper to none. A matched record is given every stored row of the title whose
+    own evidence is for it. Rows without a title or an id match nothing; repeated rows match as one; empty inputs give
+    an empty result; other columns are ignored.
+    """
+    rows = scored_pairs(records, store)
+    edges = rows.groupBy(F.col("record_id").alias("i"), F.col("stored_title").alias("j"), "source").agg(F.max("w").alias("w"))
     belief = propagate(edges).where(F.col("confidence") >= least)
-    good = rows.where(PRIOR + F.col("rest") + F.col("title") > 0)
-    out = good.join(belief.select(F.col("i").alias("record_id"), F.col("j").alias("tb"), "confidence"), ["record_id", "tb"])
+    out = rows.where("w > 0").join(belief.select(F.col("i").alias("record_id"), F.col("j").alias("stored_title"), "confidence"), ["record_id", "stored_title"])
     return out.groupBy("record_id", "paper_id").agg(F.max("confidence").alias("confidence"))

@@ -157,12 +157,73 @@ def test_matches(spark):
     assert M.match_records(records.limit(0), store).count() == 0 and M.match_records(records, store.limit(0)).count() == 0
 
 
+RECORDS, STORE = "record_id long, source string, title string, authors string, year int", "paper_id string, title string, authors string, year int"
+
+
+def matched(spark, records, store) -> set:
+    got = M.match_records(spark.createDataFrame(records, RECORDS), spark.createDataFrame(store, STORE))
+    return {(r.record_id, r.paper_id) for r in got.collect()}
+
+
 def test_hot_surname_and_word_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(M, "HOT_KEY", 5)
+    monkeypatch.setattr(M, "KEY_ROWS", 3)
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(40)]
-    titles = [" ".join(["common", *rng.sample(words, 6)]) for _ in range(60)]
-    store = spark.createDataFrame([(f"p{i:03d}", t, "Ana Lee", 2010 + i % 3) for i, t in enumerate(titles)], "paper_id string, title string, authors string, year int")
-    records = spark.createDataFrame([(i, t, "Lee, A.", 2010 + i % 3) for i, t in enumerate(titles)], "record_id long, title string, authors string, year int")
-    got = {(r.record_id, r.paper_id) for r in M.match_records(records, store).collect()}
-    assert {(i, f"p{i:03d}") for i in range(60)} <= got
+    titles = ["Quokkas"] * 5 + [" ".join(["quokkas", *rng.sample(words, 6)]) for _ in range(60)]
+    store = [(f"p{i:03d}", t, "Ana Lee", 2010 + i % 3) for i, t in enumerate(titles)]
+    records = [(i, "s", t, "Lee, A.", 2010 + i % 3) for i, t in enumerate(titles)]
+    assert {(i, f"p{i:03d}") for i in range(65)} <= matched(spark, records, store)
+
+
+@pytest.mark.parametrize("authors", [None, "Ana Lee"])
+def test_half_of_a_long_title_always_meets_it(spark, authors):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(300)]
+    titles = [rng.sample(words, 18) for _ in range(300)]
+    store = [(f"p{i:03d}", " ".join(t), "Ana Lee", 2010) for i, t in enumerate(titles)]
+    records = [(i, "s", " ".join(t[:9]), authors, 2010) for i, t in enumerate(titles)]
+    assert matched(spark, records, store) == {(i, f"p{i:03d}") for i in range(300)}
+
+
+def test_candidates_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(25)]
+    name = lambda: rng.choice([None, "Ana Lee", "Bo Kim", "Ana Lee; Bo Kim"])
+    year = lambda: rng.choice([None, 2001, 2002, 2003])
+    records = [(i, "s", " ".join(rng.choices(words, k=rng.randint(1, 9))), name(), year()) for i in range(80)]
+    store = [(f"p{i}", " ".join(rng.choices(words, k=rng.randint(1, 9))), name(), year()) for i in range(80)]
+    a = M._described(spark.createDataFrame(records, RECORDS), "record_id")
+    b = M._described(spark.createDataFrame(store, STORE).withColumn("stored", F.col("paper_id").substr(2, 9).cast("long")), "stored")
+    got = {(r.record_id, r.stored) for r in M.candidates(a, b, M._counts(a, b)).collect()}
+
+    def should_meet(x, y) -> bool:
+        s, t = set(x[2].split()), set(y[1].split())
+        least, most = sorted((len(s), len(t)))
+        named = not x[3] or not y[2] or bool(set(x[3].split()) & set(y[2].split()) & {"Lee", "Lee;", "Kim"}) or ("Lee" in x[3] and "Lee" in y[2])
+        dated = x[4] is None or y[3] is None or abs(x[4] - y[3]) <= 1
+        return named and dated and 2 * least >= most and len(s & t) >= M.least_shared(least)
+
+    want = {(x[0], int(y[0][1:])) for x in records for y in store if should_meet(x, y)}
+    assert want and want <= got
+
+
+def test_belief_decides_between_rivals(spark):
+    """A pair of positive evidence that only the factors turn down."""
+    title = "Layered route drift and policy compiler: a study of ice tracking"
+    longer = title + " at negligible cost"
+    store = [("p1", title, "Ana Lee", 2014), ("p2", longer, "Bo Kim", 2015), ("p3", "Coarse shard pruning for wildfire alerts under load", "Cy Poe", 2010)]
+    records = [
+        (1, "s", title, None, 2014),  # both titles are within reach of it, its own is nearer
+        (2, "s", "Coarse shard pruning for wildfire alerts under load", "Poe, C.", 2010),
+        (3, "t", "Coarse shard pruning for wildfire alerts under load II", "Poe, C.", 2010),  # a sequel is another paper
+    ]
+    rows = M.scored_pairs(spark.createDataFrame(records, RECORDS), spark.createDataFrame(store, STORE))
+    without = {(r.record_id, r.paper_id) for r in rows.where("w > 0").collect()}
+    got = matched(spark, records, store)
+    assert got == {(1, "p1"), (2, "p3")} and without == got | {(1, "p2")}
+
+
+def test_doubtful_second_record_of_a_source_is_held_back(spark):
+    edges = spark.createDataFrame([(1, 10, "s", 6.0), (2, 10, "s", 0.5), (3, 11, "s", 6.0), (4, 11, "t", 0.5)], "i long, j long, source string, w double")
+    p = {(r.i, r.j): r.confidence for r in M.propagate(edges).collect()}
+    assert p[1, 10] > 0.9 and p[2, 10] < 0.5 < p[4, 11] and p[3, 11] > 0.9
