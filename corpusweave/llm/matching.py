@@ -223,13 +223,14 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(rows: DataFrame, row: str, counts: Counts, stored: bool) -> DataFrame:
-    """(key, row, bits, n, year, short): the keys by which a row meets those whose title may agree with its own.
+    """(key, row, low, high, meta): the keys by which a row meets those whose title may agree with its own.
 
     Words are ordered by rarity. Of n words, o of which are shared, one is among the first n - o + 1 of either title, so
     a row is keyed by that many of its words: `short` are those that do if its title is the shorter one, all keys do if
     it is the longer one and the other has but half its words. A key is such a word with the place in a series and a
     surname; rows without a name, and those of the other table for their sake, are keyed without a surname as well.
-    `bits` has a bit set for each word, by which most rows of a key that share too few words are told at once.
+    `low` and `high` have a bit set for each word, by which most rows of a key that share too few words are told at
+    once; `meta` holds the number of words, the year or 0, and `short` in its last bit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +238,7 @@ def _keys(rows: DataFrame, row: str, counts: Counts, stored: bool) -> DataFrame:
         unnamed = {True: ("+records", "+stored"), False: ("+records",)}[stored]
         for batch in batches:
             ids = batch.column(row).to_numpy(zero_copy_only=False)
-            word_hash, word_count, word_short, n_keys, n_words, bits = [], [], [], [], [], []
+            word_hash, word_count, word_short, n_keys, n_words, low, high = [], [], [], [], [], [], []
             tag_hash, tag_count, n_tags = [], [], []
             for text, sequel, names in zip(batch.column("words").to_pylist(), batch.column("sequel").to_pylist(), batch.column("names").to_pylist()):
                 words = set(text.split())
@@ -254,8 +255,9 @@ def _keys(rows: DataFrame, row: str, counts: Counts, stored: bool) -> DataFrame:
                 n_words.append(n)
                 b = 0
                 for w in words:
-                    b |= 1 << (known[w] >> 20) % 63
-                bits.append(b)
+                    b |= 1 << (known[w] >> 20) % 126
+                low.append(b & (1 << 63) - 1)
+                high.append(b >> 63)
                 tags = ("+records" if stored else "+stored",) if names else unnamed
                 tag_hash += [known[x] for x in surnames] + [len(t) for t in tags]
                 tag_count += [counts.names.get(x, 0) for x in surnames] + [2**62] * len(tags)
@@ -276,14 +278,12 @@ def _keys(rows: DataFrame, row: str, counts: Counts, stored: bool) -> DataFrame:
                 salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
                 key, at, w = np.repeat(key, copies), np.repeat(at, copies), np.repeat(w, copies)
             key = _scrambled(key + salt.astype(np.uint64))
-            year = batch.column("year").fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(np.array(bits, np.int64)[at]), pa.array(np.array(n_words, np.int32)[at]),
-                 pa.array(year[at].astype(np.int32)), pa.array(np.array(word_short, bool)[w])],
-                ["key", row, "bits", "n", "year", "short"],
-            )
+            year = batch.column("year").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            meta = (np.array(n_words, np.int64) << 16 | year << 1)[at] | np.array(word_short, np.int64)[w]
+            columns = [pa.array(x) for x in (key.view(np.int64), ids[at], np.array(low, np.int64)[at], np.array(high, np.int64)[at], meta)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", row, "low", "high", "meta"])
 
-    return rows.select(row, "words", "sequel", "names", "year").mapInArrow(run, f"key long, {row} long, bits long, n int, year int, short boolean")
+    return rows.select(row, "words", "sequel", "names", "year").mapInArrow(run, f"key long, {row} long, low long, high long, meta long")
 
 
 def candidates(a: DataFrame, b: DataFrame, counts: Counts) -> DataFrame:
@@ -291,16 +291,18 @@ def candidates(a: DataFrame, b: DataFrame, counts: Counts) -> DataFrame:
     other, where both are known, and whose titles share as many words as least_shared demands - and some that do not."""
     ka = _keys(a, "record_id", counts, False)
     kb = _keys(b, "stored", counts, True)
-    kb = kb.select("key", "stored", *(F.col(c).alias(f"{c}_b") for c in ("bits", "n", "year", "short")))
-    shorter = F.least("n", "n_b")
+    kb = kb.select("key", "stored", *(F.col(c).alias(f"{c}_b") for c in ("low", "high", "meta")))
+    n, n_b = (F.shiftright(c, 16) for c in ("meta", "meta_b"))
+    year, year_b = (F.shiftright(c, 1).bitwiseAND(F.lit(0x7FFF)) for c in ("meta", "meta_b"))
+    shorter = F.least(n, n_b)
     needed = F.floor((SHARED[0] * shorter + SHARED[1] - 1) / SHARED[1])
     missing = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
     met = ka.join(kb, "key").where(
-        (F.col("short") | F.col("short_b"))
-        & ((F.col("year") == 0) | (F.col("year_b") == 0) | (F.abs(F.col("year") - F.col("year_b")) <= 1))
-        & (2 * shorter >= F.greatest("n", "n_b"))
-        & (missing("bits", "bits_b") <= F.col("n") - needed)
-        & (missing("bits_b", "bits") <= F.col("n_b") - needed)
+        (F.col("meta").bitwiseOR(F.col("meta_b")).bitwiseAND(F.lit(1)) == 1)
+        & ((year == 0) | (year_b == 0) | (F.abs(year - year_b) <= 1))
+        & (2 * shorter >= F.greatest(n, n_b))
+        & (missing("low", "low_b") + missing("high", "high_b") <= n - needed)
+        & (missing("low_b", "low") + missing("high_b", "high") <= n_b - needed)
     )
     return met.select("record_id", "stored").distinct()
 
