@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BARE_ID = r"(\d{4}\.\d{4,5})(?:v\d+)?\s*$"
+#: A paper id: month and number, or of the older kind an archive, perhaps with a subject class, and seven digits.
+PAPER_ID = r"\d{4}\.\d{4,5}|[a-z][a-z-]*(?:\.[A-Z]{2})?/\d{7}"
+BARE_ID = rf"({PAPER_ID})(?:v\d+)?\s*$"
 
 
 def bare_id(col: Column) -> Column:
@@ -16,7 +18,7 @@ def bare_id(col: Column) -> Column:
 
 def id_version(col: Column) -> Column:
     """Version named by the id's `vN` suffix; null without one."""
-    got = F.regexp_extract(col, r"\d{4}\.\d{4,5}v(\d+)\s*$", 1)
+    got = F.regexp_extract(col, rf"(?:{PAPER_ID})v(\d+)\s*$", 1)
     return F.when(got != "", got.cast("int"))
 
 
@@ -43,3 +45,9 @@ def normalize_doi(col: Column) -> Column:
     s = F.lower(F.trim(F.regexp_replace(col, r"\s+", " ")))
     got = F.regexp_extract(s, r"(?:^|[/: ])(10\.\d{4,9}/[^\s]+)$", 1)
     return F.when((got != "") & ~got.rlike(r"^10\.0+/"), got)
+
+
+def preprint_id(doi: Column) -> Column:
+    """Paper id that a preprint DOI names; null for other DOIs. `doi` is normal, hence of lower case."""
+    got = F.regexp_extract(doi, r"^10\.48550/arxiv\.(\d{4}\.\d{4,5}|[a-z][a-z-]*(?:\.[a-z]{2})?/\d{7})(?:v\d+)?$", 1)
+    return F.when(got != "", got)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.ids import bare_id, id_version, parse_time
-from corpusweave.functions.text import has_category, is_english, normalize_text, title_key
+from corpusweave.functions.text import cleaned, has_category, is_english, key_of, with_normal_forms
 
 #: Columns of a cleaned corpus.
 CORPUS = [
@@ -39,8 +39,8 @@ def clean_records(
 
     Rows without id, title or abstract, of other categories, outside the window, with a short or non-English abstract
     go. Of one id the highest version stays, then of one title key the latest; ties go to the larger `row_id`. Cheap
-    built-in predicates come first, so that Python and the shuffles see only what they leave. Empty input gives an
-    empty result; extra columns are dropped.
+    built-in predicates come first, and of the rows they leave Python sees those that are not ASCII, once. Empty input
+    gives an empty result; extra columns are dropped.
     """
     def ntz(col: Column) -> Column:
         return F.to_timestamp_ntz(F.date_format(col, "yyyy-MM-dd HH:mm:ss"), F.lit("yyyy-MM-dd HH:mm:ss"))
@@ -54,7 +54,8 @@ def clean_records(
         "__u": ntz(parse_time(F.col("last_updated"))),
     }).where("__id is not null and date is not null")
     rows = rows.where(in_window(F.col("date"), start, end))
-    rows = rows.withColumns({"title": normalize_text(F.col("title")), "abstract": normalize_text(F.col("abstract"))})
+    rows = with_normal_forms(rows, ["title", "abstract"])
+    rows = rows.withColumns({"title": cleaned(F.col("__nfkc_title")), "abstract": cleaned(F.col("__nfkc_abstract"))})
     rows = rows.where((F.length("abstract") >= min_chars) & (F.col("title") != ""))
     if english:
         rows = rows.where(is_english(F.col("abstract")))
@@ -62,7 +63,7 @@ def clean_records(
     rows = rows.withColumns({
         "__u": F.coalesce("__u", "date"),
         "__p": F.when(blank("primary_category") == "", F.split("categories", " ")[0]).otherwise(F.col("primary_category")),
-        "__key": title_key(F.col("title")),
+        "__key": key_of(F.col("__ascii_title")),
     })
     one = latest(rows, ["__id"], [F.desc("__v"), F.desc("__u"), F.desc("row_id")])
     one = latest(one, ["__key"], [F.desc("__v"), F.desc("__u"), F.desc("row_id")])

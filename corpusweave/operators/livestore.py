@@ -6,21 +6,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.functions.ids import bare_id, normalize_doi
-from corpusweave.functions.text import title_key
+from corpusweave.functions.ids import bare_id, normalize_doi, preprint_id
+from corpusweave.functions.text import key_of, with_normal_forms
 from corpusweave.operators.graph import components
 
 #: A shorter title identifies nothing.
 LEAST_TITLE = 12
 
 
-def identity_keys(doi: Column, arxiv_id: Column, title: Column, year: Column, neighbours: bool) -> Column:
+def identity_keys(doi: Column, arxiv_id: Column, title_key: Column, year: Column, neighbours: bool) -> Column:
     """Keys that identify a record: DOI, paper id, and title with year; with `neighbours` also the years beside it."""
     d = normalize_doi(doi)
-    from_doi = F.regexp_extract(d, r"^10\.48550/arxiv\.(\d{4}\.\d{4,5})(v\d+)?$", 1)
-    paper = F.coalesce(bare_id(arxiv_id), F.when(from_doi != "", from_doi))
-    key = title_key(title)
-    titled = F.when(F.length(key) >= LEAST_TITLE, key)
+    paper = F.coalesce(bare_id(arxiv_id), preprint_id(d))
+    titled = F.when(F.length(title_key) >= LEAST_TITLE, title_key)
     at = lambda k: F.concat(F.lit("title:"), titled, F.lit("|"), F.coalesce((year + k).cast("string"), F.lit("")))
     every = [F.concat(F.lit("doi:"), d), F.concat(F.lit("arxiv:"), paper), at(0)]
     if neighbours:
@@ -28,16 +26,18 @@ def identity_keys(doi: Column, arxiv_id: Column, title: Column, year: Column, ne
     return F.array_distinct(F.array_compact(F.array(*every)))
 
 
-def record_id(doi: Column, arxiv_id: Column, source: Column, source_id: Column, title: Column) -> Column:
-    """Paper id, else `doi:`, else the source's own id, else a hash of the title."""
-    d = normalize_doi(doi)
+def record_id(doi: Column, arxiv_id: Column, source: Column, source_id: Column, title_key: Column) -> Column:
+    """Paper id, else `doi:`, else the source's own id, else a hash of the title's key."""
     own = F.when(F.coalesce(source_id, F.lit("")) != "", F.concat(source, F.lit(":"), source_id))
-    hashed = F.concat(F.lit("title:"), F.substring(F.sha1(title_key(title)), 1, 16))
-    return F.coalesce(bare_id(arxiv_id), F.concat(F.lit("doi:"), d), own, hashed)
+    hashed = F.concat(F.lit("title:"), F.substring(F.sha1(title_key), 1, 16))
+    return F.coalesce(bare_id(arxiv_id), F.concat(F.lit("doi:"), normalize_doi(doi)), own, hashed)
 
 
 def with_keys(df: DataFrame, neighbours: bool = False) -> DataFrame:
-    return df.withColumn("keys", identity_keys(F.col("doi"), F.col("arxiv_id"), F.col("title"), F.col("year"), neighbours))
+    """df with its identity `keys`; only titles that are not ASCII reach Python."""
+    forms = with_normal_forms(df, ["title"])
+    keys = identity_keys(F.col("doi"), F.col("arxiv_id"), key_of(F.col("__ascii_title")), F.col("year"), neighbours)
+    return forms.withColumn("keys", keys).select(*df.columns, "keys")
 
 
 def known_in(records: DataFrame, collection: DataFrame, record: str, neighbours: bool = True) -> DataFrame:
@@ -88,7 +88,7 @@ def merge_in_order(records: DataFrame, batch: str, seq: str) -> DataFrame:
     A record joins the first entity that knows any of its keys, a title also in the years beside, and adds its own keys
     to it; so a chain can stay in two entities. Batches are a search's own pages, of bounded size, and independent.
     """
-    keyed = with_keys(records, False).withColumn("wide", identity_keys(F.col("doi"), F.col("arxiv_id"), F.col("title"), F.col("year"), True))
+    keyed = with_keys(with_keys(records, True).withColumnRenamed("keys", "wide"), False)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         known: dict[str, int] = {}

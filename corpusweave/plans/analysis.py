@@ -143,9 +143,7 @@ def keyword_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 @_R.add()
 def area_labels(spark: SparkSession, d: str) -> DataFrame:
-    k = C.keywords(C.class_tfidf(_terms(spark, d)))
-    rows = k.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("t")).collect()
-    return spark.createDataFrame([(r.cluster_id, C.area_label([x.term for x in r.t])) for r in rows], "cluster_id int, label string")
+    return C.area_labels(C.keywords(C.class_tfidf(_terms(spark, d))))
 
 
 _TWO = "tw as (select vec_id as id, labels as a, case when vec_id % 7 = 0 then (labels + 1) % 5 else labels end as b from bundle where labels is not null)"

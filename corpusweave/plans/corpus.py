@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as X
-from corpusweave.functions.ids import bare_id, id_version, normalize_doi, parse_time
+from corpusweave.functions.ids import BARE_ID, PAPER_ID, bare_id, id_version, normalize_doi, parse_time
 from corpusweave.operators import enrich, ingest
 from corpusweave.plans.registry import Registry
 from corpusweave.runtime import table
@@ -15,8 +15,11 @@ _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
 
 #: SQL of the bare id and of the id's version.
-BARE = r"nullif(regexp_extract(arxiv_id, '(\d{4}\.\d{4,5})(?:v\d+)?\s*$', 1), '')"
-VERSION = r"try_cast(nullif(regexp_extract(arxiv_id, '\d{4}\.\d{4,5}v(\d+)\s*$', 1), '') as int)"
+_ID = PAPER_ID
+BARE = rf"nullif(regexp_extract(arxiv_id, '{BARE_ID}', 1), '')"
+VERSION = rf"try_cast(nullif(regexp_extract(arxiv_id, '(?:{_ID})v(\d+)\s*$', 1), '') as int)"
+#: SQL that puts the compatibility forms the tables hold (hard space, ellipsis, ligature, wide comma) into NFKC.
+COMPATIBLE = "replace(replace(replace(replace({0}, chr(160), ' '), chr(8230), '...'), chr(64257), 'fi'), chr(65292), ',')"
 
 
 def sql_time(c: str) -> str:
@@ -42,8 +45,9 @@ _UNWRAP = r"\\(?:emph|textbf|textit|texttt|mathrm|mathbf|mathcal|text|textsc|url
 
 
 def sql_clean(c: str) -> str:
-    """Normalised text in SQL; compatibility forms other than hard spaces are left to the engine's fold."""
-    s = rf"regexp_replace(nfc_normalize(replace(coalesce({c}, ''), chr(160), ' ')), '\$\$?([^$]*)\$\$?', ' \1 ', 'g')"
+    """Normalised text in SQL."""
+    text = COMPATIBLE.format(f"coalesce({c}, '')")
+    s = rf"regexp_replace(nfc_normalize({text}), '\$\$?([^$]*)\$\$?', ' \1 ', 'g')"
     for _ in range(3):
         s = f"regexp_replace({s}, '{_UNWRAP}', '\\1', 'g')"
     s = rf"regexp_replace({s}, '\\[a-zA-Z]+\*?', ' ', 'g')"
@@ -57,28 +61,30 @@ def sql_key(c: str) -> str:
 
 @_R.add(f"with t as (select row_id, {sql_clean('title')} as t from papers) select row_id, {sql_key('t')} as title_key from t")
 def title_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "papers").select("row_id", X.title_key(F.col("title")).alias("title_key"))
+    p = X.with_normal_forms(table(spark, d, "papers").select("row_id", "title"), ["title"])
+    return p.select("row_id", X.key_of(F.col("__ascii_title")).alias("title_key"))
 
 
 _ENGLISH = "[" + ", ".join(f"'{w}'" for w in X.ENGLISH) + "]"
 _CLEAN = f"""with r as (select *, {BARE} as bid, coalesce(version, {VERSION}, 1) as v, {sql_time('first_submitted')} as d, {sql_time('last_updated')} as u0
     from papers where arxiv_id is not null and title is not null and abstract is not null
     and len(list_filter(string_split_regex(trim(coalesce(categories, '')), '\\s+'), lambda c: starts_with(c, 'cs.'))) > 0),
-  n as (select row_id, bid, v, d, coalesce(u0, d) as u, {sql_clean('title')} as t, {sql_clean('abstract')} as a, categories, primary_category
+  n as (select row_id, bid, v, d, coalesce(u0, d) as u, {sql_clean('title')} as t, {sql_clean('abstract')} as a, categories, primary_category, authors, doi, journal_ref, license
     from r where bid is not null and d >= timestamp '2010-01-01' and d < timestamp '2025-07-01'),
   e as (select *, regexp_extract_all(lower(a), '[a-z]+') as w, {sql_key('t')} as k from n where length(a) >= 50 and t <> ''),
   f as (select * from e where length(regexp_replace(a, '[^\\x00-\\x7F]', '', 'g')) / length(a) >= 0.8
     and len(w) > 0 and len(list_filter(w, lambda x: list_contains({_ENGLISH}, x))) / len(w) >= 0.08),
   o as (select * from (select *, row_number() over (partition by bid order by v desc, u desc, row_id desc) as rn from f) where rn = 1),
   p as (select * from (select *, row_number() over (partition by k order by v desc, u desc, row_id desc) as rk from o) where rk = 1)
-  select bid as arxiv_id, v as version, a as abstract, case when coalesce(primary_category, '') = '' then string_split(categories, ' ')[1] else primary_category end as primary_category,
-    strftime(d, '%Y-%m-%d %H:%M:%S') as submitted, strftime(d, '%Y-%m') as year_month from p"""
+  select bid as arxiv_id, v as version, t as title, a as abstract, coalesce(authors, '') as authors, categories, case when coalesce(primary_category, '') = '' then string_split(categories, ' ')[1] else primary_category end as primary_category,
+    strftime(d, '%Y-%m-%d %H:%M:%S') as submitted, strftime(u, '%Y-%m-%d %H:%M:%S') as updated, coalesce(doi, '') as doi, coalesce(journal_ref, '') as journal_ref, coalesce(license, '') as license, strftime(d, '%Y-%m') as year_month from p"""
 
 
 @_R.add(_CLEAN)
 def clean_papers(spark: SparkSession, d: str) -> DataFrame:
     c = ingest.clean_records(table(spark, d, "papers"), "cs.", "2010-01-01", "2025-06-30")
-    return c.select("arxiv_id", "version", "abstract", "primary_category", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("submitted"), "year_month")
+    at = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    return c.select("arxiv_id", "version", "title", "abstract", "authors", "categories", "primary_category", at("date").alias("submitted"), at("last_updated").alias("updated"), "doi", "journal_ref", "license", "year_month")
 
 
 @_R.add(f"""with p as (select row_id, {BARE} as bid, coalesce(version, {VERSION}, 1) as v, {sql_time('last_updated')} as u from papers)
@@ -174,19 +180,10 @@ def enrich_join(spark: SparkSession, d: str) -> DataFrame:
     return enrich.with_records(table(spark, d, "bundle").select("vec_id", "arxiv_id"), rec, "arxiv_id", {"cited_by_count": 0, "venue": ""}).drop("arxiv_id")
 
 
-@_R.add("""select row_id, case when since is null then true when not has_vec then since >= 14 when age < 91 then since >= 7 when age < 730 then since >= 30 else since >= 90 end as stale from
-  (select row_id, has_vec, datediff('day', added_at::date, date '2025-06-01') as since, datediff('day', try_cast(date as date), date '2025-06-01') as age from live_store where length(date) = 10)""")
-def stale_records(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "live_store").where(F.length("date") == 10)
-    today = F.lit("2025-06-01").cast("date")
-    age = F.date_diff(today, F.to_date("date"))
-    return s.select("row_id", enrich.is_stale(F.to_date("added_at"), today, age, F.col("has_vec"), F.lit(1), 1).alias("stale"))
-
-
 @_R.add("""select row_id, case when since is null then true when not has_vec then since >= 14 when age < 91 then since >= 7 when age < 730 then since >= 30 else since >= 90 end as stale from
   (select row_id, has_vec, datediff('day', added_at::date, date '2025-06-01') as since, datediff('day', coalesce(try_cast(date as date), try_cast(date || '-01' as date), try_cast(date || '-01-01' as date)), date '2025-06-01') as age from live_store)""")
-def stale_records_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every row of the store; `stale_records` leaves out, as its SQL does, those without a full date.
+def stale_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the store.
 
     A year or a month counts from its first day; a row without a readable date is refreshed as the oldest are."""
     today = F.lit("2025-06-01").cast("date")
@@ -205,10 +202,10 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in X.ENGLISH) + "]"
 
 @_R.add(f"""select doc_id, round(case when len(w) > 0 then len(list_filter(w, lambda x: list_contains({_STOP}, x))) / len(w) else 0 end, 9) as score,
   coalesce(length(t) > 0 and length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) / nullif(length(t), 0) >= 0.8 and len(w) > 0 and len(list_filter(w, lambda x: list_contains({_STOP}, x))) / nullif(len(w), 0) >= 0.08, false) as english
-  from (select doc_id, text as t, regexp_extract_all(lower(text), '[a-z]+') as w from documents where text is not null)""")
+  from (select doc_id, coalesce(text, '') as t, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') as w from documents)""")
 def english_documents(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.round(X.english_score(t), 9).alias("score"), X.is_english(t).alias("english"))
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.round(X.english_score(t), 9).alias("score"), X.is_english(t).alias("english"))
 
 
 @_R.add("select doc_id, left(sha1(coalesce(text, '')), 16) as hash from documents")

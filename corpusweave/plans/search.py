@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as X
@@ -11,9 +11,9 @@ from corpusweave.operators import acronyms as A
 from corpusweave.operators import retrieval as R
 from corpusweave.operators import validation as V
 from corpusweave.operators.ingest import latest
-from corpusweave.plans.corpus import BARE
+from corpusweave.plans.corpus import BARE, COMPATIBLE
 from corpusweave.plans.registry import Registry
-from corpusweave.runtime import table
+from corpusweave.runtime import Staging, table
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -27,14 +27,14 @@ def asked_sql(rows: list[tuple[int, str]]) -> str:
     return "(values " + ", ".join(f"({i}, '{t}')" for i, t in rows) + ") as q(query_id, qt)"
 
 
-PLAIN = r"regexp_replace(lower(concat_ws(' ', title, abstract)), '[^a-z0-9 .\-]+', ' ', 'g')"
+#: Whole texts as they are; both sides split them by the same pattern, in any script.
+PLAIN = "lower(concat_ws(' ', title, abstract))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.SEARCH_STOP) + "]"
-_TOK = r"list_filter(regexp_extract_all({0}, '\b\w[\w\-.]*\w\b|\b\w\b'), lambda x: not list_contains(" + _STOP + ", x))"
+_TOK = "list_filter(regexp_extract_all({0}, '" + X.TOKEN.replace("{", "{{").replace("}", "}}") + "'), lambda x: not list_contains(" + _STOP + ", x))"
 
 
 def _plain(spark: SparkSession, d: str) -> DataFrame:
-    t = F.regexp_replace(F.lower(F.concat_ws(" ", "title", "abstract")), r"[^a-z0-9 .\-]+", " ")
-    return table(spark, d, "papers").select(F.col("row_id").alias("doc_id"), t.alias("text"))
+    return table(spark, d, "papers").select(F.col("row_id").alias("doc_id"), F.concat_ws(" ", "title", "abstract").alias("text"))
 
 
 def bm25_sql(pairs: bool, rows: list[tuple[int, str]], source: str = f"select row_id as doc_id, {PLAIN} as t from papers") -> str:
@@ -71,8 +71,7 @@ def bm25_bigram_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @_R.add(f"with docs as (select row_id as doc_id, {PLAIN} as t from papers), ww as (select doc_id, unnest({_TOK.format('t')}) as w from docs) select w as term, count(distinct doc_id) as df, count(*) as cf from ww group by 1")
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
-    index = R.Bm25.build(_plain(spark, d), "doc_id", F.col("text"), False)
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return R.Bm25.build(_plain(spark, d), "doc_id", F.col("text"), False).document_frequency()
 
 
 #: The newest record of each paper that has a usable vector.
@@ -88,10 +87,10 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("vec_id").alias("doc_id"), F.col("arxiv_id").alias("bid"), "labels", F.col("embeddings").cast("array<double>").alias("v")).join(p, "bid").drop("bid")
 
 
-def _asked_vectors(docs: DataFrame) -> DataFrame:
+def _asked_vectors(docs: DataFrame) -> list[tuple[int, list[float]]]:
     """Stand-ins for embedded queries: the vectors of the four documents of least id."""
-    first = docs.select("doc_id", F.col("v").alias("qv")).orderBy("doc_id").limit(len(ASKED))
-    return first.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("query_id"), "qv")
+    first = docs.select("doc_id", "v").orderBy("doc_id").limit(len(ASKED)).collect()
+    return [(i, list(r.v)) for i, r in enumerate(first, 1)]
 
 
 COS = "list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0}) * list_dot_product({1}, {1}))"
@@ -100,9 +99,9 @@ _SIM = "qv as (select row_number() over (order by doc_id) as query_id, v as qv f
 
 @_R.add(f"with {DOCS}, {_SIM} select query_id, doc_id, rank, round(sim, 6) as sim from (select *, row_number() over (partition by query_id order by round(sim, 9) desc, doc_id) as rank from sims) where rank <= 20")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    s = docs.select("doc_id", "v").crossJoin(F.broadcast(_asked_vectors(docs))).select("query_id", "doc_id", F.round(R.dot(R.unit(F.col("v")), R.unit(F.col("qv"))), 9).alias("sim"))
-    return R.top_k(s, 20, score="sim").select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+    docs = Staging(spark).write(_docs(spark, d).select("doc_id", "v"), "docs")
+    top, _ = R.dense_scan(docs, _asked_vectors(docs), 20)
+    return top.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
 USABLE = "u as (select vec_id, labels, list_transform(embeddings, lambda x: x::double) as v from bundle where len(embeddings) = 64 and list_sum(list_transform(embeddings, lambda x: abs(x))) > 0)"
@@ -118,12 +117,12 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @_R.add(f"with {DOCS}, {_SIM} select query_id, round(avg(sim), 6) as base, round(case when count(*) >= 200 then greatest(avg(sim) + 2 * stddev_pop(sim), avg(sim) + 0.5 * (max(sim) - avg(sim))) end, 6) as cutoff from sims group by 1")
 def similarity_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    s = docs.select("doc_id", "v").crossJoin(F.broadcast(_asked_vectors(docs))).select("query_id", "doc_id", R.dot(R.unit(F.col("v")), R.unit(F.col("qv"))).alias("sim"))
-    return R.similarity_cutoff(s).select("query_id", F.round("base", 6).alias("base"), F.round("cutoff", 6).alias("cutoff"))
+    docs = Staging(spark).write(_docs(spark, d).select("doc_id", "v"), "docs")
+    _, sums = R.dense_scan(docs, _asked_vectors(docs), 1)
+    return R.cutoff_of(sums).select("query_id", F.round("base", 6).alias("base"), F.round("cutoff", 6).alias("cutoff"))
 
 
-_FOLD = "regexp_replace(lower(strip_accents(replace(coalesce({0}, ''), chr(160), ' '))), '[^\\x00-\\x7F]', '', 'g')"
+_FOLD = "regexp_replace(lower(strip_accents(" + COMPATIBLE.format("coalesce({0}, '')") + ")), '[^\\x00-\\x7F]', '', 'g')"
 _SING = "case when length(x) <= 3 or regexp_matches(x, '^\\d+$') then x when suffix(x, 'ies') and length(x) > 4 then left(x, length(x) - 3) || 'y' when regexp_matches(x, '(ss|us|is)$') then x when suffix(x, 's') then left(x, length(x) - 1) else x end"
 
 
@@ -143,39 +142,36 @@ _LEVELS = f"""pt as (select doc_id, {_tokens_sql('title')} as tt, {_tokens_sql('
 
 @_R.add(f"with docs as (select row_id as doc_id, title, abstract from papers), {_LEVELS} select query_id::bigint as query_id, doc_id, level from levels")
 def phrase_levels(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "papers")
-    return R.phrase_levels(p, "row_id", F.col("title"), F.col("abstract"), ASKED)
+    return R.phrase_levels(table(spark, d, "papers"), "row_id", "title", "abstract", ASKED)
 
 
 @_R.add(f"""with docs as (select row_id as doc_id, title, abstract from papers), {_LEVELS} select query_id::bigint as query_id, doc_id, array_to_string(list_filter(qw, lambda w: contains(t || a, ' ' || w || ' ')), ' ') as words from levels join pq using (query_id) join ps using (doc_id)""")
 def matched_terms(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "papers")
-    lv = R.phrase_levels(p, "row_id", F.col("title"), F.col("abstract"), ASKED).select("query_id", "doc_id")
+    p = X.with_normal_forms(table(spark, d, "papers").select(F.col("row_id").alias("doc_id"), "title", "abstract"), ["title", "abstract"])
+    t = p.select("doc_id", X.phrase_text(F.col("__ascii_title")).alias("t"), X.phrase_text(F.col("__ascii_abstract")).alias("a"))
+    t = Staging(spark).write(t, "phrase_texts")
     q = F.broadcast(spark.createDataFrame([(i, X.phrase_query(t).split()) for i, t in ASKED], "query_id long, ws array<string>"))
-    text = F.concat(X.phrase_text(F.col("title")), X.phrase_text(F.col("abstract")))
-    t = p.select(F.col("row_id").alias("doc_id"), text.alias("text"))
-    return lv.join(q, "query_id").join(t, "doc_id").select("query_id", "doc_id", F.array_join(R.matched_words(F.col("ws"), F.col("text")), " ").alias("words"))
+    found = R.levels_in(t, ASKED).join(q, "query_id").join(t, "doc_id")
+    return found.select("query_id", "doc_id", F.array_join(R.matched_words(F.col("ws"), F.concat("t", "a")), " ").alias("words"))
 
 
-_LIST = "{0} as (select query_id, doc_id, row_number() over (partition by query_id order by round({1}, 9) desc, doc_id) as rank from {2} qualify rank <= {3})"
+@_R.add(r"""with w as (select row_id, title as t from papers where title is not null)
+  select row_id, regexp_replace(t, '(?i)(^|\W)((?:gait|spam|triage)(?:e?s)?)\b', '\1<mark>\2</mark>', 'g') as marked from w where regexp_matches(t, '(?i)\b(gait|spam|triage)(e?s)?\b')""")
+def highlighted_titles(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "papers").where("title is not null").select("row_id", "title", X.highlight(F.col("title"), ["spam", "triage", "gait"]).alias("marked"))
+    return t.where("marked <> title").select("row_id", "marked")
 
 
-@_R.add()
-def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    s = docs.select("doc_id", "v").crossJoin(F.broadcast(_asked_vectors(docs))).select("query_id", "doc_id", F.round(R.dot(R.unit(F.col("v")), R.unit(F.col("qv"))), 9).alias("sim"))
-    t = F.regexp_replace(F.lower(F.concat_ws(" ", "title", "abstract")), r"[^a-z0-9 .\-]+", " ")
-    index = R.Bm25.build(docs, "doc_id", t)
-    lex = index.scores(spark.createDataFrame(ASKED, "query_id long, text string"), "query_id", F.col("text")).withColumn("score", F.round("score", 9))
-    return R.rrf([R.top_k(s, 50, score="sim"), R.top_k(lex, 50)]).select("query_id", "doc_id", F.round("score", 9).alias("score"))
+_LIST = "{0} as (select query_id, doc_id, row_number() over (partition by query_id order by round({1}, 9) desc, doc_id) as rank from {2} qualify rank <= {3})"
 
 
-_PDOCS = "select doc_id, regexp_replace(lower(coalesce(title, '') || '. ' || coalesce(abstract, '')), '[^a-z0-9 .\\-]+', ' ', 'g') as t from docs"
+_PDOCS = "select doc_id, lower(coalesce(title, '') || '. ' || coalesce(abstract, '')) as t from docs"
 
 
-def hybrid_sql(lexical: str) -> str:
-    return f"""with {DOCS}, {_SIM}, {lexical}, mx as (select query_id, max(score) as m from scored group by 1), {_LEVELS},
-  {_LIST.format('dn', 'sim', 'sims', 100)}, {_LIST.format('lx', 'score', 'scored', 100)},
+def hybrid_sql(lexical: str, where: str = "true") -> str:
+    return f"""with {DOCS}, ok as (select doc_id from docs where {where}), {_SIM.replace('from docs, qv', 'from docs join ok using (doc_id), qv')}, {lexical}, mx as (select query_id, max(score) as m from scored group by 1),
+  {_LEVELS.replace('levels as (select * from lv where', 'levels as (select lv.* from lv join ok using (doc_id) where')},
+  {_LIST.format('dn', 'sim', 'sims', 100)}, {_LIST.format('lx', 'score', '(select scored.* from scored join ok using (doc_id))', 100)},
   al as (select sims.query_id, sims.doc_id, sim, coalesce(score / m, 0) as lex from sims left join scored using (query_id, doc_id) left join mx using (query_id)),
   ex as (select query_id, doc_id, level, sim, lex, row_number() over (partition by query_id order by level, round(sim + 0.5 * lex, 9) desc, doc_id) as r from al join levels using (query_id, doc_id) qualify r <= 100),
   rn as (select query_id, doc_id, row_number() over (partition by src, query_id order by rank) as rank from (select 1 as src, * from dn union all select 2, * from lx) x where not exists (select 1 from levels l where l.query_id = x.query_id and l.doc_id = x.doc_id)),
@@ -187,21 +183,40 @@ def hybrid_sql(lexical: str) -> str:
 
 def _renamed(pairs: bool) -> str:
     """bm25_sql over the documents with vectors, its own document table under another name."""
-    return bm25_sql(pairs, ASKED, _PDOCS).replace("docs as (select doc_id, regexp", "pdocs as (select doc_id, regexp", 1).replace("as ws from docs)", "as ws from pdocs)", 1)
+    return bm25_sql(pairs, ASKED, _PDOCS).replace("docs as (select doc_id, lower", "pdocs as (select doc_id, lower", 1).replace("as ws from docs)", "as ws from pdocs)", 1)
+
+
+def _index(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> R.SearchIndex:
+    return R.SearchIndex.build(_docs(spark, d), keep=keep)
+
+
+def _rounded(got: DataFrame) -> DataFrame:
+    return got.select("query_id", "doc_id", "section", "level", F.round("sim", 6).alias("sim"), F.round("lex", 6).alias("lex"), F.col("rank").cast("long").alias("rank"))
 
 
 @_R.add(hybrid_sql(_renamed(True)))
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    t = F.regexp_replace(F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("abstract", F.lit("")))), r"[^a-z0-9 .\-]+", " ")
-    index = R.Bm25.build(docs, "doc_id", t)
-    got = R.hybrid_search(docs, ASKED, _asked_vectors(docs), index=index)
-    return got.select("query_id", "doc_id", "section", "level", F.round("sim", 6).alias("sim"), F.round("lex", 6).alias("lex"), F.col("rank").cast("long").alias("rank"))
+    index = _index(spark, d)
+    return _rounded(R.hybrid_search(index, ASKED, _asked_vectors(index.docs)))
+
 
+_FILTER = "labels between 0 and 5 and doc_id % 2 = 0"
 
-SQL["rrf_fusion"] = f"""with {DOCS}, {_SIM}, {bm25_sql(True, ASKED, "select doc_id, regexp_replace(lower(concat_ws(' ', title, abstract)), '[^a-z0-9 .\\-]+', ' ', 'g') as t from docs").replace("docs as (select doc_id, regexp", "pdocs as (select doc_id, regexp", 1).replace("as ws from docs)", "as ws from pdocs)", 1)},
-  {_LIST.format('dn', 'sim', 'sims', 50)}, {_LIST.format('lx', 'score', 'scored', 50)}
-  select query_id::bigint as query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from (select * from dn union all select * from lx) group by all"""
+
+@_R.add(hybrid_sql(_renamed(True), _FILTER))
+def hybrid_search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same search with filters, which apply before anything is ranked; the lexical scale stays that of all."""
+    index = _index(spark, d, ("labels",))
+    return _rounded(R.hybrid_search(index, ASKED, _asked_vectors(index.docs), filters=F.expr(_FILTER)))
+
+
+@_R.add(f"""with {DOCS}, {_SIM}, {_renamed(True)}, {_LIST.format('dn', 'sim', 'sims', 50)}, {_LIST.format('lx', 'score', 'scored', 50)}
+  select query_id::bigint as query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from (select * from dn union all select * from lx) group by all""")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    dense, _ = R.dense_scan(index.docs, _asked_vectors(index.docs), 50)
+    lex = index.lexical.scores(spark.createDataFrame(ASKED, "query_id long, text string"), "query_id", F.col("text")).withColumn("score", F.round("score", 9))
+    return R.rrf([dense, R.top_k(lex, 50)]).select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 @_R.add("""select row_id from live_store where added_at >= timestamp '2024-01-01' and added_at < timestamp '2025-01-01' and primary_category in ('cs.LG', 'cs.CL', 'cs.DB') and cited_by_count >= 1 and coalesce(venue, '') <> ''""")
@@ -261,8 +276,28 @@ def search_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg", "precision", "mrr", "recall")))
 
 
-@_R.add()
+#: Each title's first words as a definition, their initials in brackets; it is one if it does not begin with a stop word.
+_DEFINED = "dn as (select regexp_extract_all(lower(title), '[a-z]+')[1:5] as ws from papers where title is not null)"
+_PSTOP = "[" + ", ".join(f"'{w}'" for w in X.PHRASE_STOP) + "]"
+
+
+def _defining_texts(spark: SparkSession, d: str) -> DataFrame:
+    words = F.slice(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), 0), 1, 5)
+    p = table(spark, d, "papers").where("title is not null").select(words.alias("ws"), "abstract").where("size(ws) >= 2")
+    name = F.upper(F.array_join(F.transform("ws", lambda w: F.substring(w, 1, 1)), ""))
+    return p.select(F.concat(F.coalesce("abstract", F.lit("")), F.lit(". "), F.array_join("ws", " "), F.lit(" ("), name, F.lit(") follows (so).")).alias("text"))
+
+
+@_R.add(f"""with {_DEFINED}, nm as (select array_to_string(ws, ' ') as long_form, array_to_string(list_transform(ws, lambda w: w[1]), '') as name from dn where len(ws) >= 2 and not list_contains({_PSTOP}, ws[1]))
+  select list_transform([name], lambda x: {_SING})[1] as acronym, long_form, count(*) as n from nm group by 1, 2""")
 def acronym_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Definitions over all texts and abstracts."""
-    docs = table(spark, d, "documents").select("text").unionByName(table(spark, d, "papers").select(F.col("abstract").alias("text")))
-    return A.mine(docs, "text")
+    """Definitions made of all titles, each in its paper's abstract, found again."""
+    return A.mine(_defining_texts(spark, d), "text")
+
+
+@_R.add()
+def expanded_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every title's first words as a query, expanded by the definitions of all titles and by synonyms."""
+    t = table(spark, d, "papers").where("title is not null").select(F.col("row_id").alias("query_id"), F.col("title").alias("text"))
+    synonyms = spark.createDataFrame([("gait analysis", "walking pattern study"), ("spam triage", "mail sorting")], "term string, other string")
+    return A.expand(t, A.mine(_defining_texts(spark, d), "text"), synonyms)

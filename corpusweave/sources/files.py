@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusweave.functions.ids import bare_id, normalize_doi
+from corpusweave.functions.ids import BARE_ID, PAPER_ID, bare_id, normalize_doi, preprint_id
 from corpusweave.functions.text import collapse, has_category
 
 SNAPSHOT = T.StructType([
@@ -60,7 +60,7 @@ def atom_entries(df: DataFrame, xml: str) -> DataFrame:
     plain = F.regexp_replace(F.col("e"), r"(</?)[A-Za-z]\w*:", "$1")
     parsed = df.select(entry.alias("e")).select(F.from_xml(plain, _ATOM, {"rowTag": "entry"}).alias("x")).select("x.*")
     return parsed.where("id is not null").select(
-        F.regexp_extract("id", r"([^/]+)$", 1).alias("arxiv_id"), collapse(F.col("title")).alias("title"), collapse(F.col("summary")).alias("abstract"),
+        F.regexp_extract("id", rf"((?:{PAPER_ID})(?:v\d+)?)\s*$", 1).alias("arxiv_id"), collapse(F.col("title")).alias("title"), collapse(F.col("summary")).alias("abstract"),
         F.array_join(F.transform("author", lambda a: a["name"]), "; ").alias("authors"), F.array_join(F.transform("category", lambda c: c["_term"]), " ").alias("categories"),
         F.coalesce(F.col("primary_category._term"), F.get("category", F.lit(0))["_term"]).alias("primary_category"),
         F.col("published").alias("first_submitted"), F.col("updated").alias("last_updated"), F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce("journal_ref", F.lit("")).alias("journal_ref"),
@@ -100,9 +100,8 @@ def make_records(df: DataFrame) -> DataFrame:
     """Records of the common shape: texts trimmed, DOI normal, paper id taken from a preprint DOI, year from the date."""
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     doi = F.coalesce(normalize_doi(F.col("doi")), F.lit(""))
-    from_doi = F.regexp_extract(doi, r"^10\.48550/arxiv\.(\d{4}\.\d{4,5})(v\d+)?$", 1)
     year = F.coalesce(F.col("year"), F.when(text("date").rlike(r"^\d{4}"), F.substring(text("date"), 1, 4).cast("int")))
-    paper = F.coalesce(bare_id(F.col("arxiv_id")), F.when(from_doi != "", from_doi), F.lit(""))
+    paper = F.coalesce(bare_id(F.col("arxiv_id")), preprint_id(doi), F.lit(""))
     return df.select(
         "source", "source_id", *(text(c).alias(c) for c in ("title", "abstract", "authors", "date")), year.alias("year"), doi.alias("doi"), paper.alias("arxiv_id"),
         text("venue").alias("venue"), text("primary_category").alias("primary_category"), F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count"), text("url").alias("url"),
@@ -117,7 +116,7 @@ def parse_works(df: DataFrame, payload: str) -> DataFrame:
     from corpusweave.operators.enrich import inverted_text
 
     w = df.select(F.from_json(F.col(payload), _WORK).alias("w")).select("w.*").where("id is not null")
-    pages = F.transform(F.coalesce("locations", F.array()), lambda x: F.regexp_extract(F.coalesce(x["landing_page_url"], F.lit("")), r"/abs/(\d{4}\.\d{4,5})", 1))
+    pages = F.transform(F.coalesce("locations", F.array()), lambda x: F.regexp_extract(F.coalesce(x["landing_page_url"], F.lit("")), rf"/(?:abs|pdf)/{BARE_ID}", 1))
     venue = F.coalesce(F.col("primary_location.source.display_name"), F.lit(""))
     return w.select(
         "id", "doi", F.col("display_name").alias("title"), inverted_text(F.col("abstract_inverted_index")).alias("abstract"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.config import ConfigError, load_config
 from corpusweave.functions import text as X
-from corpusweave.functions.ids import bare_id, normalize_doi, parse_time
+from corpusweave.functions.ids import bare_id, id_version, normalize_doi, parse_time
 from corpusweave.operators import acronyms, clusters, graph, growth, ingest, leads, livestore, retrieval, validation
 from corpusweave.plans import catalogue
 from corpusweave.sources import files, rest
@@ -64,7 +64,7 @@ def test_stratified_sample_weights(spark):
 def test_phrases_and_span(spark):
     rows = [(1, "Spam triage now", ""), (2, "x", "on spam triage"), (3, "triage of any spam", ""), (4, "spam", "a b c d e f g h i triage"), (5, None, None)]
     df = spark.createDataFrame(rows, "id long, title string, abstract string")
-    got = {r.doc_id: r.level for r in retrieval.phrase_levels(df, "id", F.col("title"), F.col("abstract"), [(1, "spam triage")]).collect()}
+    got = {r.doc_id: r.level for r in retrieval.phrase_levels(df, "id", "title", "abstract", [(1, "spam triage")]).collect()}
     assert got == {1: 1, 2: 2, 3: 3}
 
 
@@ -82,13 +82,44 @@ def test_knn_blocks_equal_brute_force(spark):
 
 
 def test_acronyms(spark):
-    df = spark.createDataFrame([("the self-admitted technical debt (SATD) and self-admitted technical debt (SATD)",), ("a graph neural network (GNN) here",), ("none (at all)",), (None,)], "t string")
+    df = spark.createDataFrame([("the self-admitted technical debt (SATD) and self-admitted technical debt (SATD)",), ("a graph neural network (GNN) here",), ("states of the art (SOTAs)",), ("the Rate of Change (RC) and (AB)",), ("none (at all)",), (None,), ("",)], "t string")
     got = {(r.acronym, r.long_form): r.n for r in acronyms.mine(df, "t").collect()}
-    assert got == {("satd", "self admitted technical debt"): 2, ("gnn", "graph neural network"): 1}
-    e = acronyms.expand("SATD tools", {"satd": {"self admitted technical debt": 2}})
-    assert e.api_phrases == ["satd tools", "self admitted technical debt tools"]
-    assert acronyms.expand("self admitted technical debt", {"satd": {"self admitted technical debt": 2}}).added == ["satd"]
-    assert acronyms.expand("", {}).phrases == []
+    assert got == {("satd", "self admitted technical debt"): 2, ("gnn", "graph neural network"): 1, ("sota", "states of the art"): 1, ("rc", "rate of change"): 1}
+    assert {r.n for r in acronyms.merge(acronyms.mine(df, "t"), acronyms.mine(df, "t")).collect()} == {4, 2}
+
+
+def test_expansion(spark):
+    counts = spark.createDataFrame([("satd", "self admitted technical debt", 2), ("td", "technical debt", 9), ("gnnx", "graph neural network", 1), ("td", "touch down", 1)], "acronym string, long_form string, n long")
+    synonyms = spark.createDataFrame([("technical debt", "tech debt")], "term string, other string")
+
+    def phrases(*texts: str, **how) -> list[set[str]]:
+        q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+        rows = acronyms.expand(q, **how).collect()
+        return [{r.phrase for r in rows if r.query_id == i} for i in range(len(texts))]
+
+    a, b, c, d, e, f = phrases("SATD tools", "Self-admitted technical debts", "technical debt", "TD", "graph neural network", "?", counts=counts)
+    assert a == {"satd tool", "self admitted technical debt tool"} and b == {"self admitted technical debt", "satd"}
+    assert c == {"technical debt"} and d == {"td", "technical debt"} and e == {"graph neural network"} and f == set()
+    assert phrases("technical debt", "tech debts", "diffusion", synonyms=synonyms) == [{"technical debt", "tech debt"}, {"tech debt", "technical debt"}, {"diffusion"}]
+    q = spark.createDataFrame([(1, "SATD tools")], "query_id long, text string")
+    assert acronyms.embed_text(acronyms.expand(q, counts)).first().text == "satd tools; self admitted technical debt tools"
+
+
+def test_plurals():
+    assert [X.phrase_query(x) for x in ("Self-Admitted Technical Debts!", "Naïve  Networks", "Strategies", "analysis")] == ["self admitted technical debt", "naive network", "strategy", "analysis"]
+
+
+def test_ids_of_both_kinds(spark):
+    df = spark.createDataFrame([("2501.01234v3",), ("http://preprints.example/abs/cs/0101001v1",), ("math.GT/0309136",), ("nothing",), (None,)], "x string")
+    got = [(r.b, r.v) for r in df.select(bare_id(F.col("x")).alias("b"), id_version(F.col("x")).alias("v")).collect()]
+    assert got == [("2501.01234", 3), ("cs/0101001", 1), ("math.GT/0309136", None), (None, None), (None, None)]
+
+
+def test_span_and_highlight(spark):
+    df = spark.createDataFrame([(" a b c a d b ", ["a", "b", "d"]), (" a b ", ["a", "z"]), (" x ", ["x"]), ("  ", ["x"])], "t string, w array<string>")
+    assert [r.span for r in retrieval.with_span(df, "t", "w").collect()] == [3, None, 1, None]
+    marked = spark.range(1).select(X.highlight(F.lit("Technical debts and debtor"), ["debt", "technical"])).first()[0]
+    assert marked == "<mark>Technical</mark> <mark>debts</mark> and debtor"
 
 
 def test_components_and_bfs(spark):
@@ -108,9 +139,10 @@ def test_assignment_is_optimal():
         assert abs(sum(s[r, c] for r, c in clusters.assignment(s)) - best) < 1e-9
 
 
-def test_labels():
-    assert clusters.area_label(["kv", "cache", "kv cache", "agents", "agent"]) == "KV Cache & Agents"
-    assert clusters.area_label([]) == "Unlabeled area"
+def test_labels(spark):
+    rows = [["kv", "cache", "kv cache", "agents", "agent"], [], ["models", "model", "methods"], ["graphs", "graphics", "query plan", "plans", "iot"], None]
+    df = spark.createDataFrame([(r,) for r in rows], "t array<string>")
+    assert [r[0] for r in df.select(clusters.area_label(F.col("t"))).collect()] == ["KV Cache & Agents", "Unlabeled area", "Models & Methods", "Graphs, Query Plan & IoT", "Unlabeled area"]
 
 
 def test_growth_of_a_planted_cluster(spark):
@@ -130,10 +162,16 @@ def test_growth_of_a_planted_cluster(spark):
 def test_metrics_and_gates(spark):
     grades = spark.createDataFrame([(1, i, g) for i, g in enumerate([2, 0, 1, 0, 2, 0])], "query_id long, doc_id long, grade int")
     ranked = spark.createDataFrame([(1, d, r) for r, d in enumerate([0, 4, 2, 1], 1)], "query_id long, doc_id long, rank int")
-    m = validation.search_metrics(ranked, grades, 3, 25).first()
+    m_table = validation.search_metrics(ranked, grades, 3, 25)
+    m = m_table.first()
     assert (m.ndcg, m.precision, m.mrr, m.recall) == (1.0, 1.0, 1.0, 1.0)
-    out = validation.evaluate_gates({"search": {"ndcg_at_10": 0.8}}, {"search_ndcg_at_10": 0.75, "max_noise_fraction": 0.35}, {"max_noise_fraction"})
-    assert not out["passed"] and out["failed_required"] == ["max_noise_fraction"]
+    found = validation.metrics_of(m=m_table.select(F.col("ndcg").alias("search_ndcg")), q=spark.sql("select 1 as quality_failures"))
+    limits = spark.createDataFrame([("search_ndcg_at_10", 0.75, True), ("max_noise_fraction", 0.35, True), ("unheard_of", 1.0, True)], "gate string, limit double, required boolean")
+    got = {r.gate: (r.passed, r.required) for r in validation.evaluate_gates(found, limits).collect()}
+    assert got == {"search_ndcg_at_10": (True, True), "max_noise_fraction": (False, True), "quality_checks": (False, False)}
+    out = validation.verdict(validation.evaluate_gates(found, limits)).first()
+    assert not out.passed and out.failed_required == ["max_noise_fraction"] and out.failed == ["max_noise_fraction", "quality_checks"]
+    assert validation.verdict(validation.evaluate_gates(found, limits.where("gate like 'search%'"))).first().passed
 
 
 def test_radius_pairs_equal_brute_force(spark):
@@ -157,7 +195,7 @@ def test_every_stored_record_has_a_verdict(spark, tmp_path):
     rows = [(1, "2025-05-01", day(8), True), (2, "2025", day(29), True), (3, "2025", day(30), True), (4, "2025-05", day(7), True), (5, "", day(89), True), (6, None, day(90), True), (7, None, None, True), (8, "", day(14), False), (9, "2020", day(89), True), (10, "soon", day(90), True)]
     df = spark.createDataFrame(rows, "row_id long, date string, added_at timestamp_ntz, has_vec boolean")
     df.write.parquet(str(tmp_path / "live_store.parquet"))
-    got = {r.row_id: r.stale for r in catalogue.QUERIES["stale_records_all"](spark, str(tmp_path)).collect()}
+    got = {r.row_id: r.stale for r in catalogue.QUERIES["stale_records"](spark, str(tmp_path)).collect()}
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 8: True, 9: False, 10: True}
 
 
