@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,27 +14,20 @@ from pyspark.sql import functions as F
 from corpusweave.llm.vectors import matrix, usable
 from corpusweave.runtime import Staging
 
-#: Partial results of more partitions than this are summed in two steps.
-WIDE = 128
+#: Sums of more partitions than WIDE are added up in two steps, sums of no more than DIRECT bytes on the driver.
+WIDE, DIRECT = 128, 16_000_000
+#: Vectors of a node up to which one task bisects it to the end; larger nodes are split by passes over the cluster.
+NODE_ROWS = 20_000
 
 
 @dataclass
 class Tree:
-    """splits[p] = (left node, right node, left centre, right centre), parents before children.
-
-    The tree is over the vectors outside the radius of all known centres."""
+    """splits[p] = (left node, right node, left centre, right centre), parents before children."""
 
     splits: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    known: np.ndarray | None = None
-    radius: float = 1.0
-
-    def outside(self, x: np.ndarray) -> np.ndarray:
-        if self.known is None or not len(self.known):
-            return x
-        return x[(x @ self.known.T).max(1) < self.radius]
 
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), np.int64)
+    def assign(self, x: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+        node = np.zeros(len(x), np.int64) if node is None else node.copy()
         for p, (left, right, a, b) in self.splits.items():
             at = np.flatnonzero(node == p)
             if len(at):
@@ -42,51 +35,88 @@ class Tree:
         return node
 
 
-def _summed(partial: DataFrame, by: str = "node") -> dict[int, np.ndarray]:
-    """Sums of the arrays of partial (node, data) per node, added up on the executors."""
+@dataclass(frozen=True)
+class Limits:
+    """When a node is split: its mean cosine to its centre is below `compact`, it has twice `least` vectors, and one
+    direction of its spread stands out from what a shapeless cloud of its size shows. `lloyd` passes mend a split."""
+
+    compact: float = 0.66
+    least: int = 8
+    lloyd: int = 2
+
+    def halves(self, n: float, s: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """First centres of both halves, on both sides of the mean along the widest direction; none for a leaf."""
+        dim, mean = len(s), s / n
+        if n < 2 * self.least or np.linalg.norm(mean) >= self.compact:
+            return None
+        values, vectors = np.linalg.eigh(m / n - np.outer(mean, mean))
+        cloud = max(values.sum(), 1e-12) / dim * (1 + np.sqrt(dim / n)) ** 2
+        if values[-1] <= 1.15 * cloud:
+            return None
+        step = np.sqrt(values[-1]) * vectors[:, -1]
+        return _unit(mean + step), _unit(mean - step)
+
+
+def bisect_here(x: np.ndarray, limits: Limits) -> list[tuple[int, np.ndarray]]:
+    """(size, sum) of the leaves of the vectors x, by the same rule as over the cluster."""
+    todo, leaves = [x], []
+    while todo:
+        x = todo.pop()
+        n, s = len(x), x.sum(0)
+        two = limits.halves(n, s, x.T @ x)
+        if two is not None:
+            side = x @ (two[0] - two[1]) >= 0
+            for _ in range(limits.lloyd):
+                if side.all() or not side.any():
+                    break
+                side = x @ (_unit(x[side].sum(0)) - _unit(x[~side].sum(0))) >= 0
+            if side.any() and not side.all():
+                todo += [x[side], x[~side]]
+                continue
+        leaves.append((n, s))
+    return leaves
+
+
+def _summed(rows: DataFrame, run: Callable, nodes: int, width: int) -> dict[int, np.ndarray]:
+    """Sums of the arrays that `run` gives per node and partition (node, data); `width` numbers are expected a node."""
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(d) for d in pdf["data"])
         return pd.DataFrame({"node": [pdf["node"].iloc[0]], "data": [total.tobytes()]})
 
-    if partial.rdd.getNumPartitions() > WIDE:
-        few = partial.withColumn("slice", F.spark_partition_id() % WIDE)
-        partial = few.groupBy(by, "slice").applyInPandas(add, "node long, data binary")
-    return {r.node: np.frombuffer(r.data) for r in partial.groupBy(by).applyInPandas(add, "node long, data binary").collect()}
+    partial, parts = rows.mapInArrow(run, "node long, data binary"), rows.rdd.getNumPartitions()
+    if 8 * parts * nodes * width > DIRECT:
+        if parts > WIDE:
+            partial = partial.withColumn("slice", F.spark_partition_id() % WIDE).groupBy("node", "slice").applyInPandas(add, "node long, data binary")
+        partial = partial.groupBy("node").applyInPandas(add, "node long, data binary")
+    out: dict[int, np.ndarray] = {}
+    for r in partial.collect():
+        out[r.node] = out[r.node] + np.frombuffer(r.data) if r.node in out else np.frombuffer(r.data)
+    return out
 
 
-def _moments(points: DataFrame, dim: int, tree: Tree, nodes: set[int]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """(count, sum, second moment) of each of the nodes over all their vectors."""
+def _per_node(dim: int, assign: Callable[[np.ndarray, np.ndarray], np.ndarray], nodes: frozenset[int], what: Callable[[np.ndarray, int], np.ndarray]) -> Callable:
+    """A pass over rows (v, node): the sum of `what` of each node's vectors, a row for each of the nodes met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = tree.outside(matrix(batch.column("v"), dim))
-            node = tree.assign(x)
+            x = matrix(batch.column("v"), dim)
+            node = assign(x, batch.column("node").to_numpy(zero_copy_only=False))
             for p in nodes.intersection(node.tolist()):
-                y = x[node == p]
-                got = np.concatenate([[len(y)], y.sum(0), (y.T @ y).ravel()])
+                got = what(x[node == p], p)
                 total[p] = total[p] + got if p in total else got
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["node", "data"])
 
-    got = _summed(points.mapInArrow(run, "node long, data binary"))
-    return {p: (d[0], d[1 : dim + 1], d[dim + 1 :].reshape(dim, dim)) for p, d in got.items()}
+    return run
 
 
-def _halves(points: DataFrame, dim: int, tree: Tree, trial: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
-    """Counts and sums of both sides of each node on trial."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            x = tree.outside(matrix(batch.column("v"), dim))
-            node = tree.assign(x)
-            for p, (a, b) in trial.items():
-                y = x[node == p]
-                if len(y):
-                    side = y @ (a - b) >= 0
-                    got = np.concatenate([[side.sum(), (~side).sum()], y[side].sum(0), y[~side].sum(0)])
-                    total[p] = total[p] + got if p in total else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["node", "data"])
+def moments(x: np.ndarray, _: int = 0) -> np.ndarray:
+    return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+
 
-    return _summed(points.mapInArrow(run, "node long, data binary"))
+def second_moment(points: DataFrame, dim: int) -> np.ndarray:
+    """Mean outer product of all unit vectors of points (id, v)."""
+    got = _summed(points.select("v", F.lit(0).cast("long").alias("node")), _per_node(dim, lambda x, node: node, frozenset({0}), moments), 1, 1 + dim + dim * dim)
+    return got[0][dim + 1 :].reshape(dim, dim) / got[0][0] if got else np.zeros((dim, dim))
 
 
 def _near(points: DataFrame, dim: int, centres: np.ndarray, radius: float) -> dict[int, np.ndarray]:
@@ -104,7 +134,7 @@ def _near(points: DataFrame, dim: int, centres: np.ndarray, radius: float) -> di
                 total[int(p)] = total[int(p)] + got if int(p) in total else got
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["node", "data"])
 
-    return _summed(points.mapInArrow(run, "node long, data binary"))
+    return _summed(points, run, len(centres), 1 + dim)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -112,62 +142,134 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / n if n else x
 
 
-def fit_centres(
-    points: DataFrame, dim: int, radius: float = 0.55, compact: float = 0.66, least: int = 8, max_leaves: int = 1024,
-    lloyd: int = 3, merge: float = 0.75,
-) -> np.ndarray:
-    """Mean directions of the clusters of points (id, v).
-
-    A node is split while its mean cosine to its centre is below `compact` and one direction of its spread stands out
-    from what a shapeless cloud of its size shows; the nodes of the largest dispersion first, as many at once as
-    `max_leaves` leaves room for. A split starts on both sides of the mean along the widest direction and is mended by
-    `lloyd` passes. Every pass covers all vectors; only sums per node, of a size set by `dim` and `max_leaves`, reach
-    the driver. A cluster cut in two by an early split has leaves of nearly equal direction: leaves whose centres have
-    a cosine of `merge` are joined, then centres are moved to the mean of the vectors within `radius`. Clusters of
-    fewer than `least` vectors within the radius are noise. A compact leaf may still hide a small cluster beside a large
-    one: the vectors outside the radius of all centres are bisected again, until that finds no further centre.
+@dataclass
+class Clusters:
+    """Mean directions of the clusters, and (size, sum) of the leaves of the trees they come from."""
+
+    centres: np.ndarray
+    leaves: list[tuple[int, np.ndarray]]
+
+
+def fit(points: DataFrame, dim: int, radius: float = 0.55, limits: Limits = Limits(), merge: float = 0.75) -> Clusters:
+    """Clusters of points (id, v) from the leaves of bisecting k-means.
+
+    Every node that is not compact is split (see Limits), those of the largest dispersion first where one goes before
+    another: nodes are independent, so the order and the number split at once change nothing. A cluster cut in two by an
+    early split has leaves of nearly equal direction: leaves whose centres have a cosine of `merge` are joined, then
+    centres are moved to the mean of the vectors within `radius`. Clusters of fewer than limits.least vectors within the
+    radius are noise. A compact leaf may still hide a small cluster beside a large one: the vectors outside the radius
+    of all centres are written and bisected again, until that finds no further centre. Only sums per node and leaf reach
+    the driver.
     """
-    centres = np.zeros((0, dim))
+    staging = Staging(points.sparkSession)
+    centres, leaves, rows = np.zeros((0, dim)), [], points
     while True:
-        found = _bisect(points, dim, Tree(known=centres, radius=radius), compact, least, max_leaves, lloyd, merge)
-        after = _refined(points, dim, np.concatenate([centres, found]), radius, least, merge)
+        fresh = bisect(rows, dim, limits)
+        leaves += fresh
+        found = _joined(fresh, dim, merge)
+        after = _refined(points, dim, np.concatenate([centres, found]), radius, limits.least, merge) if len(found) else centres
         if len(after) <= len(centres):
-            return after if len(after) else centres
+            return Clusters(after if len(after) else centres, leaves)
         centres = after
+        rows = staging.write(_outside(points, dim, centres, radius), "outside")
 
 
-def _bisect(points: DataFrame, dim: int, tree: Tree, compact: float, least: int, max_leaves: int, lloyd: int, merge: float) -> np.ndarray:
-    open_nodes, leaves, next_id = {0}, {}, 1
+def _outside(points: DataFrame, dim: int, centres: np.ndarray, radius: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("v"), dim)
+            yield batch.filter(pa.array((x @ centres.T).max(1, initial=-1) < radius))
+
+    return points.mapInArrow(run, points.schema)
+
+
+def bisect(points: DataFrame, dim: int, limits: Limits) -> list[tuple[int, np.ndarray]]:
+    """(size, sum) of the leaves of points (id, v).
+
+    While a node has more than NODE_ROWS vectors, all such nodes are split at once: a pass for their moments and
+    limits.lloyd passes for their halves, over the vectors of such nodes only, which are written anew whenever they have
+    become half as many. Smaller nodes are then bisected to the end by one task each.
+    """
+    staging = Staging(points.sparkSession)
+    zero = F.lit(0).cast("long")
+    rows, tree, open_nodes, written = points.select("v", zero.alias("node")), Tree(), [0], None
+    ready: list[DataFrame] = []  # vectors of nodes small enough for a task
+    leaves: list[tuple[int, np.ndarray]] = []
+    next_id = 1
     while open_nodes:
+        large = frozenset(open_nodes)
+        now = lambda x, node, tree=tree: tree.assign(x, node)
+        found = _summed(rows, _per_node(dim, now, large, moments), len(large), 1 + dim + dim * dim)
         trial: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        sizes = _moments(points, dim, tree, open_nodes)
-        spread = {p: n - np.linalg.norm(s) for p, (n, s, _) in sizes.items()}
-        for p in sorted(spread, key=lambda p: -spread[p]):
-            n, s, m = sizes[p]
-            mean = s / n
-            values, vectors = np.linalg.eigh(m / n - np.outer(mean, mean))
-            cloud = max(values.sum(), 1e-12) / dim * (1 + np.sqrt(dim / n)) ** 2
-            leaves[p] = (n, s)
-            room = len(leaves) + len(trial) < max_leaves
-            if n >= 2 * least and np.linalg.norm(mean) < compact and values[-1] > 1.15 * cloud and room:
-                step = np.sqrt(values[-1]) * vectors[:, -1]
-                trial[p] = (_unit(mean + step), _unit(mean - step))
-        if not trial:
-            break
-        for _ in range(lloyd):
-            for p, d in _halves(points, dim, tree, trial).items():
-                a, b = d[2 : dim + 2], d[dim + 2 :]
-                if d[0] and d[1]:
-                    trial[p] = (_unit(a), _unit(b))
-        open_nodes = set()
+        small: set[int] = set()
+        for p in sorted(found, key=lambda p: np.linalg.norm(found[p][1 : dim + 1]) - found[p][0]):
+            n, s = found[p][0], found[p][1 : dim + 1]
+            two = limits.halves(n, s, found[p][dim + 1 :].reshape(dim, dim))
+            if two is None:
+                leaves.append((int(n), s))
+            elif n <= NODE_ROWS:
+                small.add(p)
+            else:
+                trial[p] = two
+        for _ in range(limits.lloyd):
+            def sides(x: np.ndarray, p: int, trial=trial) -> np.ndarray:
+                side = x @ (trial[p][0] - trial[p][1]) >= 0
+                return np.concatenate([[side.sum(), (~side).sum()], x[side].sum(0), x[~side].sum(0)])
+
+            if trial:
+                got = _summed(rows, _per_node(dim, now, frozenset(trial), sides), len(trial), 2 + 2 * dim)
+                for p, d in got.items():
+                    if d[0] and d[1]:
+                        trial[p] = (_unit(d[2 : dim + 2]), _unit(d[dim + 2 :]))
+                    else:  # nothing parts its vectors
+                        leaves.append((int(found[p][0]), found[p][1 : dim + 1]))
+                        del trial[p]
+        if small:
+            ready.append(_of_nodes(rows, dim, tree, frozenset(small)))
+        tree = Tree(dict(tree.splits))
+        open_nodes = []
         for p, (a, b) in trial.items():
             tree.splits[p] = (next_id, next_id + 1, a, b)
-            open_nodes |= {next_id, next_id + 1}
-            del leaves[p]
+            open_nodes += [next_id, next_id + 1]
             next_id += 2
-    order = sorted(leaves.values(), key=lambda l: -np.linalg.norm(l[1]))
+        still = sum(found[p][0] for p in trial)
+        before = 2 * sum(d[0] for d in found.values()) if written is None else written
+        if open_nodes and still <= before / 2:
+            if small:  # their rows are in the table that is about to be left
+                ready[-1] = staging.write(ready[-1], "small_nodes")
+            rows, tree, written = staging.write(_of_nodes(rows, dim, tree, frozenset(open_nodes)), "open_nodes"), Tree(), still
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = bisect_here(np.array(pdf["v"].tolist(), np.float64).reshape(-1, dim), limits)
+        return pd.DataFrame({"n": [n for n, _ in got], "s": [s.tobytes() for _, s in got]})
+
+    if ready:
+        every = ready[0]
+        for r in ready[1:]:
+            every = every.unionByName(r)
+        leaves += [(r.n, np.frombuffer(r.s)) for r in every.groupBy("node").applyInPandas(finish, "n long, s binary").collect()]
+    return leaves
+
+
+def _of_nodes(rows: DataFrame, dim: int, tree: Tree, nodes: frozenset[int]) -> DataFrame:
+    """(v, node): unit vectors of the nodes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.array(sorted(nodes))
+        for batch in batches:
+            x = matrix(batch.column("v"), dim)
+            node = tree.assign(x, batch.column("node").to_numpy(zero_copy_only=False))
+            keep = np.isin(node, wanted)
+            flat = pa.array(x[keep].astype(np.float32).ravel())
+            v = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([v, pa.array(node[keep])], ["v", "node"])
+
+    return rows.select("v", "node").mapInArrow(run, "v array<float>, node long")
+
+
+def _joined(leaves: list[tuple[int, np.ndarray]], dim: int, merge: float) -> np.ndarray:
+    """Directions of the leaves, those of nearly one direction together, the most distinct leaf first."""
     sums: list[np.ndarray] = []
-    for _, s in order:
+    for _, s in sorted(leaves, key=lambda leaf: -np.linalg.norm(leaf[1])):
         like = [k for k, t in enumerate(sums) if _unit(s) @ _unit(t) >= merge]
         if like:
             sums[like[0]] = sums[like[0]] + s
@@ -176,6 +278,16 @@ def _bisect(points: DataFrame, dim: int, tree: Tree, compact: float, least: int,
     return np.array([_unit(s) for s in sums]).reshape(-1, dim)
 
 
+def leaf_table(points: DataFrame, found: Clusters, radius: float = 0.55) -> DataFrame:
+    """(leaf_id, size, cohesion, cluster_id): the leaves of the trees, the largest first, and the cluster that each one's
+    direction lies in; -1 where that is none."""
+    rows = []
+    for k, (n, s) in enumerate(sorted(found.leaves, key=lambda leaf: (-leaf[0], leaf[1].tolist()))):
+        sim = found.centres @ _unit(s) if len(found.centres) else np.zeros(0)
+        rows.append((k, int(n), float(np.linalg.norm(s) / n), int(sim.argmax()) if len(sim) and sim.max() >= radius else -1))
+    return points.sparkSession.createDataFrame(rows, "leaf_id int, size long, cohesion double, cluster_id int")
+
+
 def _refined(points: DataFrame, dim: int, centres: np.ndarray, radius: float, least: int, merge: float) -> np.ndarray:
     """Centres moved to the mean of the vectors within their radius; those with too few or like a larger one go."""
     for _ in range(3):
@@ -215,9 +327,8 @@ def cluster_vectors(bundle: DataFrame, dim: int = 64, radius: float = 0.55) -> D
     Null, all-zero and otherwise dimensioned vectors are left out; repeated vectors count as often as they occur. An
     empty table gives an empty result. The unit vectors are written once and read by each pass.
     """
-    staging = Staging(bundle.sparkSession)
-    points = staging.write(usable(bundle, "vec_id", "embeddings", dim), "points")
-    got = members(points, dim, fit_centres(points, dim, radius), radius)
+    points = Staging(bundle.sparkSession).write(usable(bundle, "vec_id", "embeddings", dim), "points")
+    got = members(points, dim, fit(points, dim, radius).centres, radius)
     labels = bundle.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("labels").alias("stored_label"))
     return labels.join(got.withColumnRenamed("id", "vec_id"), "vec_id")
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusweave.llm.bisecting import Tree, _moments
+from corpusweave.llm.bisecting import second_moment
 from corpusweave.llm.vectors import matrix, usable
 from corpusweave.runtime import Staging
 
@@ -50,8 +50,7 @@ def plant(points: DataFrame, n: int, dim: int, trees: int, wanted: int, levels:
     """
     planes = np.random.default_rng(seed).normal(size=(dim, trees * BITS))
     if whiten and n:
-        count, _, m = _moments(points, dim, Tree(), {0})[0]
-        values, vectors = np.linalg.eigh(m / count)
+        values, vectors = np.linalg.eigh(second_moment(points, dim))
         planes = (vectors / np.sqrt(np.maximum(values, values[-1] * 1e-4))) @ vectors.T @ planes
     limit = max(8192, 2 * wanted // trees, n * trees // MOST_BLOCKS)
     forest = Forest(planes, trees, levels, [np.zeros(1, np.int64) for _ in range(trees)])

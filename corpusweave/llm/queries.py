@@ -64,6 +64,14 @@ def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return describe(Staging(spark).write(cluster_vectors(table(spark, folder, "bundle")), "clustered"))
 
 
+def p5_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.bisecting import fit, leaf_table
+    from corpusweave.llm.vectors import usable
+
+    points = Staging(spark).write(usable(table(spark, folder, "bundle"), "vec_id", "embeddings", 64), "points")
+    return leaf_table(points, fit(points, 64))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from corpusweave.llm.forest import similar_pairs
 
@@ -115,7 +123,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), capacity, overlap, oversized_only=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p6_found, p6_knn, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p5_leaves, p6_found, p6_knn, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
 
 _BARE = r"nullif(regexp_extract({0}, '(\d{{4}}\.\d{{4,5}})(?:v\d+)?\s*$', 1), '')"
 _TIME = (

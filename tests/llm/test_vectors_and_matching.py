@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusweave.llm import bisecting as B
 from corpusweave.llm import matching as M
 from corpusweave.llm.bisecting import cluster_vectors, describe, mislabelled
 from corpusweave.llm.forest import nearest_neighbours, similar_pairs
+from corpusweave.llm.vectors import usable
 
 BUNDLE = "vec_id long, embeddings array<float>, labels int, model string, level string"
 
@@ -56,6 +58,30 @@ def test_clusters_and_wrong_labels(spark, bundle):
     assert {about[c]["size"] for c in about} == {300, 120, 60, 40, 30, 20} and all(len(r.typical_members) == 5 for r in about.values())
 
 
+def test_nodes_split_over_the_cluster_give_the_same_clusters(spark, bundle, monkeypatch):
+    df, rows, truth = bundle
+    cluster = lambda: {r.vec_id: r.cluster_id for r in cluster_vectors(df).collect()}
+    here = cluster()
+    monkeypatch.setattr(B, "NODE_ROWS", 25)
+    monkeypatch.setattr(B, "DIRECT", 0)
+    there = cluster()
+    assert len({(here[i], there[i]) for i in here}) == len(set(here.values())) == len(set(there.values()))
+
+
+def test_leaves(spark, bundle):
+    df, rows, truth = bundle
+    points = usable(df, "vec_id", "embeddings", 64)
+    found = B.fit(points, 64)
+    got = B.leaf_table(points, found).collect()
+    assert sum(r.size for r in got) >= len(rows) and {r.cluster_id for r in got} >= set(range(6))
+    assert [r.size for r in got] == sorted((r.size for r in got), reverse=True)
+
+
+def test_vectors_that_nothing_parts(spark):
+    same = spark.createDataFrame([(i, [1.0] * 64, 1, "m", "x") for i in range(40)], BUNDLE)
+    assert {r.cluster_id for r in cluster_vectors(same).collect()} == {0}
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], BUNDLE)
     assert cluster_vectors(none).count() == 0 and similar_pairs(none).count() == 0 and nearest_neighbours(none).count() == 0
