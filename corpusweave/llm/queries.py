@@ -92,6 +92,14 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), capacity)
 
 
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusweave.llm.packing import fill_report
+    from corpusweave.llm.splitting import size_limit
+
+    capacity, _ = size_limit(table(spark, folder, "size_limits"), "context_2k")
+    return fill_report(Staging(spark).write(p7_pack(spark, folder), "packed"), capacity)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_shares(spark, folder).where("unreachable").select("source")
 
@@ -123,7 +131,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), capacity, overlap, oversized_only=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p5_leaves, p6_found, p6_knn, p7_pack, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p5_leaves, p6_found, p6_knn, p7_pack, p7_fill, p8_found, p8_shares, p8_mix, p9_found, p9_pieces)}
 
 _BARE = r"nullif(regexp_extract({0}, '(\d{{4}}\.\d{{4,5}})(?:v\d+)?\s*$', 1), '')"
 _TIME = (

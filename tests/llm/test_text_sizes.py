@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm import tokens
 from corpusweave.llm.mixing import mix
-from corpusweave.llm.packing import pack, plan_containers
+from corpusweave.llm.packing import fill_report, pack, plan_containers
 from corpusweave.llm.splitting import RightmostMax, boundary_strengths, cut_points, split_oversized, split_text
 
 
@@ -84,14 +84,28 @@ def test_plan_is_tight_and_complete():
     for _ in range(20000):
         n = min(2048, max(1, int(rng.lognormvariate(5.5, 1))))
         counts[n] = counts.get(n, 0) + 1
-    plan = plan_containers(counts, 2048, (256, 512, 1024))
-    used = {}
-    for items, times, fill in zip(plan.items, plan.times, plan.fill):
-        assert sum(n * k for n, k in items) == fill <= 2048
-        for n, k in items:
-            used[n] = used.get(n, 0) + k * times
-    assert used == counts
-    assert sum(f * t for f, t in zip(plan.fill, plan.times)) / (2048 * sum(plan.times)) > 0.99
+    for tiers in ((256, 512, 1024), (), (300, 700), (2048, 4096, 0)):
+        windows, containers = plan_containers(counts, 2048, tiers)
+        used, made, placed = {}, {}, {}
+        for items, times, fill, tier in zip(windows.items, windows.times, windows.fill, windows.tier):
+            assert sum(n * k for n, k in items) == fill <= tier
+            assert min(t for t in (*[t for t in tiers if 0 < t < 2048], 2048) if t >= items[0][0]) == tier
+            made[fill] = made.get(fill, 0) + times
+            for n, k in items:
+                used[n] = used.get(n, 0) + k * times
+        for items, times, fill in zip(containers.items, containers.times, containers.fill):
+            assert sum(n * k for n, k in items) == fill <= 2048
+            for n, k in items:
+                placed[n] = placed.get(n, 0) + k * times
+        assert used == counts and placed == made
+        assert sum(f * t for f, t in zip(containers.fill, containers.times)) / (2048 * sum(containers.times)) > (0.98 if 700 in tiers else 0.99)  # odd tiers waste some
+
+
+def test_tiers_change_the_plan_and_keep_short_texts_together():
+    counts = {n: 40 for n in range(20, 1500, 7)}
+    with_tiers, without = plan_containers(counts, 2048, (256, 512, 1024))[0], plan_containers(counts, 2048, ())[0]
+    assert sorted(map(tuple, with_tiers.items)) != sorted(map(tuple, without.items))
+    assert set(with_tiers.tier) == {256, 512, 1024, 2048} and set(without.tier) == {2048}
 
 
 def test_pack_places_every_piece_once(spark, tok):
@@ -107,6 +121,9 @@ def test_pack_places_every_piece_once(spark, tok):
     assert real.n_tokens.sum() == sum(len(tok.encode(t)) for _, t, _ in rows if t)
     fill = real.n_tokens.sum() / (128 * real.container_id.nunique())
     assert fill > 0.97
+    report = fill_report(pack(df, 128, (16, 32, 64), 4), 128).toPandas()
+    assert report.containers.sum() == real.container_id.nunique() and report.tokens.sum() == real.n_tokens.sum() and report["items"].sum() == len(real)
+    assert (report.padding == report.containers * 128 - report.tokens).all()
     steps = real.groupby("step_group").n_tokens.sum()
     assert steps.max() - steps.min() <= 128 * 2
     assert pack(df.limit(0), 128).count() == 0
