@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusweave.llm import neardup as N
 from corpusweave.llm.components import connected_components, store_groups
 from corpusweave.llm.neardup import near_duplicates, signatures, similar_papers
 from corpusweave.llm.shingles import Shingler, words_of
@@ -104,6 +105,35 @@ def test_copies_above_the_hot_share_pair_across_all_ids(spark):
     assert copies == {i: 0 for i in range(1, 60)} | {61: 60, 62: 60}
 
 
+@pytest.mark.parametrize("sample", [20_000, 40])
+def test_recall_at_the_threshold(spark, monkeypatch, sample):
+    """Pairs of a similarity just above 0.5, plain and in buckets spread by salt through a title that all share."""
+    monkeypatch.setattr(N, "SAMPLE_ROWS", sample)
+    monkeypatch.setattr(N, "SAMPLE_LEAST", 5)
+    rng = random.Random(12)
+    rows, n = [], 150
+    for g in range(n):
+        own = [f"g{g}w{rng.randrange(10**6)}" for _ in range(120)]
+        edited = own[:84] + [f"g{g}x{rng.randrange(10**6)}" for _ in range(34)]
+        rows += [(2 * g, f"24{g // 90 + 10}.{2 * g:05d}", " ".join(own)), (2 * g + 1, f"24{g // 90 + 10}.{2 * g + 1:05d}", " ".join(edited))]
+    title = "a study of the many words that all of these papers have in common"
+    assert 0.5 <= min(jaccard(title + " " + rows[2 * g][2], title + " " + rows[2 * g + 1][2], 3) for g in range(n)) < 0.62
+    df = spark.createDataFrame([(i, a, title, t) for i, a, t in rows], "row_id long, arxiv_id string, title string, abstract string")
+    got = {tuple(r) for r in similar_papers(df).collect()}
+    want = {(rows[2 * g][1], rows[2 * g + 1][1]) for g in range(n)}
+    assert got <= want and len(got) >= 0.9 * n
+
+
+def test_texts_tied_to_different_centres_are_compared(spark):
+    words = [f"u{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(words[a : a + 60])) for i, a in enumerate((0, 12, 30, 18))], "id long, text string")
+    sim = lambda a, b: jaccard(*(" ".join(words[x : x + 60]) for x in (a, b)), 1)
+    # 0 and 2 are centres, 1 is tied to 0 alone and 3 to 2 alone; both are compared with both centres.
+    tested = spark.createDataFrame([(0, 1, sim(0, 12)), (0, 2, sim(0, 30)), (0, 3, sim(0, 18)), (1, 2, sim(12, 30)), (2, 3, sim(30, 18))], "a long, b long, sim double")
+    found = N.NearDuplicates(docs, docs.select("id", F.col("id").alias("rep")).limit(0), tested.where("sim >= 0.66"), 1, 0.66, tested)
+    assert (1, 3) not in {(r.a, r.b) for r in found.links.collect()} and (1, 3) in {(r.a, r.b) for r in found.pairs().collect()}
+
+
 def brute_components(pairs):
     label = {n: n for p in pairs for n in p}
     for _ in label:
