@@ -12,7 +12,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     from corpusweave.llm.survivors import paper_survivors, store_survivors
 
     def led(found, name: str) -> DataFrame:
-        return found.chosen.select(F.lit(name).alias("table_name"), F.col("__key").alias("group_key"), F.col("anchor_row").alias("row_id"))
+        return found.chosen.select(F.lit(name).alias("table_name"), F.col("__key").alias("group_key"), F.col("row_lead").alias("row_id"))
 
     papers = led(paper_survivors(table(spark, folder, "papers")), "papers")
     return papers.unionByName(led(store_survivors(table(spark, folder, "live_store")), "live_store"))

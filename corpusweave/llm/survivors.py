@@ -33,7 +33,7 @@ class Dependency:
 
 @dataclass
 class Survivors:
-    """chosen (key, anchor_row, row_<bundle>..., trust): the row that leads each group and the row each bundle is from."""
+    """chosen (key, row_lead, row_<bundle>..., trust): the row that leads each group and the row each bundle is from."""
 
     chosen: DataFrame
     rows: DataFrame
@@ -43,7 +43,7 @@ class Survivors:
 
     def records(self) -> DataFrame:
         """One record per group, its fields filled from the chosen rows: one join for all bundles and one aggregate."""
-        parts = [("__anchor", "anchor_row", self.anchor_fields), *((b.name, f"row_{b.name}", b.fields) for b in self.bundles)]
+        parts = [("__lead", "row_lead", self.anchor_fields), *((b.name, f"row_{b.name}", b.fields) for b in self.bundles)]
         wanted = self.chosen.select(
             F.col("__key").alias("__k"),
             F.explode(F.array(*(F.struct(F.lit(n).alias("part"), F.col(c).alias("row_id")) for n, c, _ in parts))).alias("w"),
@@ -52,7 +52,7 @@ class Survivors:
         full = self.rows.select("row_id", *(F.col(f).alias(f"__f_{f}") for f in fields))
         picked = wanted.join(full, "row_id")
         return picked.groupBy(F.col("__k").alias(self.key)).agg(
-            F.max(F.when(F.col("part") == "__anchor", F.col("row_id"))).alias("row_id"),
+            F.max(F.when(F.col("part") == "__lead", F.col("row_id"))).alias("row_id"),
             *(F.max(F.when(F.col("part") == n, F.col(f"__f_{f}"))).alias(f) for n, _, fs in parts for f in fs if f != "row_id"),
         )
 
@@ -63,14 +63,16 @@ def survivors(
 ) -> Survivors:
     """One survivor per group of two or more rows of one non-null key; `rows` has a unique `row_id`.
 
-    The anchor is the row greatest by `anchor` (nulls least), then of the least row_id. The other bundles are the
-    choice of greatest total trust that the dependencies admit. Branch and bound, a bundle at a level and all groups
-    at once:
-    * bound: the best total of a single row is reachable, so a candidate whose trust, with the best of all other
-      bundles, stays below it is cut before any search, and a partial choice likewise at each level;
+    The choice is the greatest by the lead, which is the row greatest by `anchor` (nulls least), then of the least
+    row_id, and after it by the total trust of the other bundles that the dependencies admit. Branch and bound, a bundle
+    at a level and all groups at once, the lead at the first:
+    * bound: the best lead and the best total of a single row are reachable, so a lead below the best is cut, as is a
+      candidate whose trust, with the best of all other bundles, stays below the total, and a partial choice likewise at
+      each level;
     * dominance: of partial choices that the remaining dependencies cannot tell apart only the best is kept.
-    Ties go to the lesser row ids, in the order of the bundles. A level is a join and an aggregate on the key; the
-    bounds come from partial aggregates, so no group is ever gathered in a task, however many rows it has.
+    Ties go to the lesser row ids, in the order of the bundles. A level is a join and an aggregate: a choice that binds a
+    bundle meets the candidates of its own value, one that does not, or an empty bundle, those of the group. The bounds
+    come from partial aggregates, so no group is ever gathered in a task, however many rows it has.
     """
     names = [b.name for b in bundles]
     staging = Staging(rows.sparkSession)
@@ -85,17 +87,18 @@ def survivors(
         F.count(F.lit(1)).alias("n"), F.max("__ident").alias("ident"), F.max(total).alias("reachable"),
         *(F.max(f"t_{n}").alias(f"m_{n}") for n in names),
     ).where("n > 1").drop("n")
-    groups = staging.write(groups.select("*", (-F.col("ident.row")).alias("anchor_row")).drop("ident"), "groups")
+    groups = staging.write(groups, "groups")
 
     best = reduce(lambda a, b: a + b, (F.col(f"m_{n}") for n in names))
-    bounded = base.drop("__ident").join(groups.drop("anchor_row"), "__key")
+    bounded = base.join(groups, "__key")
     xs = [F.col(f"x_{i}") for i in range(len(dependencies))]
 
     def relevant(name: str) -> list[Column]:
         """Of the dependencies' values, those that matter to a bundle; the others must not tell candidates apart."""
         return [F.when(F.lit(name in (d.of, d.on)), x).alias(f"c_{i}") for i, (d, x) in enumerate(zip(dependencies, xs))]
 
-    options = F.array(*(
+    is_lead = F.col("__ident") == F.col("ident")
+    options = F.array(F.when(is_lead, F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("trust"), *relevant(""))), *(
         F.when(
             F.col(f"t_{n}") + best - F.col(f"m_{n}") >= F.col("reachable"),
             F.struct(F.lit(k).alias("level"), F.col(f"t_{n}").alias("trust"), *relevant(n)),
@@ -107,32 +110,49 @@ def survivors(
     cand = cand.groupBy(*by).agg(F.max(F.struct("trust", (-F.col("__row")).alias("neg"))).alias("b"))
     cand = staging.write(cand.select(*by, F.col("b.trust").alias("trust"), (-F.col("b.neg")).alias("row")), "candidates")
 
-    partial = groups.select("__key", "anchor_row", "reachable", *(f"m_{n}" for n in names), F.lit(0).cast("long").alias("score"))
-    kept: list[str] = []
-    open_x: list[int] = []
+    lead = cand.where("level = -1").select("__key", F.col("row").alias("row_lead"))
+    partial = groups.select("__key", "reachable", *(f"m_{n}" for n in names), F.lit(0).cast("long").alias("score")).join(lead, "__key")
+    kept = ["row_lead"]
     for k, name in enumerate(names):
         step = cand.where(F.col("level") == k).drop("level")
-        joined = partial.join(step, "__key")
+        binds = [i for i, d in enumerate(dependencies) if d.on == name]
+        joined = _bound(partial, step, binds, [i for i, d in enumerate(dependencies) if d.of == name])
         later = reduce(lambda a, b: a + b, (F.col(f"m_{n}") for n in names[k + 1 :]), F.lit(0))
-        ok = F.col("score") + F.col("trust") + later >= F.col("reachable")
-        for i, d in enumerate(dependencies):
-            if d.on == name:
-                ok &= F.col(f"s_{i}").isNull() | (F.col("trust") == 0) | F.col(f"s_{i}").eqNullSafe(F.col(f"c_{i}"))
-        joined = joined.where(ok).withColumn("score", F.col("score") + F.col("trust")).withColumn(f"row_{name}", F.col("row"))
+        joined = joined.where(F.col("score") + F.col("trust") + later >= F.col("reachable"))
+        joined = joined.withColumn("score", F.col("score") + F.col("trust")).withColumn(f"row_{name}", F.col("row"))
         kept.append(f"row_{name}")
         after = [i for i, d in enumerate(dependencies) if d.of in names[: k + 1] and d.on in names[k + 1 :]]
-        joined = joined.withColumns({f"s_{i}": F.col(f"c_{i}") for i, d in enumerate(dependencies) if d.of == name and i in after} or {"score": F.col("score")})
+        joined = joined.withColumns({f"s_{i}": F.col(f"c_{i}") for i in after if dependencies[i].of == name} or {"score": F.col("score")})
         state = ["__key", *(f"s_{i}" for i in after)]
-        carried = [c for c in ("anchor_row", "reachable", *(f"m_{n}" for n in names[k + 1 :]))]
+        carried = ["reachable", *(f"m_{n}" for n in names[k + 1 :])]
         best_of = F.max(F.struct("score", *((-F.col(c)).alias(c) for c in kept))).alias("w")
         partial = joined.groupBy(*state).agg(best_of, *(F.first(c).alias(c) for c in carried))
         partial = partial.select(*state, *carried, F.col("w.score").alias("score"), *((-F.col(f"w.{c}")).alias(c) for c in kept))
-        open_x = after
-    assert not open_x
-    chosen = partial.select("__key", "anchor_row", *kept, F.col("score").alias("trust"))
+    chosen = partial.select("__key", *kept, F.col("score").alias("trust"))
     return Survivors(chosen, rows, key_name, bundles, anchor_fields)
 
 
+def _bound(partial: DataFrame, step: DataFrame, binds: list[int], opens: list[int]) -> DataFrame:
+    """Partial choices with the candidates that the dependencies `binds` admit.
+
+    A bound choice meets the candidates of its value by an equi-join and, of the empty ones, the best for each value
+    that a later dependency, in `opens`, may ask for; so a group of n values gives of the order of n rows, never n times
+    n. Several dependencies on one bundle are met by the first and then tested by the others."""
+    if not binds:
+        return partial.join(step, "__key")
+    i, others = binds[0], binds[1:]
+    free = partial.where(F.col(f"s_{i}").isNull()).join(step, "__key")
+    tied = partial.where(F.col(f"s_{i}").isNotNull())
+    same = tied.join(step.where("trust > 0").withColumn(f"s_{i}", F.col(f"c_{i}")), ["__key", f"s_{i}"])
+    kept = [f"c_{j}" for j in opens]
+    none = step.where("trust = 0").groupBy("__key", *kept).agg(F.min("row").alias("row")).withColumn("trust", F.lit(0).cast("long"))
+    none = none.withColumns({c: F.lit(None).cast("long") for c in step.columns if c not in none.columns} or {"row": F.col("row")})
+    out = free.unionByName(same).unionByName(tied.join(none, "__key"))
+    for j in others:
+        out = out.where(F.col(f"s_{j}").isNull() | (F.col("trust") == 0) | F.col(f"s_{j}").eqNullSafe(F.col(f"c_{j}")))
+    return out
+
+
 def _filled(*fields: str) -> Column:
     return reduce(lambda a, b: a + b, ((F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) != "").cast("long") for f in fields))
 

@@ -196,7 +196,7 @@ def test_branch_and_bound_reaches_the_best_total(spark):
     for g, rs in groups.items():
         if len(rs) > 1:
             assert got[str(g)].trust == brute_survivor(rs, "abc", [("a", "x", "b")]), g
-            assert got[str(g)].anchor_row == max(rs, key=lambda r: (r["t_b"], -r["row_id"]))["row_id"]
+            assert got[str(g)].row_lead == max(rs, key=lambda r: (r["t_b"], -r["row_id"]))["row_id"]
 
 
 PAPERS = "row_id long, arxiv_id string, title string, abstract string, authors string, categories string, primary_category string, first_submitted string, last_updated string, doi string, journal_ref string, license string, ingested_at timestamp_ntz, source string, year_month string, version int, part string"
@@ -213,7 +213,7 @@ def test_paper_survivor_order_and_filling(spark):
         paper(6, "2401.00003"), paper(7, None), paper(8, "2401.00004", 1, None), paper(9, "2401.00004", 1, None),
     ]
     found = paper_survivors(spark.createDataFrame(rows, PAPERS))
-    led = {r["__key"]: r.anchor_row for r in found.chosen.collect()}
+    led = {r["__key"]: r.row_lead for r in found.chosen.collect()}
     assert led == {"2401.00001": 2, "2401.00002": 4, "2401.00004": 8}
     rec = {r.group_key: r for r in found.records().collect()}["2401.00001"]
     assert (rec.row_id, rec.arxiv_id, rec.abstract, rec.doi) == (2, "arXiv:2401.00001v2", "A", "10.1/x")
@@ -227,7 +227,7 @@ def test_store_survivor_counts_sources_once(spark):
     day = lambda n: dt.datetime(2024, 1, n)
     rows = [row(1, "p", "arxiv ; ARXIV;arxiv", day(9)), row(2, "p", "arxiv; openalex", day(2)), row(3, "q", None, day(1)), row(4, "q", "", day(1)), row(5, "q", None, None), row(6, "r", "x", day(1)), row(7, None, "x", day(1))]
     found = store_survivors(spark.createDataFrame(rows, schema))
-    assert {r["__key"]: r.anchor_row for r in found.chosen.collect()} == {"p": 2, "q": 3}
+    assert {r["__key"]: r.row_lead for r in found.chosen.collect()} == {"p": 2, "q": 3}
 
 
 def test_no_groups_no_survivors(spark):
