@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.ids import bare_id, id_version, parse_time
+from corpusweave.operators.ranks import first_of_groups
 from corpusweave.functions.text import cleaned, has_category, is_english, key_of, with_normal_forms
 
 #: Columns of a cleaned corpus.
@@ -138,7 +139,8 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, cap: int) -> D
     """At most `cap` rows, filled evenly over the strata, each with the weight its stratum's rows then stand for.
 
     What the even level leaves over goes one by one to the strata with the most rows left. Rows are taken in the order
-    of a hash of their key. The strata's sizes, one row per category and month, are what the driver sees.
+    of a hash of their key, in hashed parts of a stratum first. The strata's sizes, one row per category and month, are
+    what the driver sees and what is broadcast.
     """
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
     rows = sorted(sizes.collect(), key=lambda r: tuple(map(str, r[: len(strata)])))
@@ -154,14 +156,12 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, cap: int) -> D
         [(*r[: len(strata)], q, r.n / q if q else 0.0) for r, q in zip(rows, quota)],
         ", ".join(f"{s} {df.select(s).schema[0].dataType.simpleString()}" for s in strata) + ", __quota int, sample_weight double",
     )
-    w = Window.partitionBy(*strata).orderBy(F.md5(F.col(key).cast("string")), key)
-    ranked = df.withColumn("__rn", F.row_number().over(w))
-    same = [ranked[s].eqNullSafe(plan[s]) for s in strata]
-    cond = same[0]
-    for s in same[1:]:
-        cond &= s
-    joined = ranked.join(plan, cond).where("__rn <= __quota")
-    return joined.select(*(ranked[c] for c in df.columns), "sample_weight")
+    same = df[strata[0]].eqNullSafe(plan[strata[0]])
+    for c in strata[1:]:
+        same &= df[c].eqNullSafe(plan[c])
+    known = df.join(F.broadcast(plan), same).select(*(df[c] for c in df.columns), "__quota", "sample_weight")
+    ranked = first_of_groups(known, strata, [F.md5(F.col(key).cast("string")), F.col(key)], F.col("__quota"), key)
+    return ranked.select(*df.columns, "sample_weight")
 
 
 def round_robin(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:

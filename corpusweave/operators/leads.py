@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.operators.clusters import k_distances, reduce_dims
+from corpusweave.operators.ranks import first_of_groups, quantile
 from corpusweave.operators.retrieval import knn
+from corpusweave.runtime import Staging
 
 
 def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
@@ -36,7 +38,7 @@ def map_radius(points: DataFrame, k: int = 10) -> float:
     area = max(span[0] or 0.0, 1e-9) * max(span[1] or 0.0, 1e-9)
     r = float(np.sqrt(area * (k + 1) / max(1, span[2]) / np.pi))
     for _ in range(8):
-        got = density(points, r).agg(F.percentile("density", F.lit(0.5))).first()[0] or 0
+        got = quantile(density(points, r), "density", 0.5) or 0
         if k * 0.8 <= got <= k * 1.25:
             break
         r *= float(np.sqrt(k / max(got, 0.5)))
@@ -46,8 +48,9 @@ def map_radius(points: DataFrame, k: int = 10) -> float:
 def low_density(points: DataFrame, percentile: float, radius: float | None = None) -> DataFrame:
     """(id, density) of points whose density is at most the percentile of all."""
     d = density(points, radius or map_radius(points))
-    edge = d.agg(F.percentile("density", F.lit(percentile / 100)).alias("edge"))
-    return d.crossJoin(F.broadcast(edge)).where("density <= edge").select("id", "density")
+    d = Staging(points.sparkSession).write(d, "density")
+    edge = quantile(d, "density", percentile / 100)
+    return d.where(F.col("density") <= F.lit(edge)).select("id", "density")
 
 
 def sparse_leads(points: DataFrame, dim: int, percentile: float = 20, k: int = 10, seeds: tuple[int, ...] = (1, 2), robust: float = 0.6, most: int = 12) -> list[dict]:
@@ -57,14 +60,15 @@ def sparse_leads(points: DataFrame, dim: int, percentile: float = 20, k: int = 1
     def mapped(p: DataFrame) -> DataFrame:
         return reduce_dims(p, 2).select("id", "cluster_id", F.col("r")[0].alias("x"), F.col("r")[1].alias("y"))
 
-    flat = mapped(points).persist()
+    staging = Staging(points.sparkSession)
+    flat = staging.write(mapped(points), "map")
     r = map_radius(flat)
     low = low_density(flat, percentile, r).select("id")
     clustered = flat.where("cluster_id >= 0").select(F.col("id").alias("other"))
     beside = radius_pairs(flat, 2 * r).join(clustered, "other", "left_semi").select("id").unionByName(clustered.select(F.col("other").alias("id"))).distinct()
     kd = k_distances(points.select("id", "v"), k, dim)
-    median = kd.agg(F.percentile("kd", F.lit(0.5)).alias("m"))
-    anchors = low.join(beside, "id", "left_semi").join(kd.crossJoin(F.broadcast(median)).where("kd >= m").select("id", "kd"), "id").persist()
+    kd = staging.write(kd, "k_distances")
+    anchors = staging.write(low.join(beside, "id", "left_semi").join(kd.where(F.col("kd") >= F.lit(quantile(kd, "kd", 0.5))), "id"), "anchors")
     votes = anchors.select("id")
     for seed in seeds:
         part = points.withColumn("__keep", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10)) < 8)
@@ -91,14 +95,18 @@ def sparse_leads(points: DataFrame, dim: int, percentile: float = 20, k: int = 1
     return [t | {"nearest_cluster": of.get(t["id"]), "evidence": evidence.get(t["id"], [])} for t in taken]
 
 
-def quota_sample(df: DataFrame, cap: int, group: str, order: str, key: str) -> DataFrame:
-    """About `cap` rows, each group by its share and at least one, the largest by `order` first."""
+def quota_sample(df: DataFrame, cap: int, group: str, order: str, key: str, forced: DataFrame | None = None) -> DataFrame:
+    """About `cap` rows, each group by its share and at least one, the largest by `order` first; and, whatever the
+    quotas, every row whose key is among `forced` (key), such as the matches of a search. No row comes twice."""
     n = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     total = n.agg(F.sum("__n").alias("__all"))
-    quota = n.crossJoin(F.broadcast(total)).select(group, F.greatest(F.lit(1), F.round(F.lit(cap) * F.col("__n") / F.greatest(F.lit(cap), F.col("__all")))).cast("int").alias("__q"))
-    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(order), key)
-    ranked = df.withColumn("__rn", F.row_number().over(w))
-    return ranked.join(quota, group).where("__rn <= __q").drop("__rn", "__q")
+    quota = n.crossJoin(F.broadcast(total)).select(F.col(group).alias("__g"), F.greatest(F.lit(1), F.round(F.lit(cap) * F.col("__n") / F.greatest(F.lit(cap), F.col("__all")))).cast("int").alias("__q"))
+    known = df.join(quota, df[group].eqNullSafe(quota["__g"])).drop("__g")
+    got = first_of_groups(known, [group], [F.desc_nulls_last(order), F.col(key)], F.col("__q"), key).drop("rank", "__q")
+    if forced is None:
+        return got
+    more = df.join(forced.select(key).distinct(), key, "left_semi").join(got.select(key), key, "left_anti")
+    return got.unionByName(more.select(*got.columns))
 
 
 def area_bubbles(nodes: DataFrame) -> DataFrame:

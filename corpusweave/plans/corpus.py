@@ -164,8 +164,9 @@ def citation_velocity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_R.add("""with b as (select (doi is not null and doi <> '')::int as m, strftime(added_at, '%Y-%m') as year_month, primary_category as category from live_store),
-  c as (select category, avg(m) as rate, count(*) as n, row_number() over (order by count(*) desc, category nulls first) as r from b group by 1)
-  select 'all' as kind, '' as value, round(avg(m), 6) as rate, count(*) as n from b
+  c as (select category, avg(m) as rate, count(*) as n, row_number() over (order by count(*) desc, category nulls first) as r from b group by 1),
+  o as (select k.kind, round(avg((doi is not null and doi <> '')::int), 6) as rate, count(*) as n from live_store, (select max(added_at) as t from live_store), (values (3, 'older_3m'), (6, 'older_6m')) k(months, kind) where added_at < (t - to_months(k.months))::date group by 1)
+  select kind, '' as value, rate, n from o union all select 'all' as kind, '' as value, round(avg(m), 6) as rate, count(*) as n from b
   union all select 'month', year_month, round(avg(m), 6), count(*) from b group by year_month
   union all select 'category', category, round(rate, 6), n from c where r <= 40""")
 def match_stats_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -173,6 +174,12 @@ def match_stats_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     return enrich.match_stats(s, F.col("doi").isNotNull() & (F.col("doi") != ""), "added_at", "primary_category")
 
 
+@_R.add(f"""with s as (select record_id, {sql_key(sql_clean('title'))} as k from source_records), l as (select {sql_key(sql_clean('title'))} as k, min(row_id) as row_id from live_store group by 1)
+  select record_id, row_id from s join l using (k) where length(k) >= 12""")
+def title_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.by_title(table(spark, d, "source_records"), table(spark, d, "live_store"), "record_id", "row_id")
+
+
 @_R.add("""with l as (select * from (select *, row_number() over (partition by paper_id order by added_at desc, row_id desc) as rn from live_store) where rn = 1)
   select b.vec_id, coalesce(l.cited_by_count, 0) as cited_by_count, coalesce(l.venue, '') as venue from bundle b left join l on l.paper_id = b.arxiv_id""")
 def enrich_join(spark: SparkSession, d: str) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import shutil
 import time
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusweave.operators.ingest import in_window, latest
 
@@ -83,45 +82,147 @@ def release_diff(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return a.unionByName(old.select(key).distinct().join(new.select(key), key, "left_anti").withColumn("change", F.lit("removed")))
 
 
+class Folder:
+    """A folder of the file system that its path names, local or shared by a cluster."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def folders(self) -> list[str]:
+        if not self.exists(""):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.isDirectory())
+
+    def read(self, name: str) -> str | None:
+        if not self.exists(name):
+            return None
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Replace a file as a whole: the text goes to another name, which then takes its place."""
+        aside = f"{name}.{uuid.uuid4().hex[:8]}.tmp"
+        stream = self._fs.create(self._path(aside), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self._fs.delete(self._path(name), False)
+        self._fs.rename(self._path(aside), self._path(name))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+
 class Releases:
-    """Immutable release folders with a pointer to the current one."""
+    """Immutable release folders with a pointer to the current one, a list of pinned ones and a log of changes."""
 
-    def __init__(self, root: str):
-        self.root = Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.folder = spark, Folder(spark, root)
 
     def list(self) -> list[str]:
-        return sorted(p.name for p in self.root.iterdir() if p.is_dir() and (p / "manifest.json").exists())
+        return [n for n in self.folder.folders() if self.folder.exists(f"{n}/manifest.json")]
+
+    def manifest(self, name: str) -> dict:
+        return json.loads(self.folder.read(f"{name}/manifest.json"))
+
+    def tables(self, name: str) -> list[str]:
+        return self.manifest(name)["tables"]
 
     def current(self) -> str | None:
-        pointer = self.root / "CURRENT"
-        name = pointer.read_text().strip() if pointer.exists() else ""
+        name = (self.folder.read("CURRENT") or "").strip()
         return name if name in self.list() else None
 
     def publish(self, tables: dict[str, DataFrame], meta: dict, gates: dict | None = None, force: bool = False) -> str:
         """Write a release and point to it; a release whose required gates failed is refused unless forced."""
         if gates and not gates.get("passed") and not force:
             raise ValueError(f"required gates failed: {gates.get('failed_required')}")
-        name = time.strftime("%Y.%m.%d.") + str(1 + sum(r.startswith(time.strftime("%Y.%m.%d.")) for r in self.list()))
+        day = time.strftime("%Y.%m.%d.")
+        last = max((int(n[len(day) :]) for n in self.folder.folders() if n.startswith(day) and n[len(day) :].isdigit()), default=0)
+        name = f"{day}{last + 1}"
         for table, df in tables.items():
-            df.write.parquet(f"{self.root / name / table}")
-        (self.root / name / "manifest.json").write_text(json.dumps({"id": name, "tables": sorted(tables), "gates": gates, **meta}, default=str))
+            df.write.parquet(f"{self.folder.root}/{name}/{table}")
+        self.folder.write(f"{name}/manifest.json", json.dumps({"id": name, "tables": sorted(tables), "gates": gates, **meta}, default=str))
+        self._log(name, "published", {t: df.count() for t, df in ((t, self.read(self.spark, t, name)) for t in tables)})
         self.set_current(name)
         return name
 
+    def _log(self, name: str, what: str, more: dict | None = None) -> None:
+        line = json.dumps({"release": name, "change": what, "at": time.strftime("%Y-%m-%dT%H:%M:%S"), **({"rows": more} if more else {})})
+        self.folder.write("changes.jsonl", (self.folder.read("changes.jsonl") or "") + line + "\n")
+
+    def changes(self) -> list[dict]:
+        return [json.loads(x) for x in (self.folder.read("changes.jsonl") or "").splitlines()]
+
     def set_current(self, name: str) -> None:
         if name not in self.list():
             raise ValueError(f"no release {name}")
-        fresh = self.root / "CURRENT.tmp"
-        fresh.write_text(name)
-        fresh.replace(self.root / "CURRENT")
+        self.folder.write("CURRENT", name)
+        self._log(name, "current")
+
+    def pinned(self) -> set[str]:
+        return set(json.loads(self.folder.read("PINNED") or "[]"))
+
+    def pin(self, name: str, keep: bool = True) -> None:
+        if name not in self.list():
+            raise ValueError(f"no release {name}")
+        self.folder.write("PINNED", json.dumps(sorted(self.pinned() | {name} if keep else self.pinned() - {name})))
 
     def prune(self, keep: int, pinned: set[str] = frozenset()) -> list[str]:
         """Remove the oldest releases beyond `keep`; the current one and pinned ones stay."""
-        gone = [r for r in self.list()[:-keep or None] if r != self.current() and r not in pinned]
+        names = sorted(self.list(), key=lambda n: [int(x) if x.isdigit() else 0 for x in n.split(".")])
+        gone = [r for r in names[: max(0, len(names) - keep)] if r != self.current() and r not in pinned | self.pinned()]
         for r in gone:
-            shutil.rmtree(self.root / r)
+            self.folder.delete(r)
+            self._log(r, "removed")
         return gone
 
     def read(self, spark: SparkSession, table: str, name: str | None = None) -> DataFrame:
-        return spark.read.parquet(str(self.root / (name or self.current()) / table))
+        return spark.read.parquet(f"{self.folder.root}/{name or self.current()}/{table}")
+
+
+def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
+    """df with exactly the columns of schema: missing ones by default or null, others cast, further ones dropped."""
+    def column(f: T.StructField):
+        default = (defaults or {}).get(f.name)
+        if f.name not in df.columns:
+            return F.lit(default).cast(f.dataType).alias(f.name)
+        got = F.col(f.name).try_cast(f.dataType) if not isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else F.col(f.name).cast(f.dataType)
+        return (F.coalesce(got, F.lit(default).cast(f.dataType)) if default is not None else got).alias(f.name)
+
+    return df.select(*(column(f) for f in schema.fields))
+
+
+def save_bundle(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: dict, csv_rows: int = 20_000) -> None:
+    """Tables as Parquet and a manifest; a table of plain columns and at most `csv_rows` rows as CSV beside it."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        flat = not any(isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) for f in df.schema.fields)
+        if flat and spark.read.parquet(f"{root}/{name}").limit(csv_rows + 1).count() <= csv_rows:
+            df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/{name}.csv")
+    Folder(spark, root).write("meta.json", json.dumps({"tables": sorted(tables), **meta}, default=str))
+
+
+def load_bundle(spark: SparkSession, root: str, schemas: dict[str, T.StructType], defaults: dict[str, dict] | None = None) -> tuple[dict[str, DataFrame], dict]:
+    """(tables, meta) of a saved bundle in the shape of today's schemas, from CSV where there is no Parquet; tables that
+    an older bundle lacks are empty."""
+    folder, out = Folder(spark, root), {}
+    for name, schema in schemas.items():
+        if folder.exists(name):
+            df = spark.read.option("mergeSchema", True).parquet(f"{root}/{name}")
+        elif folder.exists(f"{name}.csv"):
+            df = spark.read.option("header", True).csv(f"{root}/{name}.csv")
+        else:
+            df = spark.createDataFrame([], schema)
+        out[name] = conform(df, schema, (defaults or {}).get(name))
+    return out, json.loads(folder.read("meta.json") or "{}")

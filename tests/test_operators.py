@@ -259,7 +259,7 @@ def test_store_and_releases(spark, tmp_path):
     store.upsert(df([("b", 2, "2024-01")]))
     store.upsert(df([("c", 1, "2024-02"), ("b", 1, "2024-01")]))
     assert {(r.arxiv_id, r.version) for r in store.read().collect()} == {("a", 1), ("b", 2), ("c", 1)}
-    releases = Releases(str(tmp_path / "rel"))
+    releases = Releases(spark, str(tmp_path / "rel"))
     names = [releases.publish({"papers": df([("a", 1, "2024-01")])}, {}) for _ in range(3)]
     assert releases.current() == names[-1] and releases.read(spark, "papers").count() == 1
     releases.set_current(names[0])
