@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import os
 from datetime import date
 from pathlib import Path
@@ -31,6 +32,76 @@ class Data(_Section):
     sampling: str = Field("stratified", pattern="^(stratified|newest|none)$")
     min_abstract_chars: int = Field(50, ge=0)
     english_only: bool = True
+    allow_synthetic: bool = False
+
+
+class Embedding(_Section):
+    backend: str = Field("auto", pattern="^(auto|svd|transformer)$")
+    dim: int = Field(64, gt=1)
+    batch_size: int = Field(10_000, gt=0)
+
+
+class Index(_Section):
+    backend: str = Field("auto", pattern="^(auto|exact|cells)$")
+    exact_rows: int = Field(300_000, gt=0)
+    probes: int | None = Field(None, gt=0)
+
+
+class Reduce(_Section):
+    backend: str = Field("auto", pattern="^(auto|pca)$")
+    cluster_dims: int = Field(8, gt=1)
+
+
+class Store(_Section):
+    root: str = "data/store"
+    month_column: str = "year_month"
+
+
+class Enrichment(_Section):
+    enabled: bool = True
+    batch_size: int = Field(50, gt=0)
+    title_lookups: int = Field(200, ge=0)
+    retry_days: int = Field(14, ge=0)
+    horizon_days: int = Field(90, gt=0)
+
+
+class Graph(_Section):
+    neighbours: int = Field(6, gt=0)
+    coupling_boost: float = Field(0.15, ge=0)
+    most_boost: float = Field(0.5, ge=0)
+
+
+class Labels(_Section):
+    keywords: int = Field(8, gt=0)
+    vocabulary: int = Field(10_000, gt=0)
+    overrides: dict[str, str] = {}
+
+
+class Leads(_Section):
+    percentile: float = Field(20, gt=0, lt=100)
+    neighbours: int = Field(10, gt=0)
+    robustness: float = Field(0.6, ge=0, le=1)
+    most: int = Field(12, ge=0)
+
+
+class Live(_Section):
+    enabled: bool = False
+    sources: list[str] = []
+    timeout_seconds: float = Field(8.0, gt=0)
+    page_size: int = Field(25, gt=0)
+    cache_seconds: float = Field(86_400, ge=0)
+    rel_floor: float = Field(0.5, ge=0, le=1)
+    most_results: int = Field(50, gt=0)
+
+
+class Releases(_Section):
+    root: str = "data/releases"
+    keep: int = Field(5, gt=0)
+
+
+class Logging(_Section):
+    level: str = Field("INFO", pattern="^(DEBUG|INFO|WARNING|ERROR)$")
+    json_lines: bool = True
 
 
 class Search(_Section):
@@ -71,6 +142,17 @@ class Config(_Section):
     environment: str = Field("development", pattern="^(development|production)$")
     seed: int = 42
     data: Data = Data()
+    embedding: Embedding = Embedding()
+    index: Index = Index()
+    reduce: Reduce = Reduce()
+    store: Store = Store()
+    enrichment: Enrichment = Enrichment()
+    graph: Graph = Graph()
+    labels: Labels = Labels()
+    leads: Leads = Leads()
+    live: Live = Live()
+    releases: Releases = Releases()
+    logging: Logging = Logging()
     search: Search = Search()
     growth: Growth = Growth()
     clusters: Clusters = Clusters()
@@ -120,3 +202,42 @@ def load_config(path: str, env: dict[str, str] | None = None, prefix: str = "WEA
     if cfg.data.date_end == "auto":
         cfg.data.date_end = date.today().isoformat()
     return cfg
+
+
+def resolve_backends(cfg: Config, rows: int) -> dict[str, str]:
+    """Which way each part is done: what is asked for, or for `auto` what the size calls for. What Spark does itself is
+    always there; a transformer needs its library and is refused without it."""
+    from importlib.util import find_spec
+
+    if cfg.embedding.backend == "transformer" and find_spec("sentence_transformers") is None:
+        raise ConfigError("the transformer backend needs the library sentence_transformers")
+    index = cfg.index.backend
+    if index == "auto":
+        index = "exact" if rows <= cfg.index.exact_rows else "cells"
+    return {
+        "embedding": "svd" if cfg.embedding.backend == "auto" else cfg.embedding.backend, "index": index,
+        "reduce": "pca" if cfg.reduce.backend == "auto" else cfg.reduce.backend, "clusters": cfg.clusters.backend, "store": "parquet",
+    }
+
+
+class JsonLines(logging.Formatter):
+    """A log record as one line of JSON, with what `extra` gave it and the error's text."""
+
+    KNOWN = frozenset(logging.LogRecord("", 0, "", 0, "", (), None).__dict__) | {"message", "asctime"}
+
+    def format(self, record: logging.LogRecord) -> str:
+        line = {"at": self.formatTime(record, "%Y-%m-%dT%H:%M:%S"), "level": record.levelname, "logger": record.name, "message": record.getMessage()}
+        line |= {k: v for k, v in record.__dict__.items() if k not in self.KNOWN}
+        if record.exc_info:
+            line["error"] = self.formatException(record.exc_info)
+        return json.dumps(line, default=str)
+
+
+def configure_logging(cfg: Logging, name: str = "corpusweave") -> logging.Logger:
+    """The package's logger, writing to standard error in the configured form."""
+    log, handler = logging.getLogger(name), logging.StreamHandler()
+    if cfg.json_lines:
+        handler.setFormatter(JsonLines())
+    log.handlers[:] = [handler]
+    log.setLevel(cfg.level)
+    return log

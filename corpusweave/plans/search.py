@@ -200,7 +200,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(R.hybrid_search(index, ASKED, _asked_vectors(index.docs)))
 
 
-_FILTER = "labels between 0 and 5 and doc_id % 2 = 0"
+_FILTER = "labels between 0 and 5"
 
 
 @_R.add(hybrid_sql(_renamed(True), _FILTER))

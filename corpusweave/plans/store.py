@@ -12,7 +12,7 @@ from corpusweave.plans.corpus import BARE, sql_key, sql_clean
 from corpusweave.plans.registry import Registry
 from corpusweave.runtime import Staging, table
 from corpusweave.sources import files
-from corpusweave.sources.store import dedup_history, release_diff
+from corpusweave.sources.store import PaperStore, conform, dedup_history, load_bundle, release_diff, save_bundle
 from corpusweave.streaming import streams
 
 _R = Registry()
@@ -28,10 +28,14 @@ def history_dedup(spark: SparkSession, d: str) -> DataFrame:
 @_R.add("""with a as (select *, 0 as b from orders where o_orderkey % 3 <> 0 union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1, o_orderdate, o_orderpriority, 1 from orders where o_orderkey % 2 = 0)
   select o_orderkey, o_totalprice, o_orderdate from (select *, row_number() over (partition by o_orderkey order by b desc) as rn from a) where rn = 1""")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    old = o.where("o_orderkey % 3 <> 0").withColumn("b", F.lit(0))
-    new = o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("b", F.lit(1))
-    return latest(old.unionByName(new), ["o_orderkey"], [F.desc("b")]).select("o_orderkey", "o_totalprice", "o_orderdate")
+    """Two deliveries upserted into a partitioned store, which is then read."""
+    import uuid
+
+    o = table(spark, d, "orders").withColumn("year_month", F.date_format("o_orderdate", "yyyy-MM"))
+    store = PaperStore(spark, f"{Staging(spark).root}/store-{uuid.uuid4().hex[:8]}", "o_orderkey")
+    store.upsert(o.where("o_orderkey % 3 <> 0"))
+    store.upsert(o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    return store.read().select("o_orderkey", "o_totalprice", "o_orderdate")
 
 
 @_R.add(f"""with a as (select distinct {BARE} as k from papers where source = 'bulk'), b as (select distinct {BARE} as k from papers where source = 'oai')
@@ -146,7 +150,73 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, lambda s: streams.deduplicated(s, "ts", ["event_id"]).select("event_id"), "append")
 
 
-@_R.add("select user_id, max_by(value, event_id) as value, count(*) as n from events group by 1")
+def _with_state_store(spark: SparkSession):
+    """Sets the state store that keyed state needs; undone when the query has run."""
+    from contextlib import contextmanager
+
+    @contextmanager
+    def held():
+        name = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(name, None)
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            yield
+        finally:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+    return held()
+
+
+@_R.add("""with f as (select paper_id, cited_by_count, abstract, list_filter(list_transform(string_split(lower(coalesce(sources, '')), ';'), lambda x: trim(x)), lambda x: x <> '') as ss from live_store where paper_id is not null)
+  select paper_id, max(coalesce(cited_by_count, 0)) as cited_by_count, array_to_string(list_sort(list_distinct(flatten(list(ss)))), ';') as sources, max(length(coalesce(abstract, ''))) as abstract_chars, count(*) as seen from f group by 1""")
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
-    job = lambda s: s.groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.count(F.lit(1)).alias("n"))
-    return _streamed(spark, d, job, "complete")
+    """Live records as the keyed state of a stream has merged them, each paper's last state."""
+    import uuid
+
+    root = f"{Staging(spark).root}/s{uuid.uuid4().hex[:12]}"
+    rows = spark.readStream.schema(table(spark, d, "live_store").schema).parquet(f"{d}/live_store.parquet*").where("paper_id is not null")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/{number}")
+
+    with _with_state_store(spark):
+        live = streams.live_records(rows.select("paper_id", *streams.LiveRecord.FIELDS, "cited_by_count"))
+        live.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = latest(spark.read.parquet(f"{root}/out/*"), ["paper_id"], [F.desc("batch")])
+    return last.select("paper_id", "cited_by_count", "sources", F.length("abstract").alias("abstract_chars"), "seen")
+
+
+@_R.add("""select row_id, paper_id, coalesce(year, 0) as year, 'unknown' as language, null::double as score from live_store""")
+def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The store saved as a bundle of an older shape and loaded in today's, in which columns are new, other or gone."""
+    import uuid
+
+    root = f"{Staging(spark).root}/bundle-{uuid.uuid4().hex[:8]}"
+    save_bundle(spark, root, {"papers": table(spark, d, "live_store").select("row_id", "paper_id", F.col("year").cast("string").alias("year"), "title")}, {"made": "by a query"})
+    today = spark.createDataFrame([], "row_id long, paper_id string, year int, language string, score double").schema
+    tables, meta = load_bundle(spark, root, {"papers": today, "notes": today}, {"papers": {"year": 0, "language": "unknown"}})
+    return tables["papers"].unionByName(tables["notes"])
+
+
+@_R.add("select row_id, paper_id, try_cast(year as int) as year, 7 as extra from live_store")
+def conformed_rows(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.createDataFrame([], "row_id long, paper_id string, year int, extra int").schema
+    return conform(table(spark, d, "live_store"), schema, {"extra": 7})
+
+
+@_R.add("""with r as (select source, paper_id, added_at, row_number() over (partition by source, paper_id order by added_at desc) as k from (select trim(lower(string_split(coalesce(sources, ''), ';')[1])) as source, * exclude (sources) from live_store)),
+  t as (select source, paper_id, added_at, row_number() over (partition by source order by added_at desc nulls last, paper_id) as rn from r where k = 1) select source, paper_id, added_at from t where rn <= 25""")
+def harvest_latest(spark: SparkSession, d: str) -> DataFrame:
+    from corpusweave.sources.harvest import latest_per_query
+
+    s = table(spark, d, "live_store").select(F.trim(F.lower(F.split(F.coalesce("sources", F.lit("")), ";")[0])).alias("source"), "paper_id", "added_at")
+    return latest_per_query(s, "source", "added_at", "paper_id", 25).select("source", "paper_id", "added_at")
+
+
+@_R.add("""with k as (select paper_id, max(authors) as a from live_store group by 1)
+  select row_id, coalesce(case when trim(coalesce(authors, '')) <> '' then authors end, a, '') as authors from live_store left join k using (paper_id)""")
+def backfilled_authors(spark: SparkSession, d: str) -> DataFrame:
+    from corpusweave.sources.harvest import backfilled
+
+    s = table(spark, d, "live_store")
+    return backfilled(s.select("row_id", "paper_id", "authors"), s, "paper_id", "authors").select("row_id", "authors")

@@ -70,12 +70,13 @@ class LiveRecord(StatefulProcessor):
         for pdf in rows:
             for r in pdf.itertuples():
                 for i, f in enumerate(("title", "abstract", "authors", "doi")):
-                    v = getattr(r, f) or ""
+                    v = getattr(r, f)
+                    v = v if isinstance(v, str) else ""
                     if (f == "abstract" and len(v) > len(now[i])) or (not now[i] and v):
                         now[i] = v
-                names = {s.strip().lower() for s in f"{now[4]};{r.sources or ''}".split(";")} - {""}
+                names = {s.strip().lower() for s in f"{now[4]};{r.sources if isinstance(r.sources, str) else ''}".split(";")} - {""}
                 now[4] = ";".join(sorted(names))
-                now[5] = max(now[5], int(r.cited_by_count or 0))
+                now[5] = max(now[5], int(r.cited_by_count) if pd.notna(r.cited_by_count) else 0)
                 now[6] += 1
         self.state.update(tuple(now))
         yield pd.DataFrame([[key[0], *now]], columns=["paper_id", *self.FIELDS, "cited_by_count", "seen"])
