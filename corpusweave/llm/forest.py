@@ -16,8 +16,9 @@ from corpusweave.llm.bisecting import second_moment
 from corpusweave.llm.vectors import matrix, usable
 from corpusweave.runtime import Staging
 
-#: Bits of a hash string; bits that one look at the sizes of blocks goes deeper; the most blocks of all trees.
-BITS, STEP, MOST_BLOCKS = 48, 12, 65_536
+#: Bits of a hash string; bits that one look at the sizes of blocks goes deeper; strings of a block; vectors that a task
+#: searches at once; what a cosine of vectors of one byte a value may be off.
+BITS, STEP, BLOCK, ITEMS, ROUGH = 48, 12, 8_192, 16_384, 0.02
 
 
 @dataclass
@@ -45,14 +46,14 @@ def plant(points: DataFrame, n: int, dim: int, trees: int, wanted: int, levels:
 
     With `whiten`, planes are drawn in the space where all vectors' second moment is the identity, so that strings
     tell the members of a dense cluster apart as soon as those of different clusters. A block has `limit` strings at
-    most, or else is cut deeper, unless the strings are equal in all bits; the driver sees only block sizes, of which
-    there are no more than a fixed number.
+    most, or else is cut deeper, unless the strings are equal in all bits; the driver sees only block sizes, a number
+    for about BLOCK strings. A block that has to be larger, for the sake of `wanted`, is searched in parts.
     """
     planes = np.random.default_rng(seed).normal(size=(dim, trees * BITS))
     if whiten and n:
         values, vectors = np.linalg.eigh(second_moment(points, dim))
         planes = (vectors / np.sqrt(np.maximum(values, values[-1] * 1e-4))) @ vectors.T @ planes
-    limit = max(8192, 2 * wanted // trees, n * trees // MOST_BLOCKS)
+    limit = max(BLOCK, 2 * wanted // trees)
     forest = Forest(planes, trees, levels, [np.zeros(1, np.int64) for _ in range(trees)])
     large = {(t, 0) for t in range(trees)} if n > limit else set()
     depth = 0
@@ -97,19 +98,20 @@ def plant(points: DataFrame, n: int, dim: int, trees: int, wanted: int, levels:
 
 
 def _rows(points: DataFrame, forest: Forest, dim: int, query: str, with_vectors: bool) -> DataFrame:
-    """(tree, block, hash, id, level[, v]): each vector once a tree; level is null where it is not a query."""
+    """(tree, block, hash, id, level[, v]): each vector once a tree, its values as single bytes; level is null where it is
+    not a query."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("v"), dim)
             h = forest.hashes(x)
             b = forest.blocks(h)
-            half = x.astype(np.float16)
+            rough = np.round(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
             ids, level = batch.column("id"), batch.column("level")
             for t in range(forest.trees):
                 arrays = [pa.array(np.full(len(x), t, np.int32)), pa.array(b[:, t].astype(np.int32)), pa.array(h[:, t]), ids, level]
                 names = ["tree", "block", "hash", "id", "level"]
                 if with_vectors:
-                    arrays.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dim), len(x), [None, pa.py_buffer(half.tobytes())]).cast(pa.binary()))
+                    arrays.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(rough.tobytes())]).cast(pa.binary()))
                     names.append("v")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -146,40 +148,56 @@ def ascend(points: DataFrame, forest: Forest, dim: int, query: str, wanted: int)
     return total.select("id", level.alias("level"))
 
 
-def candidates(points: DataFrame, levels: DataFrame, forest: Forest, dim: int, k: int | None, least: float) -> DataFrame:
-    """(a, b): of each query a the candidates of its level, the `k` nearest of each tree or all of cosine `least`."""
+def candidates(points: DataFrame, levels: DataFrame, forest: Forest, dim: int, k: int | None, least: float, parts: int = 1) -> DataFrame:
+    """(a, b): of each query a the candidates of its level, the `k` nearest of each tree and part or all of cosine `least`.
+
+    Similarities are those of the vectors as single bytes, so `least` is lowered by ROUGH; the caller looks at the exact
+    ones. With several `parts` the strings of a block are spread by a hash of the id and each part is asked by all of
+    the block's queries, so that a task's memory does not grow with the block."""
+    floor = least - ROUGH
+
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["hash", "id"], kind="stable")
-        h, ids = pdf["hash"].to_numpy(), pdf["id"].to_numpy()
-        x = np.frombuffer(b"".join(pdf["v"]), np.float16).reshape(len(pdf), dim).astype(np.float32)
-        ask = np.flatnonzero(pdf["level"].notna().to_numpy())
+        x = np.frombuffer(b"".join(pdf["v"]), np.int8).reshape(len(pdf), dim).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        here = pdf["here"].to_numpy()
+        h, ids, y = pdf["hash"].to_numpy()[here], pdf["id"].to_numpy()[here], x[here]
+        ask = np.flatnonzero(pdf["asks"].to_numpy())
         a, b = [], []
-        if len(ask):
-            level = pdf["level"].to_numpy()[ask].astype(np.int64)
-            low, high = _range(h, h[ask], level)
+        if len(ask) and len(h):
+            level, hash_of, id_of = (pdf[c].to_numpy()[ask] for c in ("level", "hash", "id"))
+            low, high = _range(h, hash_of, level.astype(np.int64))
             order = np.lexsort((high, low))
             edges = np.flatnonzero(np.diff(low[order]) | np.diff(high[order])) + 1
             for same in np.split(order, edges):
                 for some in np.array_split(same, -(-len(same) // 512)):
-                    q, lo, hi = ask[some], low[some[0]], high[some[0]]
-                    cos = x[q] @ x[lo:hi].T
-                    cos[np.arange(len(q)), q - lo] = -2
+                    lo, hi = low[some[0]], high[some[0]]
+                    if lo == hi:
+                        continue
+                    cos = x[ask[some]] @ y[lo:hi].T
+                    cos[id_of[some][:, None] == ids[None, lo:hi]] = -2
                     if k is not None and hi - lo > k:
                         top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
                         keep = np.zeros(cos.shape, bool)
                         np.put_along_axis(keep, top, True, 1)
-                        keep &= cos >= least
+                        keep &= cos >= floor
                     else:
-                        keep = cos >= max(least, -1.5)
+                        keep = cos >= max(floor, -1.5)
                     i, j = np.nonzero(keep)
-                    a.append(ids[q[i]])
+                    a.append(id_of[some[i]])
                     b.append(ids[lo + j])
         cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
         return pd.DataFrame({"a": cat(a), "b": cat(b)})
 
     asked = points.join(levels.withColumnRenamed("level", "__level"), "id", "left")
-    rows = _rows(asked, forest, dim, "__level", True)
-    return rows.groupBy("tree", "block").applyInPandas(nearest, "a long, b long").distinct()
+    rows = _rows(asked, forest, dim, "__level", True).withColumn("asks", F.col("level").isNotNull())
+    if parts == 1:
+        spread = rows.withColumns({"part": F.lit(0), "here": F.lit(True)})
+    else:
+        own = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int")
+        every = F.when(F.col("asks"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(own))
+        spread = rows.withColumns({"own": own, "part": F.explode(every)}).withColumn("here", F.col("own") == F.col("part")).drop("own")
+    return spread.groupBy("tree", "block", "part").applyInPandas(nearest, "a long, b long").distinct()
 
 
 def _copies(points: DataFrame, dim: int) -> DataFrame:
@@ -228,7 +246,7 @@ def similar_pairs(
     forest = plant(reps, n, dim, trees, wanted, tuple(range(3, 25)), True, seed)
     staging = Staging(vectors.sparkSession)
     levels = staging.write(ascend(reps, forest, dim, "1", wanted), "levels")
-    near = candidates(reps, levels, forest, dim, None, least - 0.005)
+    near = candidates(reps, levels, forest, dim, None, least)
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     member = reps.select("id", F.col("id").alias("rep")).unionByName(copies.select("id", "rep"))
     of_a = member.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
@@ -259,7 +277,7 @@ def nearest_neighbours(
     is_asked = asked.select(F.col("rep").alias("id")).distinct().withColumn("asked", F.lit(1))
     marked = staging.write(reps.join(is_asked, "id", "left"), "marked")
     levels = staging.write(ascend(marked, forest, dim, "asked", wanted), "levels")
-    near = candidates(reps, levels, forest, dim, k, -1.5)
+    near = candidates(reps, levels, forest, dim, 2 * k, -1.5, max(1, -(-2 * wanted // trees // ITEMS)))
     member = reps.select("id", F.col("id").alias("rep")).unionByName(copies.select("id", "rep"))
     few = member.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
     of_b = few.select(F.col("rep").alias("b"), F.col("id").alias("ib"))

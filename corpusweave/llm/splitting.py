@@ -38,23 +38,33 @@ def boundary_strengths(data: bytes, ends: np.ndarray) -> np.ndarray:
 
 
 class RightmostMax:
-    """Sparse table: the rightmost place of the largest value in any range of at most `longest` places."""
+    """Sparse table: the rightmost place of the largest value in any range of at most `longest` places.
+
+    The table is built for a stretch of a few ranges at a time, as queries move on, so it stays small however long the
+    values are."""
+
+    STRETCH = 4
 
     def __init__(self, values: np.ndarray, longest: int):
-        self.values = values
-        self.levels = [np.arange(len(values))]
-        width = 1
-        while 2 * width <= min(longest, len(values)):
+        self.values, self.longest, self.base = values, longest, 0
+        self.levels: list[np.ndarray] = []
+
+    def _build(self, base: int) -> None:
+        self.base, part = base, self.values[base : base + (self.STRETCH + 1) * self.longest]
+        self.part, self.levels, width = part, [np.arange(len(part), dtype=np.int32)], 1
+        while 2 * width <= min(self.longest, len(part)):
             last = self.levels[-1]
             left, right = last[: len(last) - width], last[width:]
-            self.levels.append(np.where(values[right] >= values[left], right, left))
+            self.levels.append(np.where(part[right] >= part[left], right, left))
             width *= 2
 
     def query(self, lo: int, hi: int) -> int:
         """Place in [lo, hi], both included."""
+        if not self.levels or not self.base <= lo <= hi < self.base + len(self.part):
+            self._build(lo)
         k = (hi - lo + 1).bit_length() - 1
-        left, right = self.levels[k][lo], self.levels[k][hi - (1 << k) + 1]
-        return int(right if self.values[right] >= self.values[left] else left)
+        left, right = self.levels[k][lo - self.base], self.levels[k][hi - self.base - (1 << k) + 1]
+        return self.base + int(right if self.part[right] >= self.part[left] else left)
 
 
 def cut_points(strengths: np.ndarray, capacity: int, overlap: int) -> list[tuple[int, int]]:
