@@ -288,3 +288,31 @@ def nearest_neighbours(
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), "cosine", "rank")
+
+
+def brute_neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embeddings", dim: int = 64, query: str = "id % 20 = 0") -> DataFrame:
+    """(vec_id, neighbour_id): the exact k nearest of each query, to measure recall by; queries meet all vectors in blocks
+    of both, so the work is queries times vectors and a task's memory that of two blocks."""
+    points = usable(vectors, id_col, vector_col, dim)
+    n = max(1, -(-points.count() // ITEMS))
+    asks = points.where(query)
+    m = max(1, -(-asks.count() // BLOCK))
+    part = lambda many: F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
+    q = asks.select("id", "v", part(m).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q"), F.lit(True).alias("asks"))
+    i = points.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("p"), part(n).alias("q"), F.lit(False).alias("asks"))
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), np.float64).reshape(-1, dim)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids, asks_ = pdf["id"].to_numpy(), pdf["asks"].to_numpy()
+        order = np.argsort(ids[~asks_])
+        qi, ii, y = ids[asks_], ids[~asks_][order], x[~asks_][order]
+        cos = x[asks_] @ y.T
+        cos[qi[:, None] == ii[None]] = -2
+        top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+        got = pd.DataFrame({"vec_id": np.repeat(qi, top.shape[1]), "neighbour_id": ii[top].ravel(), "cosine": np.take_along_axis(cos, top, 1).ravel()})
+        return got[got["cosine"] > -2]
+
+    near = q.unionByName(i).groupBy("p", "q").applyInPandas(nearest, "vec_id long, neighbour_id long, cosine double")
+    w = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("vec_id", "neighbour_id")
