@@ -317,7 +317,8 @@ class SearchIndex:
         """Index of documents with a text and a vector; `keep` names the columns that filters and results need."""
         text = lambda c: F.coalesce(F.col(c), F.lit(""))
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(vector).alias("v"), text(title).alias("__title"), text(abstract).alias("__abstract"), *(F.col(c) for c in keep))
-        forms = with_normal_forms(rows, ["__title", "__abstract"])
+        # Written before its two parts, with and without other scripts, are told apart: what makes the rows runs once.
+        forms = with_normal_forms(Staging(docs.sparkSession).write(rows, "search_rows"), ["__title", "__abstract"])
         ready = forms.select(
             "doc_id", "v", phrase_text(F.col("__ascii___title")).alias("t"), phrase_text(F.col("__ascii___abstract")).alias("a"),
             search_tokens(F.concat("__title", F.lit(". "), "__abstract")).alias("words"), *(F.col(c) for c in keep),

@@ -168,7 +168,8 @@ def cluster_survival(spark: SparkSession, d: str) -> DataFrame:
     return C.survival(_two(spark, d), "a", "b").withColumn("best_jaccard", F.round("best_jaccard", 9))
 
 
-@_R.add()
+@_R.add(f"""with recursive {POINTS}, sz as (select cluster_id as c, count(*) as n from pts where cluster_id >= 0 group by 1), so as (select labels as c, count(*) as n from bundle where labels >= 0 group by 1)
+  select c::int as cluster_id, (c + 10)::int as matched_id from sz""")
 def match_clusters(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d)
     old = table(spark, d, "bundle").where("labels is not null").select(F.col("vec_id").alias("id"), F.expr("case when labels >= 0 then labels + 10 else -1 end").alias("old_id"))
@@ -195,7 +196,13 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     return C.kmeans(p, [8, 12]).select("id", "cluster_id")
 
 
-@_R.add()
+@_R.add(f"""with recursive {POINTS}, nn as (select a.id as a, b.id as b, {COS.format('a.v', 'b.v')} as s from pts a join pts b on a.id <> b.id and sqrt(greatest(0, 2 - 2 * {COS.format('a.v', 'b.v')})) <= 0.9),
+  co as (select a as id from nn group by 1 having count(*) + 1 >= 5), ad as (select a, b from nn where a in (select id from co) and b in (select id from co)),
+  lb(a, m, k) as (select id, id, 0 from co union all select lb.a, least(min(lb.m), coalesce(min(o.m), min(lb.m))), max(lb.k) + 1 from lb left join ad on ad.a = lb.a left join lb o on o.a = ad.b where lb.k < 12 group by lb.a),
+  cl as (select a as id, m as cluster from lb where k = 12),
+  ri as (select a as id, arg_max(cluster, s) as cluster from nn join cl on cl.id = nn.b where a not in (select id from co) group by 1), al as (select * from cl union all select * from ri),
+  nm as (select cluster, row_number() over (order by cluster) - 1 as n from (select distinct cluster from cl))
+  select pts.id, coalesce(n, -1) as cluster_id from pts left join al using (id) left join nm using (cluster)""")
 def dbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d).select("id", "v")
     return C.dbscan(p, 0.9, 5, 64)

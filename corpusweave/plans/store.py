@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as X
+from corpusweave.functions.ids import PAPER_ID
 from corpusweave.operators import livestore as S
 from corpusweave.operators.ingest import latest
 from corpusweave.plans.corpus import BARE, sql_key, sql_clean
@@ -77,24 +78,37 @@ def live_store_merge(spark: SparkSession, d: str) -> DataFrame:
     return S.enrich_groups(table(spark, d, "live_store"), "paper_id", "row_id", ["venue"], ["abstract"], ["cited_by_count"], ["sources"])
 
 
-@_R.add()
+@_R.add(f"""with recursive o as ({keys_sql('source_records', 'record_id', False)}), w as ({keys_sql('source_records', 'record_id', True)}),
+  e as (select distinct a.record_id as a, b.record_id as b from o a join w b using (k)), g as (select a, b from e union select b, a from e),
+  r(a, b) as (select a, b from g union select r.a, g.b from r join g on r.b = g.a)
+  select record_id, least(record_id, coalesce(min(b), record_id)) as entity from source_records left join r on a = record_id group by record_id""")
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Connected components of all fetched records over their identity keys."""
     r = table(spark, d, "source_records").select("record_id", "doi", "arxiv_id", "title", "year")
     return S.resolve(r, "record_id")
 
 
-@_R.add()
+_NORMAL = f"""with d as (select *, {_DOI} as nd from source_records), t as (select *, nullif(regexp_extract(nd, '^10\\.48550/arxiv\\.(\\d{{4}}\\.\\d{{4,5}})(?:v\\d+)?$', 1), '') as x from d)
+  select source, source_id, trim(coalesce(title, '')) as title, trim(coalesce(abstract, '')) as abstract, trim(coalesce(authors, '')) as authors, trim(coalesce(date, '')) as date,
+  coalesce(year, try_cast(case when regexp_matches(trim(coalesce(date, '')), '^\\d{{4}}') then left(trim(date), 4) end as int)) as year, coalesce(nd, '') as doi, coalesce({BARE}, x, '') as arxiv_id,
+  trim(coalesce(venue, '')) as venue, trim(coalesce(primary_category, '')) as primary_category, coalesce(cited_by_count, 0) as cited_by_count, trim(coalesce(url, '')) as url from t"""
+
+
+@_R.add(_NORMAL)
 def normalized_records(spark: SparkSession, d: str) -> DataFrame:
     return files.make_records(table(spark, d, "source_records"))
 
 
-@_R.add()
+@_R.add(r"""with f as (select regexp_replace(paper_id, '[^A-Za-z0-9]+', '_', 'g') as k, regexp_replace(coalesce(title, ''), '[{}]', '', 'g') as t,
+  array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce(authors, ''), '[{}]', '', 'g'), ';'), lambda x: trim(x)), lambda x: x <> ''), ' and ') as a, coalesce(year::varchar, '') as y, regexp_replace(coalesce(url, ''), '[{}]', '', 'g') as u from live_store)
+  select '@article{' || k || ',' || chr(10) || array_to_string(list_filter([case when t <> '' then '  title = {' || t || '}' end, case when a <> '' then '  author = {' || a || '}' end, case when y <> '' then '  year = {' || y || '}' end,
+  case when u <> '' then '  url = {' || u || '}' end], lambda x: x is not null), ',' || chr(10)) || chr(10) || '}' as entry from f""")
 def bibtex_export(spark: SparkSession, d: str) -> DataFrame:
     return files.bibtex(table(spark, d, "live_store"))
 
 
-@_R.add()
+@_R.add(rf"""select coalesce(regexp_extract(trim(arxiv_id), '((?:{PAPER_ID})(?:v\d+)?)\s*$', 1), '') as arxiv_id,
+  nullif(trim(regexp_replace(replace(coalesce(title, ''), chr(160), ' '), '\s+', ' ', 'g')), '') as title, nullif(trim(regexp_replace(replace(coalesce(abstract, ''), chr(160), ' '), '\s+', ' ', 'g')), '') as abstract from papers where arxiv_id is not null""")
 def atom_records(spark: SparkSession, d: str) -> DataFrame:
     """Papers written as Atom entries and parsed again."""
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "&", "&amp;"), "<", "&lt;")

@@ -32,9 +32,18 @@ def get_session(cpus: str = "*", partitions: int = 8, **conf: str) -> SparkSessi
     return builder.getOrCreate()
 
 
+#: Tables of texts and vectors, whose rows cost far more to work on than to move.
+HEAVY = ("papers", "documents", "bundle", "live_store", "source_records")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One input table; columns are pruned and filters pushed by Catalyst."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One input table; columns are pruned and filters pushed by Catalyst. A heavy table that would be read by fewer than
+    half as many tasks as there are cores, a small file that is, is dealt to all of them."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in HEAVY and 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores:
+        return df.repartition(cores)
+    return df
 
 
 class Staging:
