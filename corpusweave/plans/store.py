@@ -108,7 +108,7 @@ def bibtex_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_R.add(rf"""select coalesce(regexp_extract(trim(arxiv_id), '((?:{PAPER_ID})(?:v\d+)?)\s*$', 1), '') as arxiv_id,
-  nullif(trim(regexp_replace(replace(coalesce(title, ''), chr(160), ' '), '\s+', ' ', 'g')), '') as title, nullif(trim(regexp_replace(replace(coalesce(abstract, ''), chr(160), ' '), '\s+', ' ', 'g')), '') as abstract from papers where arxiv_id is not null""")
+  trim(regexp_replace(replace(coalesce(title, ''), chr(160), ' '), '\s+', ' ', 'g')) as title, trim(regexp_replace(replace(coalesce(abstract, ''), chr(160), ' '), '\s+', ' ', 'g')) as abstract from papers where arxiv_id is not null""")
 def atom_records(spark: SparkSession, d: str) -> DataFrame:
     """Papers written as Atom entries and parsed again."""
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "&", "&amp;"), "<", "&lt;")

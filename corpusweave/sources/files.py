@@ -98,7 +98,7 @@ RECORD = "source string, source_id string, title string, abstract string, author
 
 def make_records(df: DataFrame) -> DataFrame:
     """Records of the common shape: texts trimmed, DOI normal, paper id taken from a preprint DOI, year from the date."""
-    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    text = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^[\s\u00a0]+|[\s\u00a0]+$", "")
     doi = F.coalesce(normalize_doi(F.col("doi")), F.lit(""))
     year = F.coalesce(F.col("year"), F.when(text("date").rlike(r"^\d{4}"), F.substring(text("date"), 1, 4).cast("int")))
     paper = F.coalesce(bare_id(F.col("arxiv_id")), preprint_id(doi), F.lit(""))
