@@ -92,3 +92,17 @@ def growth_text(growth: Column) -> Column:
     change = F.round((growth - 1) * 100).cast("long")
     said = F.when(change > 0, F.concat(F.lit("+"), change.cast("string"), F.lit(" %"))).otherwise(F.concat(change.cast("string"), F.lit(" %")))
     return F.when(growth.isNotNull(), F.concat(said, F.lit(" against the corpus")))
+
+
+def area_name(label: Column, cluster: Column, overrides: dict[int, str] | None = None) -> Column:
+    """Name of an area: the one given by hand, else its label, else its number; noise has a name of its own."""
+    own = F.lit(None).cast("string")
+    for c, name in (overrides or {}).items():
+        own = F.when(cluster == c, name).otherwise(own)
+    text = F.when(F.trim(F.coalesce(label, F.lit(""))) != "", label)
+    return F.when(cluster < 0, "Unclustered").otherwise(F.coalesce(own, text, F.concat(F.lit("Area "), cluster.cast("string"))))
+
+
+def growth_badge(direction: Column, reliable: Column) -> Column:
+    """Word beside an area: its direction if that is reliable, else that it is not known."""
+    return F.when(F.coalesce(reliable, F.lit(False)), direction).otherwise("uncertain")

@@ -151,3 +151,17 @@ def backtest(df: DataFrame, date: str, group: str, months: int, flagged: DataFra
     own = c.where("whole = 0").join(flagged.select(F.col("cluster_id").alias("grp")), "grp", "left_semi").crossJoin(F.broadcast(total))
     hit = F.col("recent_w") / F.col("ta") > F.col("previous_w") / F.col("tb")
     return own.where("previous_w > 0 and ta > 0 and tb > 0").agg(F.count(F.lit(1)).alias("evaluated"), F.avg(hit.cast("double")).alias("hit_rate"))
+
+
+def growth_overview(
+    df: DataFrame, date: str, group: str, windows: list[int], default: int = 6, cutoffs: list[int] | None = None, least: int = 10, max_cv: float = 0.5,
+    samples: int = 500, level: float = 0.9, seed: int = 42, require_stable: bool = True,
+) -> DataFrame:
+    """All there is to say of each cluster's growth, a row per cluster and window: counts, gates, relative growth with its
+    interval and direction, how stable it is over windows and cutoffs, its trend, and whether it is reliable: past the
+    gates, with an interval, and stable where that is required. The parts are a row per cluster and are joined by it."""
+    g = bootstrap_intervals(relative_growth(df, date, group, windows, least), samples, level, seed).drop("back")
+    s = growth_stability(df, date, group, windows, default, cutoffs or [3, 6], least, max_cv)
+    t = poisson_trends(df, date, group, level).select("cluster_id", "annual_ratio", F.col("ci_low").alias("trend_low"), F.col("ci_high").alias("trend_high"))
+    both = g.join(s, "cluster_id", "left").join(t, "cluster_id", "left").withColumn("stable", F.coalesce("stable", F.lit(False)))
+    return both.withColumn("reliable", F.col("passes_gate") & F.col("ci_low").isNotNull() & (F.col("stable") | F.lit(not require_stable)))

@@ -289,6 +289,18 @@ def growth_backtest(spark: SparkSession, d: str) -> DataFrame:
     return W.backtest(_dated(spark, d), "date", "cluster_id", 6, flagged).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
+@_R.add(f"""with {growth_sql([3, 6, 12], [0, 3, 6])}, r as (select cluster_id, months, back, case when gate and base > 0 then raw / base end as g from gr),
+  x as (select cluster_id, case when count(g) >= 2 and avg(g) > 0 then stddev_pop(g) / avg(g) end as cw from r where back = 0 group by 1), y as (select cluster_id, case when count(g) >= 2 and avg(g) > 0 then stddev_pop(g) / avg(g) end as cc from r where months = 6 group by 1),
+  st as (select cluster_id, coalesce(cc <= 0.5 and (cw is null or cw <= 0.5), false) as stable from x join y using (cluster_id))
+  select cluster_id, months, gate as passes_gate, round(g, 6) as growth, stable, coalesce(gate and g is not null and stable, false) as reliable, true as inside from r join gr using (cluster_id, months, back) join st using (cluster_id) where back = 0""")
+def growth_overview(spark: SparkSession, d: str) -> DataFrame:
+    """Every part of growth in one table; `inside` says that an interval lies around its value and the trend around its own."""
+    got = W.growth_overview(_dated(spark, d), "date", "cluster_id", [3, 6, 12])
+    around = lambda x, low, high: F.col(low).isNull() | F.col(x).between(F.col(low), F.col(high))
+    inside = around("relative_growth", "ci_low", "ci_high") & around("annual_ratio", "trend_low", "trend_high")
+    return got.select("cluster_id", "months", "passes_gate", F.round("relative_growth", 6).alias("growth"), "stable", "reliable", inside.alias("inside"))
+
+
 @_R.add()
 def poisson_trend(spark: SparkSession, d: str) -> DataFrame:
     return W.poisson_trends(_dated(spark, d), "date", "cluster_id")

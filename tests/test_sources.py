@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.config import Config, ConfigError, JsonLines, configure_logging, resolve_backends
-from corpusweave.operators import clusters, enrich, federate, leads, ranks, validation
+from corpusweave.operators import areas, clusters, enrich, federate, leads, ranks, validation
 from corpusweave.operators.index import NeighborIndex
 from corpusweave.plans.corpora import IngestError, build_corpus, through_store
 from corpusweave.sources import harvest
@@ -229,3 +229,11 @@ def test_backends_and_log(capsys):
     log.warning("slow", extra={"stage": "clusters"})
     line = json.loads(capsys.readouterr().err.splitlines()[-1])
     assert line["message"] == "slow" and line["stage"] == "clusters" and line["level"] == "WARNING"
+
+
+def test_words_for_areas(spark):
+    df = spark.createDataFrame([(-1, "x", "growing", True, 1.25), (0, "Graphs", "growing", False, 0.5), (1, " ", None, None, None), (2, "b", "declining", True, 1.0)], "c int, l string, d string, r boolean, g double")
+    got = df.select(areas.area_name(F.col("l"), F.col("c"), {2: "By hand"}).alias("n"), areas.growth_badge(F.col("d"), F.col("r")).alias("b"), areas.growth_text(F.col("g")).alias("t"))
+    assert [tuple(r) for r in got.collect()] == [("Unclustered", "growing", "+25 % against the corpus"), ("Graphs", "uncertain", "-50 % against the corpus"), ("Area 1", "uncertain", None), ("By hand", "declining", "0 % against the corpus")]
+    leads_ = spark.createDataFrame([(1, [1, 2, 3, 4])], "id int, evidence array<int>")
+    assert areas.lead_evidence(leads_).first().evidence == [1, 2, 3]
