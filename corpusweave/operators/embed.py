@@ -43,27 +43,25 @@ class SvdEmbedder:
         return self
 
     def transform(self, docs: DataFrame, text: Column) -> DataFrame:
-        """(id, embedding): all zero where a text has no known term."""
-        v = self.v
-        sparse = self.idf.transform(self.counts.transform(self._tokens(docs, text)))
+        """(id, embedding): all zero where a text has no known term. A batch of token lists is weighed and projected at
+        once by the vocabulary, the weights and the directions, which have the model's fixed size."""
+        place = {t: i for i, t in enumerate(self.counts.vocabulary)}
+        weight, v = np.asarray(self.idf.idf.toArray()), self.v
         kind = docs.schema["id"].dataType.simpleString()
 
         def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                out = []
-                for idx, val in zip(pdf["i"], pdf["x"]):
-                    y = np.asarray(val) @ v[np.asarray(idx, int)] if len(idx) else np.zeros(v.shape[1])
-                    n = np.linalg.norm(y)
-                    out.append((y / n if n else y).astype("float32"))
-                yield pd.DataFrame({"id": pdf["id"], "embedding": out})
-
-        def indices(x: Column) -> Column:
-            return F.udf(lambda s: [int(i) for i in s.indices], "array<int>")(x)
-
-        def values(x: Column) -> Column:
-            return F.udf(lambda s: [float(t) for t in s.values], "array<double>")(x)
-
-        return sparse.select("id", indices(F.col("x")).alias("i"), values(F.col("x")).alias("x")).mapInPandas(project, f"id {kind}, embedding array<float>")
+                out = np.zeros((len(pdf), v.shape[1]))
+                for row, terms in enumerate(pdf["terms"]):
+                    known, n = np.unique([place[t] for t in terms if t in place], return_counts=True)
+                    if len(known):
+                        known = known.astype(int)
+                        out[row] = (n * weight[known]) @ v[known]
+                norm = np.linalg.norm(out, axis=1, keepdims=True)
+                unit_rows = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype("float32")
+                yield pd.DataFrame({"id": pdf["id"], "embedding": list(unit_rows)})
+
+        return self._tokens(docs, text).mapInPandas(project, f"id {kind}, embedding array<float>")
 
 
 def _scaled(x):

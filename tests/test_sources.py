@@ -10,12 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.config import Config, ConfigError, JsonLines, configure_logging, resolve_backends
-from corpusweave.operators import areas, clusters, enrich, federate, leads, ranks, validation
+from corpusweave.operators import areas, clusters, enrich, federate, leads, ranks, retrieval, validation
+from corpusweave.operators.embed import SvdEmbedder
 from corpusweave.operators.index import NeighborIndex
 from corpusweave.plans.corpora import IngestError, build_corpus, through_store
 from corpusweave.sources import harvest
 from corpusweave.sources.rest import RateLimited, SourceUnavailable
 from corpusweave.sources.store import Folder, PaperStore, Releases, load_bundle, save_bundle
+from corpusweave.streaming import streams
 
 DAY = dt.date(2024, 4, 10)
 
@@ -237,3 +239,34 @@ def test_words_for_areas(spark):
     assert [tuple(r) for r in got.collect()] == [("Unclustered", "growing", "+25 % against the corpus"), ("Graphs", "uncertain", "-50 % against the corpus"), ("Area 1", "uncertain", None), ("By hand", "declining", "0 % against the corpus")]
     leads_ = spark.createDataFrame([(1, [1, 2, 3, 4])], "id int, evidence array<int>")
     assert areas.lead_evidence(leads_).first().evidence == [1, 2, 3]
+
+
+def test_embedder_equals_its_parts(spark):
+    words = ["graph", "index", "query", "robot", "drone", "grasp"]
+    docs = spark.createDataFrame([(i, " ".join(words[(i + k) % 3 + (3 if i % 2 else 0)] for k in range(5))) for i in range(40)] + [(99, "unknown words alone"), (100, None)], "id long, t string")
+    vectors = {r.id: np.array(r.embedding) for r in SvdEmbedder(dim=4).fit(docs, F.col("t")).transform(docs, F.col("t")).collect()}
+    assert len(vectors) == 42 and abs(np.linalg.norm(vectors[0]) - 1) < 1e-6 and not vectors[100].any()
+    assert vectors[0] @ vectors[6] > 0.99 > vectors[0] @ vectors[1] and not vectors[99].any()
+
+
+def test_stream_into_the_store_and_the_backlog(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "2024-01"), ("b", 2, "2024-02")], "arxiv_id string, version int, year_month string")
+    rows.write.parquet(str(tmp_path / "in"))
+    store = PaperStore(spark, str(tmp_path / "store"))
+    for _ in range(2):  # a second run finds nothing new
+        streams.upsert_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "mark"), lambda b: b.where("version > 1"))
+    assert [r.arxiv_id for r in store.read().collect()] == ["b"]
+    due = streams.embed_backlog(spark.createDataFrame([(1, 5), (2, 9), (3, 7)], "id long, cited int"), spark.createDataFrame([(2,)], "id long"), "id", "cited", 1)
+    assert [r.id for r in due.collect()] == [3]
+    streams.run_to_table(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "seen_rows", str(tmp_path / "mark2"))
+    assert spark.table("seen_rows").count() == 2
+
+
+def test_stability_distribution_and_judgments(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "id long, cluster_id int")
+    same = clusters.stability(labels.select("id"), labels, lambda some: some.withColumn("cluster_id", (F.col("id") % 2).cast("int")), [1, 2])
+    assert [r.ari for r in same.collect()] == [1.0, 1.0]
+    found = retrieval.cluster_distribution(spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 2)], "query_id long, doc_id long"), labels.withColumnRenamed("id", "doc_id"))
+    assert {(r.query_id, r.cluster_id, r.n, r.ambiguous) for r in found.collect()} == {(1, 0, 1, True), (1, 1, 1, True), (2, 0, 2, False)}
+    sheet = spark.createDataFrame([("q", "a", 1, 0), ("q", "a", 2, 1), ("q", "b", None, 2)], "query string, arxiv_id string, grade int, seq int")
+    assert validation.merge_judgments(sheet).first().grades == {"a": 2}
