@@ -30,6 +30,31 @@ def p1_store(spark: SparkSession, folder: str) -> DataFrame:
     return store_survivors(table(spark, folder, "live_store")).records()
 
 
+def p1_check(spark: SparkSession, folder: str) -> DataFrame:
+    """One row of what must hold of the papers' survivors: one per group, every bundle from one record of the group as a
+    whole, and authors who came with the chosen title in some record, unless there are none."""
+    from corpusweave.functions.ids import bare_id
+    from corpusweave.llm.survivors import paper_survivors, title_value
+
+    papers = table(spark, folder, "papers").withColumn("group_key", bare_id(F.col("arxiv_id"))).withColumn("title_is", title_value())
+    found = Staging(spark).write(p1_papers(spark, folder), "survivors").withColumn("title_is", title_value())
+
+    def backed(*fields: str) -> DataFrame:
+        mine, theirs = found.select("group_key", *(F.col(f).alias(f"m_{f}") for f in fields)), papers.select(F.col("group_key").alias("k"), *fields)
+        same = F.col("group_key") == F.col("k")
+        for f in fields:
+            same &= F.col(f"m_{f}").eqNullSafe(F.col(f))
+        return mine.join(theirs, same, "left_anti").agg(F.count(F.lit(1)).alias("n"))
+
+    out = found.agg(F.count(F.lit(1)).alias("groups"), (F.count(F.lit(1)) - F.countDistinct("group_key")).alias("repeated"))
+    parts = {"content": ("title", "abstract"), "people": ("authors",), "subjects": ("categories", "primary_category"), "publication": ("doi", "journal_ref"), "lead": ("arxiv_id", "version", "last_updated", "source")}
+    for name, fields in parts.items():
+        out = out.crossJoin(F.broadcast(backed(*fields).select(F.col("n").alias(f"{name}_made_up"))))
+    bound = found.where("title_is is not null and trim(coalesce(authors, '')) <> ''").select("group_key", "title_is", "authors")
+    loose = bound.join(papers.select("group_key", "title_is", "authors"), ["group_key", "title_is", "authors"], "left_anti").agg(F.count(F.lit(1)).alias("authors_of_another_title"))
+    return out.crossJoin(F.broadcast(loose))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_matches(spark, folder).select("record_id", "paper_id")
 
@@ -194,7 +219,7 @@ def p9_check(spark: SparkSession, folder: str) -> DataFrame:
     return same.crossJoin(F.broadcast(sizes))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p5_leaves, p6_found, p6_knn, p6_recall, p7_pack, p7_fill, p7_check, p8_found, p8_shares, p8_mix, p8_check, p9_found, p9_pieces, p9_check)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_papers, p1_store, p1_check, p2_found, p2_matches, p3_found, p4_found, p5_found, p5_clusters, p5_leaves, p6_found, p6_knn, p6_recall, p7_pack, p7_fill, p7_check, p8_found, p8_shares, p8_mix, p8_check, p9_found, p9_pieces, p9_check)}
 
 _BARE = r"nullif(regexp_extract({0}, '(\d{{4}}\.\d{{4,5}})(?:v\d+)?\s*$', 1), '')"
 _TIME = (
@@ -215,6 +240,8 @@ _AUTHORS = r"list_filter(regexp_extract_all(lower(strip_accents(coalesce(authors
 #: The same results in SQL where SQL can say them on whole tables. Sizes in characters stand in for tokens in p8: the
 #: outcome is the same for any measure of size.
 SQL: dict[str, str] = {
+    "p1_check": f"""select count(*) as groups, 0 as repeated, 0 as content_made_up, 0 as people_made_up, 0 as subjects_made_up, 0 as publication_made_up, 0 as lead_made_up, 0 as authors_of_another_title
+  from (select {_BARE.format('arxiv_id')} as k from papers group by 1 having count(*) > 1 and k is not null)""",
     # Pairs that meet the definition; no two stored papers are rivals for a record in these tables.
     "p2_found": rf"""with base as (select 'r' as side, record_id::varchar as id, {_TITLE} as w, {_AUTHORS} as names, year from source_records union all select 's', paper_id, {_TITLE}, {_AUTHORS}, year from live_store where paper_id is not null),
   cut as (select side, id, names, year, case when damerau_levenshtein(w[1], 'preprint') <= 2 then w[2:] else w end as w from base where len(w) > 0),

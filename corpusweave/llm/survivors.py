@@ -164,7 +164,7 @@ def _trust(complete: Column, rank: Column, recent: Column) -> Column:
     return F.when(complete > 0, complete * 1_000_000_000 + rank * 100_000 + day).otherwise(F.lit(0))
 
 
-def _title_value() -> Column:
+def title_value() -> Column:
     t = F.trim(F.regexp_replace(F.lower(F.regexp_replace("title", r"<[^>]*>", "")), r"[^\p{L}\p{N}]+", " "))
     return F.when(t != "", t)
 
@@ -183,7 +183,7 @@ def paper_survivors(papers: DataFrame) -> Survivors:
         Bundle("publication", ("doi", "journal_ref"), _trust(_filled("doi", "journal_ref"), version, updated)),
         Bundle("filing", ("first_submitted", "year_month", "license"), _trust(_filled("first_submitted", "year_month", "license"), version, updated)),
     ]
-    deps = [Dependency("content", _title_value(), "people")]
+    deps = [Dependency("content", title_value(), "people")]
     lead = ("arxiv_id", "version", "last_updated", "source", "ingested_at")
     return survivors(papers, bare_id(F.col("arxiv_id")), [version, updated], b, deps, lead)
 
@@ -207,5 +207,5 @@ def store_survivors(store: DataFrame) -> Survivors:
         Bundle("impact", ("cited_by_count",), _trust(_filled("cited_by_count"), n, at)),
     ]
     doi = F.lower(F.trim("doi"))
-    deps = [Dependency("content", _title_value(), "people"), Dependency("identity", F.when(doi != "", doi), "place")]
+    deps = [Dependency("content", title_value(), "people"), Dependency("identity", F.when(doi != "", doi), "place")]
     return survivors(store, F.col("paper_id"), [n, at], b, deps, ("sources", "added_at", "has_vec"), "paper_id")
