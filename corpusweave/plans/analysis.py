@@ -11,12 +11,12 @@ from corpusweave.operators import clusters as C
 from corpusweave.operators import graph as G
 from corpusweave.operators import growth as W
 from corpusweave.operators import leads as L
-from corpusweave.operators import retrieval as R
 from corpusweave.operators.ingest import latest
+from corpusweave.operators.neighbours import all_nearest
 from corpusweave.plans.corpus import BARE
 from corpusweave.plans.registry import Registry
 from corpusweave.plans.search import COS
-from corpusweave.runtime import table
+from corpusweave.runtime import Staging, table
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -36,7 +36,7 @@ EDGES = f"""nn as (select a.id as a, b.id as b, {COS.format('a.v', 'b.v')} as si
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d).select("id", "v")
-    return G.undirected(R.knn(p, p, 6))
+    return Staging(spark).write(G.undirected(all_nearest(p, 6)), "edges")
 
 
 @_R.add(f"with {POINTS}, {EDGES} select src, dst, round(weight, 6) as weight from ed")
