@@ -175,8 +175,8 @@ def _placed(points: DataFrame, dim: int, n: int, cells: int) -> DataFrame:
 
 
 def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK) -> DataFrame:
-    """(id, neighbour_id, sim, rank): exact k nearest by cosine of every point (id, v) among all others; null, all-zero and
-    repeated vectors are points like any other.
+    """(id, neighbour_id, sim, rank): exact k nearest by cosine of every point (id, v), v of `dim` values, among all others;
+    all-zero and repeated vectors are points like any other.
 
     Vectors are packed into blocks of like ones. A block is first searched by itself, which bounds the k-th similarity of
     each of its rows; then every two blocks are multiplied once, in single precision, and only products that may reach the
@@ -218,3 +218,80 @@ def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK) ->
         near = near.unionByName(_met(blocks.select("block", "ids", "v", "least"), n, between, PAIRS))
     w = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "neighbour_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _roots(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _tied(groups: list[np.ndarray], x: list[np.ndarray], eps: float) -> list[tuple[int, int]]:
+    """Pairs of groups of which some row of the first block and some of the second are within eps; a spanning forest of them.
+
+    Rows are in the order of groups. Tiles whose rows are all of one tied group are passed over, so what is looked at is
+    only what may tie two."""
+    parent: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
+    f, buffers, least = [z.astype(np.float32) for z in x], _buffers(), 1 - eps * eps / 2
+
+    def tie(a: int, b: int) -> None:
+        ra, rb = _roots(parent, a), _roots(parent, b)
+        if ra != rb:
+            parent[ra] = rb
+            out.append((a, b))
+
+    for a in range(0, len(x[0]), ROWS):
+        ga = groups[0][a : a + ROWS]
+        ua = np.unique(ga)
+        for b in range(0, len(x[1]), COLS):
+            gb = groups[1][b : b + COLS]
+            ub = np.unique(gb)
+            if len({_roots(parent, int(g)) for g in (*ua, *ub)}) == 1:
+                continue
+            i, j, v = _products(f[0][a : a + ROWS], f[1][b : b + COLS], least - SLACK, buffers)
+            differ = ga[i] != gb[j]
+            i, j, v = i[differ], j[differ], v[differ]
+            near = v >= least + SLACK
+            for far in np.array_split(np.flatnonzero(~near), max(1, -(-np.count_nonzero(~near) // 65_536))):
+                sim = np.einsum("ij,ij->i", x[0][a : a + ROWS][i[far]], x[1][b : b + COLS][j[far]])
+                near[far] = np.sqrt(np.maximum(0.0, 2 - 2 * sim)) <= eps
+            pairs = np.searchsorted(ua, ga[i[near]]) * len(ub) + np.searchsorted(ub, gb[j[near]])
+            for p in np.unique(pairs).tolist():
+                tie(int(ua[p // len(ub)]), int(ub[p % len(ub)]))
+    return out
+
+
+def ties_between(points: DataFrame, eps: float, dim: int = 64, block: int = BLOCK) -> DataFrame:
+    """(src, dst): ties enough to connect all groups of points (id, v, group) of which two points are within eps.
+
+    Blocks hold groups in order, so that two blocks of one group have nothing to say and are not multiplied."""
+    points = points.select(F.col("v").cast("array<float>").alias("v"), F.col("group").cast("long").alias("group"), "id")
+    n = max(1, -(-points.count() // block))
+
+    def pack(batch: pa.RecordBatch) -> dict:
+        groups = batch.column("group").to_numpy(zero_copy_only=False)
+        by = np.argsort(groups, kind="stable")
+        raw = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[by]
+        return {"groups": np.ascontiguousarray(groups[by]).tobytes(), "v": np.ascontiguousarray(raw).tobytes()}
+
+    blocks = _blocks(points, n, ("group", "id"), pack, "block int, groups binary, v binary", "group_blocks")
+
+    def of(left: dict, right: dict) -> pa.RecordBatch:
+        groups = [np.frombuffer(z["groups"], np.int64) for z in (left, right)]
+        got = []
+        if groups[0].min() != groups[1].max() or groups[0].max() != groups[1].min():
+            got = _tied(groups, [_unit(np.frombuffer(z["v"], np.float32).reshape(-1, dim)) for z in (left, right)], eps)
+        return pa.RecordBatch.from_arrays([pa.array([p[c] for p in got], pa.int64()) for c in (0, 1)], ["src", "dst"])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, v in zip(batch.column("groups"), batch.column("v")):
+                one = {"groups": g.as_py(), "v": v.as_py()}
+                yield of(one, one)
+
+    ties = blocks.select("groups", "v").mapInArrow(inside, "src long, dst long")
+    if n > 1:
+        ties = ties.unionByName(_met(blocks, n, of, "src long, dst long"))
+    return ties.distinct()

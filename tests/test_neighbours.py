@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from corpusweave.operators import clusters
 from corpusweave.operators.neighbours import all_nearest
 
 
@@ -43,3 +44,48 @@ def test_tables_meet_themselves_without_copies_of_their_rows(spark):
     points = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(200)], "id long, v array<float>")
     plan = all_nearest(points, 3, 4, 50)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate explode" not in plan
+
+
+@pytest.mark.parametrize("block", [50, 1000])
+def test_density_clusters_equal_brute_force(spark, block):
+    """Two groups that no neighbour list ties, only one pair of cores, are one cluster; counts and rims are exact."""
+    rng = np.random.default_rng(3)
+    turn = lambda a: np.stack([np.cos(a), np.sin(a)], 1)
+    dense = [turn(c + rng.uniform(-0.01, 0.01, 60)) for c in (0.0, 1.5)]
+    chain = turn(np.array([0.055, 0.0551, 0.0552, 0.0553, 0.0554, 0.0555, 1.58]))  # apart from its neighbours' lists, within eps of the first group
+    v = np.concatenate([*dense, chain, turn(rng.uniform(2.5, 5.5, 40))])
+    ids = rng.permutation(1000)[: len(v)]
+    points = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, v array<float>")
+    got = {r.id: r.cluster_id for r in clusters.dbscan(points, 0.07, 5, 2, block=block).collect()}
+    x = v.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sim = x @ x.T
+    near = np.sqrt(np.maximum(0, 2 - 2 * sim)) <= 0.07
+    core = near.sum(1) >= 5
+    name = np.where(core, ids, -1)
+    while True:
+        least = np.array([name[near[i] & core].min() if core[i] else -1 for i in range(len(ids))])
+        if (least == name).all():
+            break
+        name = least
+    order = {c: n for n, c in enumerate(sorted(set(name[core].tolist())))}
+    want = {}
+    for i in range(len(ids)):
+        at = np.flatnonzero(near[i] & core)
+        best = i if core[i] else min(at, key=lambda j: (-sim[i, j], ids[j]), default=None)
+        want[int(ids[i])] = -1 if best is None else order[name[best]]
+    assert got == want
+
+
+
+@pytest.mark.parametrize("query", [lambda p: clusters.dbscan(p, 0.3, 5, 4, block=50), lambda p: clusters.k_distances(p, 5, 4)])
+def test_no_row_is_repeated_for_every_block(spark, monkeypatch, query):
+    rng = np.random.default_rng(2)
+    points = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(200)], "id long, v array<float>").cache()
+    assert points.count() == 200
+
+    def repeated(*_):
+        raise AssertionError("rows are repeated")
+
+    monkeypatch.setattr(clusters.F, "explode", repeated)
+    assert query(points).count() == 200
