@@ -174,6 +174,12 @@ def _agreement(a: list[str], b: list[str]) -> float:
     return TITLE[("noise", "one word", "two words")[changed]] if changed < 3 else TITLE["other"]
 
 
+def _sorted(side: DataFrame) -> DataFrame:
+    """side, to be joined by sorting. Sides that grow with the tables must not reach the driver, but the planner would
+    broadcast them by the size of their compressed files, which is a small part of what they take in memory."""
+    return side.hint("merge")
+
+
 def _described(rows: DataFrame, keep: str, more: tuple[str, ...] = ()) -> DataFrame:
     """(keep, words, sequel, names, year, *more): each row's title without marks, its place in a series, its names."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -297,7 +303,7 @@ def candidates(a: DataFrame, b: DataFrame, counts: Counts) -> DataFrame:
     shorter = F.least(n, n_b)
     needed = F.floor((SHARED[0] * shorter + SHARED[1] - 1) / SHARED[1])
     missing = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
-    met = ka.join(kb, "key").where(
+    met = ka.join(_sorted(kb), "key").where(
         (F.col("meta").bitwiseOR(F.col("meta_b")).bitwiseAND(F.lit(1)) == 1)
         & ((year == 0) | (year_b == 0) | (F.abs(year - year_b) <= 1))
         & (2 * shorter >= F.greatest(n, n_b))
@@ -347,21 +353,21 @@ def propagate(edges: DataFrame, most_rounds: int = 30, tolerance: float = 1e-3)
     each = edges.select("i", "j", source.alias("s"), odds.alias("o"))
     of_i = each.groupBy("i").agg(F.count(F.lit(1)).alias("ni"))
     of_j = each.groupBy("j", "s").agg(F.count(F.lit(1)).alias("nj"))
-    known = staging.write(each.join(of_i, "i").join(of_j, ["j", "s"]).withColumn("alone", F.expr("ni = 1 and nj = 1")), "pairs")
+    known = staging.write(each.join(_sorted(of_i), "i").join(_sorted(of_j), ["j", "s"]).withColumn("alone", F.expr("ni = 1 and nj = 1")), "pairs")
     settled = known.where("alone").select("i", "j", (F.col("o") / (1 + F.col("o"))).alias("confidence"))
     state = known.where("not alone").select("i", "j", "s", "o", F.lit(1.0).alias("from_j"), F.lit(0.0).alias("confidence"))
     held = float(np.exp(-REPEAT))
     for turn in range(most_rounds):
         to_i = state.withColumn("t", F.col("o") * F.col("from_j"))
         sum_i = to_i.groupBy("i").agg(F.sum("t").alias("si"))
-        with_i = to_i.join(sum_i, "i").withColumn("from_i", 1 / (1 + F.greatest(F.lit(0.0), F.col("si") - F.col("t"))))
+        with_i = to_i.join(_sorted(sum_i), "i").withColumn("from_i", 1 / (1 + F.greatest(F.lit(0.0), F.col("si") - F.col("t"))))
         to_j = with_i.select("i", "j", "s", "o", "from_j", "confidence", "from_i", (F.col("o") * F.col("from_i")).alias("t"))
         sum_j = to_j.groupBy("j", "s").agg(F.sum("t").alias("sj"))
         rivals = F.greatest(F.lit(0.0), F.col("sj") - F.col("t"))
         fresh = (1 + held * rivals) / (1 + rivals)
         message = fresh if turn < 4 else F.sqrt(fresh * F.col("from_j"))
         belief = F.col("o") * F.col("from_i") * F.col("m")
-        after = to_j.join(sum_j, ["j", "s"]).withColumn("m", message).select(
+        after = to_j.join(_sorted(sum_j), ["j", "s"]).withColumn("m", message).select(
             "i", "j", "s", "o", F.col("m").alias("from_j"), (belief / (1 + belief)).alias("confidence"),
             F.abs(belief / (1 + belief) - F.col("confidence")).alias("moved"),
         )
@@ -396,7 +402,7 @@ def scored_pairs(records: DataFrame, store: DataFrame) -> DataFrame:
     sa, sb = F.array_distinct(F.split("wa", " ")), F.array_distinct(F.split("wb", " "))
     shorter = F.least(F.size(sa), F.size(sb))
     enough = SHARED[1] * F.size(F.array_intersect(sa, sb)) >= SHARED[0] * shorter
-    both = pairs.join(left, "record_id").join(right, "stored").where((F.col("qa") == F.col("qb")) & enough)
+    both = pairs.join(_sorted(left), "record_id").join(_sorted(right), "stored").where((F.col("qa") == F.col("qb")) & enough)
     both = both.select("record_id", "source", "paper_id", F.xxhash64("wb", "qb").alias("stored_title"), (author + year).alias("rest"), "wa", "wb")
     return staging.write(_title_scores(both).select("record_id", "source", "paper_id", "stored_title", (PRIOR + F.col("rest") + F.col("title")).alias("w")), "scored")
 
@@ -413,5 +419,6 @@ def match_records(records: DataFrame, store: DataFrame, least: float = 0.5) -> D
     rows = scored_pairs(records, store)
     edges = rows.groupBy(F.col("record_id").alias("i"), F.col("stored_title").alias("j"), "source").agg(F.max("w").alias("w"))
     belief = propagate(edges).where(F.col("confidence") >= least)
-    out = rows.where("w > 0").join(belief.select(F.col("i").alias("record_id"), F.col("j").alias("stored_title"), "confidence"), ["record_id", "stored_title"])
+    kept = belief.select(F.col("i").alias("record_id"), F.col("j").alias("stored_title"), "confidence")
+    out = rows.where("w > 0").join(_sorted(kept), ["record_id", "stored_title"])
     return out.groupBy("record_id", "paper_id").agg(F.max("confidence").alias("confidence"))

@@ -253,3 +253,23 @@ def test_doubtful_second_record_of_a_source_is_held_back(spark):
     edges = spark.createDataFrame([(1, 10, "s", 6.0), (2, 10, "s", 0.5), (3, 11, "s", 6.0), (4, 11, "t", 0.5)], "i long, j long, source string, w double")
     p = {(r.i, r.j): r.confidence for r in M.propagate(edges).collect()}
     assert p[1, 10] > 0.9 and p[2, 10] < 0.5 < p[4, 11] and p[3, 11] > 0.9
+
+
+def test_matching_broadcasts_no_table_by_its_compressed_size(spark, monkeypatch):
+    from corpusweave.llm import matching
+    from corpusweave.runtime import Staging
+
+    rows = [(i, "x", f"title number {i} about several topics {i % 7}", f"Name{i % 9}, A", 2020) for i in range(40)]
+    records = spark.createDataFrame(rows, "record_id long, source string, title string, authors string, year int")
+    store = records.select(F.concat(F.lit("p"), "record_id").alias("paper_id"), "title", "authors", "year")
+    plans, write = [], Staging.write
+
+    def seen(self, df, name, partition_by=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name, partition_by)
+
+    monkeypatch.setattr(Staging, "write", seen)
+    out = matching.match_records(records, store)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() >= 40
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
