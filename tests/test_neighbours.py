@@ -5,6 +5,10 @@ import pytest
 
 from corpusweave.operators import clusters
 from corpusweave.operators.neighbours import all_nearest
+from corpusweave.plans import catalogue
+from corpusweave.runtime import Staging
+
+GRAPH = ["coupling_edges", "graph_bfs", "area_edges", "node_degree", "induced_edges"]
 
 
 def brute(v: np.ndarray, ids: np.ndarray, k: int) -> set:
@@ -89,3 +93,17 @@ def test_no_row_is_repeated_for_every_block(spark, monkeypatch, query):
 
     monkeypatch.setattr(clusters.F, "explode", repeated)
     assert query(points).count() == 200
+
+
+@pytest.mark.parametrize("name", GRAPH)
+def test_graph_queries_read_edges_written_once(spark, monkeypatch, name):
+    """The edges are read from where they were written, so the products of blocks run once."""
+    names, write = [], Staging.write
+
+    def seen(self, df, what, partition_by=None):
+        names.append(what)
+        return write(self, df, what, partition_by)
+
+    monkeypatch.setattr(Staging, "write", seen)
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert names.count("edges") == names.count("blocks") == 1
