@@ -19,6 +19,9 @@ BLOCK, ROWS, COLS, FIT_ROWS = 16_384, 512, 2_048, 8_192
 SLACK, ROUNDING = 2e-5, 2e-9
 #: Entries of a tile of which the exact product is taken one by one.
 SPARSE = 1 / 64
+#: Rows less near their cell's centre than its median by this are a group; centres nearer than ALIKE say nothing; a bound
+#: that no product reaches; shares of a group's rows up to which a stretch of it goes; one column in THIN tells the first bounds.
+FAR, ALIKE, NEVER, STRETCHES, THIN = 0.15, 0.99, 9.0, (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1), 4
 PAIRS = "id long, neighbour_id long, sim double"
 
 
@@ -67,17 +70,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _within(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, sim): the exact k best of each row of a block among the others of it, in the order of rows.
 
-    A bound of the k-th best is first told from the best of as many parts of the block, then all that reach it are taken."""
+    A bound of the k-th best is first told from the best of as many parts of some of its columns, then all of the block that
+    reach it are taken."""
     f, buffers, n = x.astype(np.float32), _buffers(), len(x)
     own = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     every = []
+    some_cols = np.arange(0, n, THIN if n > 2 * COLS else 1)
     for a in range(0, n, ROWS):
         rows = f[a : a + ROWS]
         tops = []
-        for b in range(0, n, COLS):
-            s = rows @ f[b : b + COLS].T
-            inside = np.arange(max(a, b), max(max(a, b), min(a + len(rows), b + s.shape[1])))
-            s[inside - a, inside - b] = -4
+        for b in range(0, len(some_cols), COLS):
+            cols = some_cols[b : b + COLS]
+            s = rows @ f[cols].T
+            inside = np.flatnonzero((cols >= a) & (cols < a + len(rows)))
+            s[cols[inside] - a, inside] = -4
             width = -(-s.shape[1] // 32)
             tops += [s[:, c : c + width].max(1) for c in range(0, s.shape[1], width)]
         top = np.stack(tops, 1)
@@ -102,29 +108,87 @@ def _within(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(c) for c in zip(*every))
 
 
-def _between(ids: list[np.ndarray], x: list[np.ndarray], least: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _groups(x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Groups of the rows of a block: those of a cell near its centre, and those far from it."""
+    out = np.zeros(len(x), np.int64)
+    for c in np.unique(cell):
+        at = np.flatnonzero(cell == c)
+        near = x[at] @ _unit(x[at].mean(0, keepdims=True))[0]
+        out[at] = 2 * int(c) + (near < np.median(near) - FAR)
+    return out
+
+
+def _runs(x: np.ndarray, groups: np.ndarray) -> tuple[list[slice], np.ndarray]:
+    """(runs of rows of one group, a unit centre of each)."""
+    cuts = np.flatnonzero(np.diff(groups, prepend=-1))
+    runs = [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(groups)])]
+    return runs, _unit(np.stack([x[r].mean(0) for r in runs]))
+
+
+def _may_reach(x: np.ndarray, least: np.ndarray, y: np.ndarray, cos: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y): all pairs whose product may reach the bound `least` of x, in stretches of y.
+
+    x and y are the products of unit vectors with the centre of x's group and that of y's, `cos` that of both centres. In
+    the plane of the centres the product is known; outside it is no more than that of the lengths."""
+    turn = np.sqrt(1 - cos * cos)
+    (p1, p2), (q1, q2) = ((z[:, 0], (z[:, 1] - cos * z[:, 0]) / turn) for z in (x, y))
+    p3, q3 = (np.sqrt(np.maximum(0, 1 - u * u - v * v)) for u, v in ((p1, p2), (q1, q2)))
+    order, out, a = np.argsort(-q1), [], 0
+    for share in STRETCHES:
+        j = order[a : max(a, int(share * len(order)))]
+        a += len(j)
+        if len(j):
+            most = sum(np.maximum(p * q[j].min(), p * q[j].max()) for p, q in ((p1, q1), (p2, q2))) + p3 * q3[j].max()
+            i = np.flatnonzero(most >= least - SLACK)
+            if len(i):
+                out.append((i, np.sort(j)))
+    return out
+
+
+def _between(ids: list[np.ndarray], x: list[np.ndarray], least: list[np.ndarray], groups: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, neighbour id, sim): for each row of either of two blocks its exact k best of the other that reach its bound.
 
-    The rows of a block are in the order of their bounds, so that the bounds of a tile are alike."""
+    The rows of a block are in the order of groups and, within one, of bounds, so that the bounds of a tile are alike. Of
+    two groups only what may reach a bound is multiplied: for either side by itself, or all of both where that is less."""
     f, buffers = [z.astype(np.float32) for z in x], _buffers()
     every: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-    for a in range(0, len(x[0]), ROWS):
-        ta = least[0][a : a + ROWS]
-        for b in range(0, len(x[1]), COLS):
-            tb = least[1][b : b + COLS]
-            i, j, v = _products(f[0][a : a + ROWS], f[1][b : b + COLS], min(ta.min(), tb.min()) - SLACK, buffers)
-            mine, theirs = v >= ta[i] - SLACK, v >= tb[j] - SLACK
-            keep = mine | theirs
-            if not keep.any():
-                continue
-            i, j = i[keep], j[keep]
-            sim = _sims(x[0][a : a + ROWS], i, x[1][b : b + COLS], j)
-            for row, col, bound, r, c in ((i, j, ta, ids[0][a : a + ROWS], ids[1][b : b + COLS]), (j, i, tb, ids[1][b : b + COLS], ids[0][a : a + ROWS])):
-                near = sim >= bound[row] - ROUNDING
-                row, other, s = row[near], c[col[near]], sim[near]
-                some = _first(row, other, s, k)
-                for to, z in zip(every, (r[row[some]], other[some], s[some])):
-                    to.append(z)
+
+    def multiply(left: np.ndarray, right: np.ndarray, tl: np.ndarray, tr: np.ndarray) -> None:
+        for a in range(0, len(left), ROWS):
+            la, ta = left[a : a + ROWS], tl[a : a + ROWS]
+            for b in range(0, len(right), COLS):
+                rb, tb = right[b : b + COLS], tr[b : b + COLS]
+                i, j, v = _products(f[0][la], f[1][rb], min(ta.min(), tb.min()) - SLACK, buffers)
+                mine, theirs = v >= ta[i] - SLACK, v >= tb[j] - SLACK
+                keep = mine | theirs
+                if not keep.any():
+                    continue
+                i, j = i[keep], j[keep]
+                sim = _sims(x[0][la], i, x[1][rb], j)
+                for row, col, bound, r, c in ((i, j, ta, ids[0][la], ids[1][rb]), (j, i, tb, ids[1][rb], ids[0][la])):
+                    near = sim >= bound[row] - ROUNDING
+                    row, other, s = row[near], c[col[near]], sim[near]
+                    some = _first(row, other, s, k)
+                    for to, z in zip(every, (r[row[some]], other[some], s[some])):
+                        to.append(z)
+
+    (runs, centres), (runs2, centres2) = (_runs(z, g) for z, g in zip(x, groups))
+    to, to2 = x[0] @ np.concatenate([centres, centres2]).T, x[1] @ np.concatenate([centres, centres2]).T
+    for g, one in enumerate(runs):
+        for h, two in enumerate(runs2):
+            left, right = np.arange(one.start, one.stop), np.arange(two.start, two.stop)
+            tl, tr, cos = least[0][one], least[1][two], float(centres[g] @ centres2[h])
+            at = [g, len(runs) + h]
+            if abs(cos) < ALIKE:
+                mine = _may_reach(to[one][:, at], tl, to2[two][:, at[::-1]][:, ::-1], cos)
+                theirs = _may_reach(to2[two][:, at[::-1]], tr, to[one][:, at][:, ::-1], cos)
+                if sum(len(i) * len(j) for i, j in mine + theirs) < len(left) * len(right):
+                    for i, j in mine:
+                        multiply(left[i], right[j], tl[i], np.full(len(j), NEVER))
+                    for j, i in theirs:
+                        multiply(left[i], right[j], np.full(len(i), NEVER), tr[j])
+                    continue
+            multiply(left, right, tl, tr)
     got = [np.concatenate(z) for z in every]
     some = _first(got[0], got[1], got[2], k)
     return tuple(z[some] for z in got)
@@ -153,8 +217,8 @@ def _met(blocks: DataFrame, n: int, run, schema: str) -> DataFrame:
                 yield run({c: one[f"l_{c}"] for c in names}, {c: one[f"r_{c}"] for c in names})
 
     names = [c for c in blocks.columns if c != "block"]
-    left = blocks.repartitionByRange(n, "block").select([F.col(c).alias(f"l_{c}") for c in blocks.columns])
-    right = blocks.repartitionByRange(n if n <= 24 else -(-n // 4), "block").select([F.col(c).alias(f"r_{c}") for c in blocks.columns])
+    left = blocks.repartitionByRange(n if n <= 24 else -(-n // 2), "block").select([F.col(c).alias(f"l_{c}") for c in blocks.columns])
+    right = blocks.repartitionByRange(n if n <= 12 else -(-n // 6), "block").select([F.col(c).alias(f"r_{c}") for c in blocks.columns])
     return left.hint("shuffle_replicate_nl").join(right, F.col("l_block") < F.col("r_block")).drop("l_block", "r_block").mapInArrow(each, schema)
 
 
@@ -179,8 +243,8 @@ def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK) ->
     all-zero and repeated vectors are points like any other.
 
     Vectors are packed into blocks of like ones. A block is first searched by itself, which bounds the k-th similarity of
-    each of its rows; then every two blocks are multiplied once, in single precision, and only products that may reach the
-    bound of either row are taken again in double precision and leave the task.
+    each of its rows; then every two blocks meet once: what by the centres of groups of their rows may reach the bound of
+    either row is multiplied in single precision, and what then may is taken again in double precision and leaves the task.
     """
     points = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
     rows = points.count()
@@ -196,11 +260,12 @@ def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK) ->
         last = np.cumsum(count) - 1
         full = count >= k
         least[full] = sim[last[full]]
-        by = np.argsort(-least, kind="stable")
-        made = {"ids": ids[by], "v": raw[by].astype(np.float32), "least": least[by], "row": ids[row], "near": ids[col], "sim": sim}
+        groups = _groups(_unit(raw), batch.column("cell").to_numpy(zero_copy_only=False)[order])
+        by = np.lexsort((-least, groups))
+        made = {"ids": ids[by], "v": raw[by].astype(np.float32), "least": least[by], "groups": groups[by], "row": ids[row], "near": ids[col], "sim": sim}
         return {c: np.ascontiguousarray(z).tobytes() for c, z in made.items()}
 
-    columns = ("ids", "v", "least", "row", "near", "sim")
+    columns = ("ids", "v", "least", "groups", "row", "near", "sim")
     blocks = _blocks(placed, n, ("cell", "id"), pack, "block int, " + ", ".join(f"{c} binary" for c in columns), "blocks")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +276,12 @@ def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK) ->
     def between(left: dict, right: dict) -> pa.RecordBatch:
         ids = [np.frombuffer(z["ids"], np.int64) for z in (left, right)]
         x = [_unit(np.frombuffer(z["v"], np.float32).reshape(-1, dim)) for z in (left, right)]
-        return _pairs(*_between(ids, x, [np.frombuffer(z["least"], np.float64) for z in (left, right)], k))
+        least, groups = ([np.frombuffer(z[c], kind) for z in (left, right)] for c, kind in (("least", np.float64), ("groups", np.int64)))
+        return _pairs(*_between(ids, x, least, groups, k))
 
     near = blocks.select("row", "near", "sim").mapInArrow(inside, PAIRS)
     if n > 1:
-        near = near.unionByName(_met(blocks.select("block", "ids", "v", "least"), n, between, PAIRS))
+        near = near.unionByName(_met(blocks.select("block", "ids", "v", "least", "groups"), n, between, PAIRS))
     w = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "neighbour_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusweave.operators import clusters
+from corpusweave.operators import clusters, neighbours
 from corpusweave.operators.neighbours import all_nearest
 from corpusweave.plans import catalogue
 from corpusweave.runtime import Staging
@@ -36,6 +36,35 @@ def test_all_nearest_equals_brute_force_across_blocks(spark, block):
     assert got == brute(v, ids, 6)
 
 
+def test_groups_far_apart_are_not_multiplied(monkeypatch):
+    """Of two blocks only what may reach a bound is multiplied, and nothing that reaches it is missed."""
+    rng = np.random.default_rng(4)
+    centres = np.linalg.qr(rng.normal(size=(64, 64)))[0][:6]
+    blocks = []
+    for own in ((0, 1, 2, 3), (3, 4, 5, 0)):
+        cell = np.repeat(own, 300)
+        v = centres[cell] + 0.09 * rng.normal(size=(1200, 64))
+        v[::20] = rng.normal(size=(60, 64))
+        v[7] = 0
+        x = neighbours._unit(v)
+        ids, groups = 2 * rng.permutation(10_000)[:1200] + len(blocks), neighbours._groups(x, cell)
+        _, _, sim = neighbours._within(ids, x, 6)
+        least = sim.reshape(-1, 6)[:, 5]
+        by = np.lexsort((-least, groups))
+        blocks.append((ids[by], x[by], least[by], groups[by]))
+    multiplied, products = [], neighbours._products
+    monkeypatch.setattr(neighbours, "_products", lambda x, y, *more: multiplied.append(len(x) * len(y)) or products(x, y, *more))
+    row, other, sim = neighbours._between(*([b[c] for b in blocks] for c in range(4)), 6)
+    want = set()
+    for (ids, x, least, _), (ids2, y, _, _) in (blocks, blocks[::-1]):
+        s = x @ y.T
+        for i in range(len(ids)):
+            order = np.lexsort((ids2, -np.round(s[i], 9)))[:6]
+            want |= {(int(ids[i]), int(ids2[j])) for j in order if s[i, j] >= least[i] - neighbours.ROUNDING}
+    assert set(zip(row.tolist(), other.tolist())) == want and len(want) > 300
+    assert sum(multiplied) < 0.5 * 1200 * 1200
+
+
 def test_all_nearest_of_few_and_no_points(spark):
     some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "id long, v array<float>")
     assert {(r.id, r.neighbour_id) for r in all_nearest(some, 6, 2).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
