@@ -37,8 +37,11 @@ def map_radius(points: DataFrame, k: int = 10) -> float:
     span = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
     area = max(span[0] or 0.0, 1e-9) * max(span[1] or 0.0, 1e-9)
     r = float(np.sqrt(area * (k + 1) / max(1, span[2]) / np.pi))
+    staging = Staging(points.sparkSession)
     for _ in range(8):
-        got = quantile(density(points, r), "density", 0.5) or 0
+        d = staging.write(density(points, r), "density")  # a quantile reads its rows several times
+        got = quantile(d, "density", 0.5) or 0
+        staging.drop(d)
         if k * 0.8 <= got <= k * 1.25:
             break
         r *= float(np.sqrt(k / max(got, 0.5)))
@@ -73,7 +76,7 @@ def sparse_leads(points: DataFrame, dim: int, percentile: float = 20, k: int = 1
     for seed in seeds:
         part = points.withColumn("__keep", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10)) < 8)
         part = part.join(anchors.select("id", F.lit(True).alias("__anchor")), "id", "left").where("__keep or __anchor").drop("__keep", "__anchor")
-        votes = votes.unionAll(low_density(mapped(part), percentile).select("id").join(anchors.select("id"), "id", "left_semi"))
+        votes = votes.unionAll(low_density(staging.write(mapped(part), "map"), percentile).select("id").join(anchors.select("id"), "id", "left_semi"))
     share = votes.groupBy("id").agg((F.count(F.lit(1)) / (len(seeds) + 1)).alias("robustness")).where(F.col("robustness") >= robust)
     best = anchors.join(share, "id").join(flat, "id").orderBy(F.desc("kd"), "id").limit(50 * most)
     taken: list[dict] = []

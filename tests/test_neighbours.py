@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusweave.operators import clusters, neighbours
+from corpusweave.operators import clusters, leads, neighbours
 from corpusweave.operators.neighbours import all_nearest
 from corpusweave.plans import catalogue
 from corpusweave.runtime import Staging
@@ -136,3 +136,24 @@ def test_graph_queries_read_edges_written_once(spark, monkeypatch, name):
     monkeypatch.setattr(Staging, "write", seen)
     catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert names.count("edges") == names.count("blocks") == 1
+
+
+def test_maps_and_densities_are_written_once(spark, monkeypatch):
+    """A radius is tried, and points are ranked, on maps and densities that are not made again for every job."""
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist()) for i in range(120)], "id long, cluster_id int, v array<float>")
+    read = {"quantile": [], "density": []}
+
+    def watch(name):
+        real = getattr(leads, name)
+
+        def watched(df, *more):
+            read[name].append(hasattr(df, "_staged_path"))
+            return real(df, *more)
+
+        monkeypatch.setattr(leads, name, watched)
+
+    watch("quantile")
+    watch("density")
+    leads.sparse_leads(points, 4)
+    assert len(read["quantile"]) > 3 and all(read["quantile"]) and len(read["density"]) > 3 and all(read["density"])
