@@ -35,7 +35,7 @@ def node_degree(edges: DataFrame) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, depth): nodes within `depth` steps of the start nodes (node) and their least distance."""
-    near = adjacency(edges).distinct()
+    near = adjacency(edges)  # a repeated edge repeats a node, and each step tells its nodes apart
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     staging = Staging(edges.sparkSession)
     frontier = seen

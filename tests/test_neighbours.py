@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusweave.operators import clusters, leads, neighbours
+from corpusweave.operators import clusters, graph, leads, neighbours
 from corpusweave.operators.neighbours import all_nearest
 from corpusweave.plans import catalogue
 from corpusweave.runtime import Staging
@@ -157,3 +157,13 @@ def test_maps_and_densities_are_written_once(spark, monkeypatch):
     watch("density")
     leads.sparse_leads(points, 4)
     assert len(read["quantile"]) > 3 and all(read["quantile"]) and len(read["density"]) > 3 and all(read["density"])
+
+
+def test_steps_of_a_traversal_do_not_tell_all_edges_apart(spark, monkeypatch):
+    """Repeated edges change nothing, and no step groups the edges by both ends."""
+    edges = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.5), (2, 3, 0.5), (3, 4, 0.5), (4, 5, 0.5)], "src long, dst long, weight double")
+    plans, write = [], Staging.write
+    monkeypatch.setattr(Staging, "write", lambda self, df, *more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(self, df, *more))
+    got = graph.neighbourhood(edges, spark.createDataFrame([(1,)], "node long"), 3)
+    assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert len(plans) == 3 and not any("Aggregate [a#" in p for p in plans)
