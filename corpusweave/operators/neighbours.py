@@ -13,31 +13,39 @@ from pyspark.sql import functions as F
 from corpusweave.operators.index import _matrix, fit_cells
 from corpusweave.runtime import Staging
 
-#: Rows of a block; rows and columns of the tile of a product that is held at once; vectors that the order is fitted on.
-BLOCK, ROWS, COLS, FIT_ROWS = 16_384, 512, 2_048, 8_192
+#: Rows of a block; rows and columns of the tile of a product that is held at once; vectors that the order is fitted on; open blocks of a task.
+BLOCK, ROWS, COLS, FIT_ROWS, KEPT = 16_384, 512, 2_048, 8_192, 8
 #: Products of unit vectors in single precision are off by less than this; products that are equal when rounded differ by less.
 SLACK, ROUNDING = 2e-5, 2e-9
 #: Entries of a tile of which the exact product is taken one by one.
 SPARSE = 1 / 64
-#: Rows less near their cell's centre than its median by this are a group; centres nearer than ALIKE say nothing; a bound
-#: that no product reaches; shares of a group's rows up to which a stretch of it goes; one column in THIN tells the first bounds.
-FAR, ALIKE, NEVER, STRETCHES, THIN = 0.15, 0.99, 9.0, (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1), 4
+#: Rows less near their cell's centre than its median by this are a group; centres nearer than ALIKE say nothing;
+#: shares of a group's rows up to which a stretch of it goes; one column in THIN tells the first bounds.
+FAR, ALIKE, STRETCHES, THIN = 0.15, 0.99, (1 / 16, 1 / 4, 1), 4
 PAIRS = "id long, neighbour_id long, sim double"
 
 
-def _products(x: np.ndarray, y: np.ndarray, least: float, buffers: tuple[np.ndarray, np.ndarray], skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, value) of the single-precision products of x and y that reach `least`; skip[i] is a column not looked at."""
-    s, m = (b[: len(x) * len(y)].reshape(len(x), len(y)) for b in buffers)
+def _products(x: np.ndarray, y: np.ndarray, least: float | np.ndarray, buffer: np.ndarray, theirs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, value) of the single-precision products of x and y that reach `least` of i or, where it is given, `theirs` of j.
+
+    The greatest product of a row tells whether any of it is looked at, so most tiles are read once."""
+    s = buffer[: len(x) * len(y)].reshape(len(x), len(y))
     np.matmul(x, y.T, out=s)
-    if skip is not None:
-        s[np.arange(len(x)), skip] = -4
-    np.greater_equal(s, np.float32(least), out=m)
-    at = np.flatnonzero(m)
-    return at // len(y), at % len(y), s.ravel()[at]
+    least = np.broadcast_to(np.asarray(least, np.float32), len(x))
+    rows = np.flatnonzero(s.max(1) >= least)
+    at = np.flatnonzero(s[rows] >= least[rows, None]) if len(rows) else rows
+    i, j = rows[at // len(y)], at % len(y)
+    if theirs is not None:
+        cols = np.flatnonzero(s.max(0) >= np.asarray(theirs, np.float32))
+        if len(cols):
+            some = s[:, cols]
+            at = np.flatnonzero((some >= np.asarray(theirs, np.float32)[cols]) & (some < least[:, None]))
+            i, j = np.concatenate([i, at // len(cols)]), np.concatenate([j, cols[at % len(cols)]])
+    return i, j, s[i, j]
 
 
-def _buffers() -> tuple[np.ndarray, np.ndarray]:
-    return np.empty(ROWS * COLS, np.float32), np.empty(ROWS * COLS, bool)
+def _buffer() -> np.ndarray:
+    return np.empty(ROWS * COLS, np.float32)
 
 
 def _sims(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -67,47 +75,76 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _within(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, sim): the exact k best of each row of a block among the others of it, in the order of rows.
+def _best(ids: np.ndarray, x: np.ndarray, f: np.ndarray, some: np.ndarray, others: np.ndarray, k: int, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, sim): the exact k best of each of the rows `some` of a block among its rows `others`, in the order of rows.
 
-    A bound of the k-th best is first told from the best of as many parts of some of its columns, then all of the block that
-    reach it are taken."""
-    f, buffers, n = x.astype(np.float32), _buffers(), len(x)
+    A bound of the k-th best is first told from the best of as many parts of some of `others`, then all that reach it are taken."""
     own = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    every = []
-    some_cols = np.arange(0, n, THIN if n > 2 * COLS else 1)
-    for a in range(0, n, ROWS):
-        rows = f[a : a + ROWS]
-        tops = []
-        for b in range(0, len(some_cols), COLS):
-            cols = some_cols[b : b + COLS]
-            s = rows @ f[cols].T
-            inside = np.flatnonzero((cols >= a) & (cols < a + len(rows)))
-            s[cols[inside] - a, inside] = -4
+    every = [own]
+    thin, theirs = others[:: THIN if len(others) > 2 * COLS else 1], f[others]
+    least_of = f[thin]
+    for a in range(0, len(some), ROWS):
+        rows = some[a : a + ROWS]
+        left, tops = f[rows], []
+        for b in range(0, len(thin), COLS):
+            cols = thin[b : b + COLS]
+            s = left @ least_of[b : b + COLS].T
+            at = np.minimum(np.searchsorted(cols, rows), len(cols) - 1)
+            inside = np.flatnonzero(cols[at] == rows)
+            s[inside, at[inside]] = -4
             width = -(-s.shape[1] // 32)
             tops += [s[:, c : c + width].max(1) for c in range(0, s.shape[1], width)]
-        top = np.stack(tops, 1)
-        bound = np.partition(top, -k, axis=1)[:, -k] - np.float32(SLACK) if top.shape[1] > k else np.full(len(rows), -3, np.float32)
-        best = [c.copy() for c in own]
-        for b in range(0, n, COLS):
-            cols = f[b : b + COLS]
-            s, m = (z[: len(rows) * len(cols)].reshape(len(rows), len(cols)) for z in buffers)
-            np.matmul(rows, cols.T, out=s)
-            np.greater_equal(s, np.maximum(bound, np.float32(-3))[:, None], out=m)
-            at = np.flatnonzero(m)
-            i, j = at // len(cols), at % len(cols)
-            keep = i + a != j + b
+        top = np.stack(tops, 1) if tops else np.zeros((len(rows), 0), np.float32)
+        bound = np.maximum(np.partition(top, -k, axis=1)[:, -k] - np.float32(SLACK), np.float32(-3)) if top.shape[1] > k else np.full(len(rows), -3, np.float32)
+        best = own
+        for b in range(0, len(others), COLS):
+            cols = others[b : b + COLS]
+            i, j, _ = _products(left, theirs[b : b + COLS], bound, buffer)
+            keep = rows[i] != cols[j]
             i, j = i[keep], j[keep]
-            sim = _sims(x[a : a + ROWS], i, x[b : b + COLS], j)
-            best = [np.concatenate(c) for c in zip(best, (i + a, j + b, sim))]
+            sim = _sims(x[rows], i, x[cols], j)
+            best = [np.concatenate(c) for c in zip(best, (rows[i], cols[j], sim))]
             if len(best[0]) > 4 * k * len(rows):
-                some = _first(best[0], ids[best[1]], best[2], k)
-                best = [c[some] for c in best]
-        some = _first(best[0], ids[best[1]], best[2], k)
-        every.append([c[some] for c in best])
+                first = _first(best[0], ids[best[1]], best[2], k)
+                best = [c[first] for c in best]
+        first = _first(best[0], ids[best[1]], best[2], k)
+        every.append([c[first] for c in best])
     return tuple(np.concatenate(c) for c in zip(*every))
 
 
+def _within(ids: np.ndarray, x: np.ndarray, k: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, sim): the exact k best of each row of a block among the others of it, in the order of rows.
+
+    With groups, the rows of a group are first searched among themselves, then among what of the other groups may reach the
+    bound that this gives; those far from their cell's centre, which nearly all may reach, are searched among all at once."""
+    f, buffer, n = x.astype(np.float32), _buffer(), len(x)
+    if groups is None:
+        return _best(ids, x, f, np.arange(n), np.arange(n), k, buffer)
+    order = np.argsort(groups, kind="stable")
+    runs, centres = _runs(x[order], groups[order])
+    members, to = [order[r] for r in runs], x @ centres.T
+    every = []
+    for g, rows in enumerate(members):
+        if groups[rows[0]] % 2 or len(rows) <= k:
+            every.append(_best(ids, x, f, rows, np.arange(n), k, buffer))
+            continue
+        found = [_best(ids, x, f, rows, rows, k, buffer)]
+        least = found[0][2].reshape(len(rows), k)[:, k - 1]
+        for h, others in enumerate(members):
+            if h == g:
+                continue
+            cos = float(centres[g] @ centres[h])
+            near = [(np.arange(len(rows)), np.arange(len(others)))] if abs(cos) >= ALIKE else _may_reach(to[rows][:, [g, h]], least, to[others][:, [h, g]][:, ::-1], cos)
+            for i, j in near:
+                found += _reaching(f, x, f, x, rows[i], others[j], least[i], None, buffer)
+        row, col, sim = (np.concatenate(c) for c in zip(*[z[:3] for z in found]))
+        first = _first(row, ids[col], sim, k)
+        every.append((row[first], col[first], sim[first]))
+    row, col, sim = (np.concatenate(c) for c in zip(*every))
+    first = np.argsort(row, kind="stable")
+    return row[first], col[first], sim[first]
+
+
 def _groups(x: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """Groups of the rows of a block: those of a cell near its centre, and those far from it."""
     out = np.zeros(len(x), np.int64)
@@ -122,7 +159,7 @@ def _runs(x: np.ndarray, groups: np.ndarray) -> tuple[list[slice], np.ndarray]:
     """(runs of rows of one group, a unit centre of each)."""
     cuts = np.flatnonzero(np.diff(groups, prepend=-1))
     runs = [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(groups)])]
-    return runs, _unit(np.stack([x[r].mean(0) for r in runs]))
+    return runs, _unit(np.stack([x[r].mean(0) for r in runs])) if runs else np.zeros((0, x.shape[1]))
 
 
 def _may_reach(x: np.ndarray, least: np.ndarray, y: np.ndarray, cos: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -133,62 +170,85 @@ def _may_reach(x: np.ndarray, least: np.ndarray, y: np.ndarray, cos: float) -> l
     turn = np.sqrt(1 - cos * cos)
     (p1, p2), (q1, q2) = ((z[:, 0], (z[:, 1] - cos * z[:, 0]) / turn) for z in (x, y))
     p3, q3 = (np.sqrt(np.maximum(0, 1 - u * u - v * v)) for u, v in ((p1, p2), (q1, q2)))
+
+    def reach(i: np.ndarray | slice, j: np.ndarray | slice) -> np.ndarray:
+        most = sum(np.maximum(p[i] * q[j].min(), p[i] * q[j].max()) for p, q in ((p1, q1), (p2, q2))) + p3[i] * q3[j].max()
+        return np.flatnonzero(most >= least[i] - SLACK)
+
+    may = reach(slice(None), slice(None))  # no stretch has more
+    if not len(may):
+        return []
     order, out, a = np.argsort(-q1), [], 0
     for share in STRETCHES:
         j = order[a : max(a, int(share * len(order)))]
         a += len(j)
         if len(j):
-            most = sum(np.maximum(p * q[j].min(), p * q[j].max()) for p, q in ((p1, q1), (p2, q2))) + p3 * q3[j].max()
-            i = np.flatnonzero(most >= least - SLACK)
+            i = may[reach(may, j)]
             if len(i):
                 out.append((i, np.sort(j)))
     return out
 
 
+def _reaching(f: np.ndarray, x: np.ndarray, g: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, tl: np.ndarray, tr: np.ndarray | None, buffer: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, sim, to): exact products of the rows `left` of x and `right` of y that reach the bound tl of a row or, where
+    it is given, tr of a column, tile by tile; `to` says of which of both: 1, 2 or 3. f and g are x and y in single precision."""
+    out, fl, fr = [], f[left], g[right]
+    low, lower = tl - SLACK, None if tr is None else tr - SLACK
+    for a in range(0, len(left), ROWS):
+        for b in range(0, len(right), COLS):
+            i, j, _ = _products(fl[a : a + ROWS], fr[b : b + COLS], low[a : a + ROWS], buffer, None if lower is None else lower[b : b + COLS])
+            if not len(i):
+                continue
+            la, rb = left[a : a + ROWS], right[b : b + COLS]
+            sim = _sims(x[la], i, y[rb], j)
+            to = (sim >= tl[a + i] - ROUNDING).astype(np.int8)
+            if tr is not None:
+                to += 2 * (sim >= tr[b + j] - ROUNDING).astype(np.int8)
+            out.append((la[i[to > 0]], rb[j[to > 0]], sim[to > 0], to[to > 0]))
+    return out
+
+
 def _between(ids: list[np.ndarray], x: list[np.ndarray], least: list[np.ndarray], groups: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, neighbour id, sim): for each row of either of two blocks its exact k best of the other that reach its bound.
 
-    The rows of a block are in the order of groups and, within one, of bounds, so that the bounds of a tile are alike. Of
-    two groups only what may reach a bound is multiplied: for either side by itself, or all of both where that is less."""
-    f, buffers = [z.astype(np.float32) for z in x], _buffers()
+    The rows of a block are in the order of groups and, within one, of bounds. Rows far from their cell's centre have low
+    bounds, which nearly all may reach: those of a block are multiplied at once with all of the other. Of two groups of near
+    rows only what may reach a bound is multiplied: for either side by itself, or all of both where that is less."""
+    f, buffer = [z.astype(np.float32) for z in x], _buffer()
     every: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
 
-    def multiply(left: np.ndarray, right: np.ndarray, tl: np.ndarray, tr: np.ndarray) -> None:
-        for a in range(0, len(left), ROWS):
-            la, ta = left[a : a + ROWS], tl[a : a + ROWS]
-            for b in range(0, len(right), COLS):
-                rb, tb = right[b : b + COLS], tr[b : b + COLS]
-                i, j, v = _products(f[0][la], f[1][rb], min(ta.min(), tb.min()) - SLACK, buffers)
-                mine, theirs = v >= ta[i] - SLACK, v >= tb[j] - SLACK
-                keep = mine | theirs
-                if not keep.any():
-                    continue
-                i, j = i[keep], j[keep]
-                sim = _sims(x[0][la], i, x[1][rb], j)
-                for row, col, bound, r, c in ((i, j, ta, ids[0][la], ids[1][rb]), (j, i, tb, ids[1][rb], ids[0][la])):
-                    near = sim >= bound[row] - ROUNDING
-                    row, other, s = row[near], c[col[near]], sim[near]
-                    some = _first(row, other, s, k)
-                    for to, z in zip(every, (r[row[some]], other[some], s[some])):
-                        to.append(z)
-
-    (runs, centres), (runs2, centres2) = (_runs(z, g) for z, g in zip(x, groups))
-    to, to2 = x[0] @ np.concatenate([centres, centres2]).T, x[1] @ np.concatenate([centres, centres2]).T
+    def keep(row: np.ndarray, other: np.ndarray, sim: np.ndarray) -> None:
+        some = _first(row, other, sim, k)
+        for z, of in zip(every, (row[some], other[some], sim[some])):
+            z.append(of)
+
+    def multiply(side: int, left: np.ndarray, right: np.ndarray, tl: np.ndarray, tr: np.ndarray | None = None) -> None:
+        for i, j, sim, to in _reaching(f[side], x[side], f[1 - side], x[1 - side], left, right, tl, tr, buffer):
+            mine, theirs = (to & 1) > 0, (to & 2) > 0
+            keep(ids[side][i[mine]], ids[1 - side][j[mine]], sim[mine])
+            if tr is not None:
+                keep(ids[1 - side][j[theirs]], ids[side][i[theirs]], sim[theirs])
+
+    near, far = ([np.flatnonzero(z % 2 == c) for z in groups] for c in (0, 1))
+    multiply(0, far[0], np.arange(len(x[1])), least[0][far[0]], least[1])
+    multiply(1, far[1], near[0], least[1][far[1]], least[0][near[0]])
+    (runs, centres), (runs2, centres2) = (_runs(z[n], g[n]) for z, n, g in zip(x, near, groups))
+    to, to2 = (z[n] @ np.concatenate([centres, centres2]).T for z, n in zip(x, near))
     for g, one in enumerate(runs):
         for h, two in enumerate(runs2):
-            left, right = np.arange(one.start, one.stop), np.arange(two.start, two.stop)
-            tl, tr, cos = least[0][one], least[1][two], float(centres[g] @ centres2[h])
+            left, right = near[0][one], near[1][two]
+            tl, tr, cos = least[0][left], least[1][right], float(centres[g] @ centres2[h])
             at = [g, len(runs) + h]
             if abs(cos) < ALIKE:
                 mine = _may_reach(to[one][:, at], tl, to2[two][:, at[::-1]][:, ::-1], cos)
                 theirs = _may_reach(to2[two][:, at[::-1]], tr, to[one][:, at][:, ::-1], cos)
                 if sum(len(i) * len(j) for i, j in mine + theirs) < len(left) * len(right):
                     for i, j in mine:
-                        multiply(left[i], right[j], tl[i], np.full(len(j), NEVER))
+                        multiply(0, left[i], right[j], tl[i])
                     for j, i in theirs:
-                        multiply(left[i], right[j], np.full(len(i), NEVER), tr[j])
+                        multiply(1, right[j], left[i], tr[j])
                     continue
-            multiply(left, right, tl, tr)
+            multiply(0, left, right, tl, tr)
     got = [np.concatenate(z) for z in every]
     some = _first(got[0], got[1], got[2], k)
     return tuple(z[some] for z in got)
@@ -206,20 +266,30 @@ def _blocks(rows: DataFrame, n: int, by: tuple[str, ...], pack, schema: str, nam
     return Staging(rows.sparkSession).write(rows.repartitionByRange(n, *by).mapInArrow(run, schema), name)
 
 
-def _met(blocks: DataFrame, n: int, run, schema: str) -> DataFrame:
-    """run(left, right) over all pairs of blocks, left before right.
+def _met(blocks: DataFrame, n: int, opened, run, schema: str) -> DataFrame:
+    """run(left, right) over all pairs of blocks as `opened` makes them of their rows, left before right.
 
-    A task reads its few blocks from where they are kept: nothing is copied for the sake of pairs, and nothing broadcast."""
+    A task reads its few blocks from where they are kept: nothing is copied for the sake of pairs, and nothing broadcast.
+    Of its pairs a task opens a block once, unless it has more than KEPT."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, object] = {}
+
+        def get(side: str, batch: pa.RecordBatch, row: int) -> object:
+            block = batch.column(f"{side}_block")[row].as_py()
+            if block not in kept:
+                if len(kept) >= KEPT:
+                    kept.pop(next(iter(kept)))
+                kept[block] = opened({c: batch.column(f"{side}_{c}")[row].as_py() for c in names})
+            return kept[block]
+
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                yield run({c: one[f"l_{c}"] for c in names}, {c: one[f"r_{c}"] for c in names})
+                yield run(get("l", batch, row), get("r", batch, row))
 
     names = [c for c in blocks.columns if c != "block"]
     left = blocks.repartitionByRange(n if n <= 24 else -(-n // 2), "block").select([F.col(c).alias(f"l_{c}") for c in blocks.columns])
     right = blocks.repartitionByRange(n if n <= 12 else -(-n // 6), "block").select([F.col(c).alias(f"r_{c}") for c in blocks.columns])
-    return left.hint("shuffle_replicate_nl").join(right, F.col("l_block") < F.col("r_block")).drop("l_block", "r_block").mapInArrow(each, schema)
+    return left.hint("shuffle_replicate_nl").join(right, F.col("l_block") < F.col("r_block")).mapInArrow(each, schema)
 
 
 def _placed(points: DataFrame, dim: int, n: int, cells: int) -> DataFrame:
@@ -249,18 +319,19 @@ def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK) ->
     points = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
     rows = points.count()
     n = max(1, -(-rows // block))
-    placed = _placed(points, dim, rows, min(256, 2 * n)) if n > 1 else points.withColumn("cell", F.lit(0))
+    placed = _placed(points, dim, rows, min(256, 3 * n)) if n > 1 else points.withColumn("cell", F.lit(0))
 
     def pack(batch: pa.RecordBatch) -> dict:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         order = np.argsort(ids)
         ids, raw = ids[order], batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
-        row, col, sim = _within(ids, _unit(raw), k)
+        x = _unit(raw)
+        groups = _groups(x, batch.column("cell").to_numpy(zero_copy_only=False)[order])
+        row, col, sim = _within(ids, x, k, groups)
         least, count = np.full(len(ids), -2.0), np.bincount(row, minlength=len(ids))
         last = np.cumsum(count) - 1
         full = count >= k
         least[full] = sim[last[full]]
-        groups = _groups(_unit(raw), batch.column("cell").to_numpy(zero_copy_only=False)[order])
         by = np.lexsort((-least, groups))
         made = {"ids": ids[by], "v": raw[by].astype(np.float32), "least": least[by], "groups": groups[by], "row": ids[row], "near": ids[col], "sim": sim}
         return {c: np.ascontiguousarray(z).tobytes() for c, z in made.items()}
@@ -273,15 +344,15 @@ def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK) ->
             for r, c, s in zip(*(batch.column(c) for c in ("row", "near", "sim"))):
                 yield _pairs(np.frombuffer(r.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64), np.frombuffer(s.as_py(), np.float64))
 
-    def between(left: dict, right: dict) -> pa.RecordBatch:
-        ids = [np.frombuffer(z["ids"], np.int64) for z in (left, right)]
-        x = [_unit(np.frombuffer(z["v"], np.float32).reshape(-1, dim)) for z in (left, right)]
-        least, groups = ([np.frombuffer(z[c], kind) for z in (left, right)] for c, kind in (("least", np.float64), ("groups", np.int64)))
-        return _pairs(*_between(ids, x, least, groups, k))
+    def opened(one: dict) -> tuple[np.ndarray, ...]:
+        return np.frombuffer(one["ids"], np.int64), _unit(np.frombuffer(one["v"], np.float32).reshape(-1, dim)), np.frombuffer(one["least"], np.float64), np.frombuffer(one["groups"], np.int64)
+
+    def between(left: tuple, right: tuple) -> pa.RecordBatch:
+        return _pairs(*_between(*([a, b] for a, b in zip(left, right)), k))
 
     near = blocks.select("row", "near", "sim").mapInArrow(inside, PAIRS)
     if n > 1:
-        near = near.unionByName(_met(blocks.select("block", "ids", "v", "least", "groups"), n, between, PAIRS))
+        near = near.unionByName(_met(blocks.select("block", "ids", "v", "least", "groups"), n, opened, between, PAIRS))
     w = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "neighbour_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -300,7 +371,7 @@ def _tied(groups: list[np.ndarray], x: list[np.ndarray], eps: float) -> list[tup
     only what may tie two."""
     parent: dict[int, int] = {}
     out: list[tuple[int, int]] = []
-    f, buffers, least = [z.astype(np.float32) for z in x], _buffers(), 1 - eps * eps / 2
+    f, buffer, least = [z.astype(np.float32) for z in x], _buffer(), 1 - eps * eps / 2
 
     def tie(a: int, b: int) -> None:
         ra, rb = _roots(parent, a), _roots(parent, b)
@@ -316,7 +387,7 @@ def _tied(groups: list[np.ndarray], x: list[np.ndarray], eps: float) -> list[tup
             ub = np.unique(gb)
             if len({_roots(parent, int(g)) for g in (*ua, *ub)}) == 1:
                 continue
-            i, j, v = _products(f[0][a : a + ROWS], f[1][b : b + COLS], least - SLACK, buffers)
+            i, j, v = _products(f[0][a : a + ROWS], f[1][b : b + COLS], least - SLACK, buffer)
             differ = ga[i] != gb[j]
             i, j, v = i[differ], j[differ], v[differ]
             near = v >= least + SLACK
@@ -344,20 +415,22 @@ def ties_between(points: DataFrame, eps: float, dim: int = 64, block: int = BLOC
 
     blocks = _blocks(points, n, ("group", "id"), pack, "block int, groups binary, v binary", "group_blocks")
 
-    def of(left: dict, right: dict) -> pa.RecordBatch:
-        groups = [np.frombuffer(z["groups"], np.int64) for z in (left, right)]
-        got = []
+    def opened(one: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(one["groups"], np.int64), _unit(np.frombuffer(one["v"], np.float32).reshape(-1, dim))
+
+    def of(left: tuple, right: tuple) -> pa.RecordBatch:
+        groups, got = [left[0], right[0]], []
         if groups[0].min() != groups[1].max() or groups[0].max() != groups[1].min():
-            got = _tied(groups, [_unit(np.frombuffer(z["v"], np.float32).reshape(-1, dim)) for z in (left, right)], eps)
+            got = _tied(groups, [left[1], right[1]], eps)
         return pa.RecordBatch.from_arrays([pa.array([p[c] for p in got], pa.int64()) for c in (0, 1)], ["src", "dst"])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, v in zip(batch.column("groups"), batch.column("v")):
-                one = {"groups": g.as_py(), "v": v.as_py()}
+                one = opened({"groups": g.as_py(), "v": v.as_py()})
                 yield of(one, one)
 
     ties = blocks.select("groups", "v").mapInArrow(inside, "src long, dst long")
     if n > 1:
-        ties = ties.unionByName(_met(blocks, n, of, "src long, dst long"))
+        ties = ties.unionByName(_met(blocks, n, opened, of, "src long, dst long"))
     return ties.distinct()

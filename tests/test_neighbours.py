@@ -65,6 +65,43 @@ def test_groups_far_apart_are_not_multiplied(monkeypatch):
     assert sum(multiplied) < 0.5 * 1200 * 1200
 
 
+def test_a_block_by_itself_multiplies_what_may_reach_a_bound(monkeypatch):
+    """Groups of a block that are far apart are not multiplied with one another, and its exact neighbours stay the same."""
+    rng = np.random.default_rng(7)
+    cell = np.repeat(np.arange(8), 200)
+    v = np.linalg.qr(rng.normal(size=(64, 64)))[0][:8][cell] + 0.05 * rng.normal(size=(1600, 64))
+    v[::40] = rng.normal(size=(40, 64))
+    v[9], v[11] = 0, v[10]
+    x, ids = neighbours._unit(v), rng.permutation(10_000)[:1600]
+    multiplied, products = [], neighbours._products
+    monkeypatch.setattr(neighbours, "_products", lambda x, y, *more: multiplied.append(len(x) * len(y)) or products(x, y, *more))
+    row, col, _ = neighbours._within(ids, x, 6, neighbours._groups(x, cell))
+    assert (np.diff(row) >= 0).all()
+    s, want = np.round(x @ x.T, 9), set()
+    for i in range(1600):
+        want |= {(i, int(j)) for j in [j for j in np.lexsort((ids, -s[i])) if j != i][:6]}
+    assert set(zip(row.tolist(), col.tolist())) == want and len(row) == 6 * 1600
+    assert sum(multiplied) < 0.4 * 1600 * 1600
+
+
+def test_far_rows_of_a_block_are_multiplied_at_once(monkeypatch):
+    """The few rows that all may reach meet the other block in one product for each tile, not in one for every group of it."""
+    rng = np.random.default_rng(8)
+    cell = np.repeat(np.arange(10), 100)
+    centres, blocks = np.linalg.qr(rng.normal(size=(64, 64)))[0][:10], []
+    for b in range(2):
+        v = centres[cell] + 0.04 * rng.normal(size=(1000, 64))
+        v[::10] = rng.normal(size=(100, 64))
+        x = neighbours._unit(v)
+        groups = neighbours._groups(x, cell)
+        by = np.argsort(groups, kind="stable")
+        blocks.append((2 * np.arange(1000) + b, x[by], np.where(groups[by] % 2, 0.3, 0.97), groups[by]))
+    calls, products = [], neighbours._products
+    monkeypatch.setattr(neighbours, "_products", lambda *a: calls.append(1) or products(*a))
+    neighbours._between(*([a, b] for a, b in zip(*blocks)), 6)
+    assert len(calls) < 40
+
+
 def test_all_nearest_of_few_and_no_points(spark):
     some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "id long, v array<float>")
     assert {(r.id, r.neighbour_id) for r in all_nearest(some, 6, 2).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
