@@ -232,3 +232,29 @@ def test_store_survivor_counts_sources_once(spark):
 
 def test_no_groups_no_survivors(spark):
     assert paper_survivors(spark.createDataFrame([], PAPERS)).records().count() == 0
+
+
+def test_buckets_are_found_without_a_row_for_each_key_and_ids_are_read_once(spark, monkeypatch):
+    """Keys travel packed by part, not as a sorted row each; texts are read for comparisons without parsing ids again."""
+    plans, write = {}, N.Staging.write
+
+    def seen(self, df, what, *more):
+        plans.setdefault(what, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, what, *more)
+
+    monkeypatch.setattr(N.Staging, "write", seen)
+    text = " ".join(WORDS[:60])
+    rows = [(i, f"2401.{i:05d}v1", f"paper {i % 3}", f"{text} {WORDS[100 + i]}" if i < 4 else f"{WORDS[i]} {WORDS[i + 1]}") for i in range(12)]
+    rows += [(20, "2401.00001v2", *rows[0][2:]), (21, "2401.00009", *rows[0][2:])]  # copies under the own and under another id
+    got = {tuple(r) for r in similar_papers(spark.createDataFrame(rows, "row_id long, arxiv_id string, title string, abstract string")).collect()}
+    texts_of = {}
+    for _, paper, title, abstract in rows:
+        texts_of.setdefault(paper.split("v")[0], []).append(f"{title} {abstract}")
+    near = lambda a, b: any(jaccard(x, y, 3) >= 0.5 for x in texts_of[a] for y in texts_of[b])
+    assert got == {(a, b) for a in texts_of for b in texts_of if a < b and near(a, b)} and len(got) == 10
+    assert not any("Window" in p or "Sort " in p for p in plans["bucket_edges"])
+    assert not any("regexp" in p for p in plans["tested"]) and len(plans["owners"]) == 1
+
+
+def test_a_part_without_keys_has_no_buckets():
+    assert [len(z) for z in N._buckets(iter([]))] == [0, 0, 0, 0]
