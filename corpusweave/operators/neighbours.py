@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.operators.index import _matrix, fit_cells
@@ -22,6 +22,8 @@ SPARSE = 1 / 64
 #: Rows less near their cell's centre than its median by this are a group; centres nearer than ALIKE say nothing;
 #: shares of a group's rows up to which a stretch of it goes; one column in THIN tells the first bounds.
 FAR, ALIKE, STRETCHES, THIN = 0.15, 0.99, (1 / 16, 1 / 4, 1), 4
+#: The bound of rows of which no neighbours are asked: no product reaches it.
+UNASKED = 4.0
 PAIRS = "id long, neighbour_id long, sim double"
 
 
@@ -33,8 +35,11 @@ def _products(x: np.ndarray, y: np.ndarray, least: float | np.ndarray, buffer: n
     np.matmul(x, y.T, out=s)
     least = np.broadcast_to(np.asarray(least, np.float32), len(x))
     rows = np.flatnonzero(s.max(1) >= least)
-    at = np.flatnonzero(s[rows] >= least[rows, None]) if len(rows) else rows
-    i, j = rows[at // len(y)], at % len(y)
+    if 2 * len(rows) > len(x):
+        i, j = np.divmod(np.flatnonzero(s >= least[:, None]), len(y))
+    else:
+        at = np.flatnonzero(s[rows] >= least[rows, None]) if len(rows) else rows
+        i, j = rows[at // len(y)], at % len(y)
     if theirs is not None:
         cols = np.flatnonzero(s.max(0) >= np.asarray(theirs, np.float32))
         if len(cols):
@@ -48,16 +53,21 @@ def _buffer() -> np.ndarray:
     return np.empty(ROWS * COLS, np.float32)
 
 
-def _sims(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact products of rows i of x and j of y; all of them at once where they are many."""
-    if len(i) > SPARSE * len(x) * len(y):
-        return (x @ y.T)[i, j]
-    out = np.empty(len(i))
-    for s in range(0, len(i), 65_536):
-        out[s : s + 65_536] = np.einsum("ij,ij->i", x[i[s : s + 65_536]], y[j[s : s + 65_536]])
+def _sims(x: np.ndarray, rows: np.ndarray, i: np.ndarray, y: np.ndarray, cols: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact products of x and y at the places i of `rows` and j of `cols`; all of the tile at once where they are many."""
+    if len(i) > SPARSE * len(rows) * len(cols):
+        return (x[rows] @ y[cols].T)[i, j]
+    out, i, j = np.empty(len(i)), rows[i], cols[j]
+    for s in range(0, len(i), 16_384):
+        out[s : s + 16_384] = np.einsum("ij,ij->i", x[i[s : s + 16_384]], y[j[s : s + 16_384]])
     return out
 
 
+def _taken(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows `at` of x, in order; not copied where they are one stretch."""
+    return x[at[0] : at[-1] + 1] if len(at) and at[-1] - at[0] + 1 == len(at) and (np.diff(at) == 1).all() else x[at]
+
+
 def _first(row: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best entries of each row, in the order of rows: the most similar, then the least ids."""
     order = np.lexsort((other, -np.round(sim, 9), row))
@@ -81,7 +91,7 @@ def _best(ids: np.ndarray, x: np.ndarray, f: np.ndarray, some: np.ndarray, other
     A bound of the k-th best is first told from the best of as many parts of some of `others`, then all that reach it are taken."""
     own = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     every = [own]
-    thin, theirs = others[:: THIN if len(others) > 2 * COLS else 1], f[others]
+    thin, theirs = others[:: THIN if len(others) > 2 * COLS else 1], _taken(f, others)
     least_of = f[thin]
     for a in range(0, len(some), ROWS):
         rows = some[a : a + ROWS]
@@ -102,7 +112,7 @@ def _best(ids: np.ndarray, x: np.ndarray, f: np.ndarray, some: np.ndarray, other
             i, j, _ = _products(left, theirs[b : b + COLS], bound, buffer)
             keep = rows[i] != cols[j]
             i, j = i[keep], j[keep]
-            sim = _sims(x[rows], i, x[cols], j)
+            sim = _sims(x, rows, i, x, cols, j)
             best = [np.concatenate(c) for c in zip(best, (rows[i], cols[j], sim))]
             if len(best[0]) > 4 * k * len(rows):
                 first = _first(best[0], ids[best[1]], best[2], k)
@@ -112,19 +122,22 @@ def _best(ids: np.ndarray, x: np.ndarray, f: np.ndarray, some: np.ndarray, other
     return tuple(np.concatenate(c) for c in zip(*every))
 
 
-def _within(ids: np.ndarray, x: np.ndarray, k: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _within(ids: np.ndarray, x: np.ndarray, k: int, groups: np.ndarray | None = None, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, sim): the exact k best of each row of a block among the others of it, in the order of rows.
 
     With groups, the rows of a group are first searched among themselves, then among what of the other groups may reach the
-    bound that this gives; those far from their cell's centre, which nearly all may reach, are searched among all at once."""
+    bound that this gives; those far from their cell's centre, which nearly all may reach, are searched among all at once.
+    `asked` says of each row, the same of all of a group, whether its neighbours are wanted."""
     f, buffer, n = x.astype(np.float32), _buffer(), len(x)
     if groups is None:
         return _best(ids, x, f, np.arange(n), np.arange(n), k, buffer)
     order = np.argsort(groups, kind="stable")
     runs, centres = _runs(x[order], groups[order])
     members, to = [order[r] for r in runs], x @ centres.T
-    every = []
+    every = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for g, rows in enumerate(members):
+        if asked is not None and not asked[rows[0]]:
+            continue
         if groups[rows[0]] % 2 or len(rows) <= k:
             every.append(_best(ids, x, f, rows, np.arange(n), k, buffer))
             continue
@@ -145,11 +158,14 @@ def _within(ids: np.ndarray, x: np.ndarray, k: int, groups: np.ndarray | None =
     return row[first], col[first], sim[first]
 
 
-def _groups(x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Groups of the rows of a block: those of a cell near its centre, and those far from it."""
+def _groups(x: np.ndarray, cell: np.ndarray, far: tuple[int, ...] = ()) -> np.ndarray:
+    """Groups of the rows of a block: those of a cell near its centre, and those far from it, as all of the cells `far` are."""
     out = np.zeros(len(x), np.int64)
     for c in np.unique(cell):
         at = np.flatnonzero(cell == c)
+        if c in far:
+            out[at] = 2 * int(c) + 1
+            continue
         near = x[at] @ _unit(x[at].mean(0, keepdims=True))[0]
         out[at] = 2 * int(c) + (near < np.median(near) - FAR)
     return out
@@ -192,7 +208,7 @@ def _may_reach(x: np.ndarray, least: np.ndarray, y: np.ndarray, cos: float) -> l
 def _reaching(f: np.ndarray, x: np.ndarray, g: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, tl: np.ndarray, tr: np.ndarray | None, buffer: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, column, sim, to): exact products of the rows `left` of x and `right` of y that reach the bound tl of a row or, where
     it is given, tr of a column, tile by tile; `to` says of which of both: 1, 2 or 3. f and g are x and y in single precision."""
-    out, fl, fr = [], f[left], g[right]
+    out, fl, fr = [], _taken(f, left), _taken(g, right)
     low, lower = tl - SLACK, None if tr is None else tr - SLACK
     for a in range(0, len(left), ROWS):
         for b in range(0, len(right), COLS):
@@ -200,7 +216,7 @@ def _reaching(f: np.ndarray, x: np.ndarray, g: np.ndarray, y: np.ndarray, left:
             if not len(i):
                 continue
             la, rb = left[a : a + ROWS], right[b : b + COLS]
-            sim = _sims(x[la], i, y[rb], j)
+            sim = _sims(x, la, i, y, rb, j)
             to = (sim >= tl[a + i] - ROUNDING).astype(np.int8)
             if tr is not None:
                 to += 2 * (sim >= tr[b + j] - ROUNDING).astype(np.int8)
@@ -212,8 +228,9 @@ def _between(ids: list[np.ndarray], x: list[np.ndarray], least: list[np.ndarray]
     """(id, neighbour id, sim): for each row of either of two blocks its exact k best of the other that reach its bound.
 
     The rows of a block are in the order of groups and, within one, of bounds. Rows far from their cell's centre have low
-    bounds, which nearly all may reach: those of a block are multiplied at once with all of the other. Of two groups of near
-    rows only what may reach a bound is multiplied: for either side by itself, or all of both where that is less."""
+    bounds, which nearly all may reach: those of a block are multiplied at once with all of the other. Of two groups of
+    other rows only what may reach a bound is multiplied: for either side by itself, or all of both where that is less.
+    Nothing reaches rows that are not asked."""
     f, buffer = [z.astype(np.float32) for z in x], _buffer()
     every: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
 
@@ -229,15 +246,18 @@ def _between(ids: list[np.ndarray], x: list[np.ndarray], least: list[np.ndarray]
             if tr is not None:
                 keep(ids[1 - side][j[theirs]], ids[side][i[theirs]], sim[theirs])
 
-    near, far = ([np.flatnonzero(z % 2 == c) for z in groups] for c in (0, 1))
+    wide = [(g % 2 == 1) & (t < UNASKED) for g, t in zip(groups, least)]
+    near, far = ([np.flatnonzero(z == c) for z in wide] for c in (False, True))
     multiply(0, far[0], np.arange(len(x[1])), least[0][far[0]], least[1])
     multiply(1, far[1], near[0], least[1][far[1]], least[0][near[0]])
-    (runs, centres), (runs2, centres2) = (_runs(z[n], g[n]) for z, n, g in zip(x, near, groups))
-    to, to2 = (z[n] @ np.concatenate([centres, centres2]).T for z, n in zip(x, near))
+    (runs, centres), (runs2, centres2) = (_runs(_taken(z, n), g[n]) for z, n, g in zip(x, near, groups))
+    to, to2 = (_taken(z, n) @ np.concatenate([centres, centres2]).T for z, n in zip(x, near))
     for g, one in enumerate(runs):
         for h, two in enumerate(runs2):
             left, right = near[0][one], near[1][two]
             tl, tr, cos = least[0][left], least[1][right], float(centres[g] @ centres2[h])
+            if min(tl.min(), tr.min()) >= UNASKED:
+                continue
             at = [g, len(runs) + h]
             if abs(cos) < ALIKE:
                 mine = _may_reach(to[one][:, at], tl, to2[two][:, at[::-1]][:, ::-1], cos)
@@ -266,8 +286,9 @@ def _blocks(rows: DataFrame, n: int, by: tuple[str, ...], pack, schema: str, nam
     return Staging(rows.sparkSession).write(rows.repartitionByRange(n, *by).mapInArrow(run, schema), name)
 
 
-def _met(blocks: DataFrame, n: int, opened, run, schema: str) -> DataFrame:
-    """run(left, right) over all pairs of blocks as `opened` makes them of their rows, left before right.
+def _met(blocks: DataFrame, n: int, opened, run, schema: str, lefts: DataFrame | None = None) -> DataFrame:
+    """run(left, right) over all pairs of blocks as `opened` makes them of their rows, left before right, and where it is
+    given only those whose left one is of `lefts`.
 
     A task reads its few blocks from where they are kept: nothing is copied for the sake of pairs, and nothing broadcast.
     Of its pairs a task opens a block once, unless it has more than KEPT."""
@@ -287,57 +308,71 @@ def _met(blocks: DataFrame, n: int, opened, run, schema: str) -> DataFrame:
                 yield run(get("l", batch, row), get("r", batch, row))
 
     names = [c for c in blocks.columns if c != "block"]
-    left = blocks.repartitionByRange(n if n <= 24 else -(-n // 2), "block").select([F.col(c).alias(f"l_{c}") for c in blocks.columns])
+    left = (blocks if lefts is None else lefts).repartitionByRange(n if n <= 24 else -(-n // 2), "block").select([F.col(c).alias(f"l_{c}") for c in blocks.columns])
     right = blocks.repartitionByRange(n if n <= 12 else -(-n // 6), "block").select([F.col(c).alias(f"r_{c}") for c in blocks.columns])
     return left.hint("shuffle_replicate_nl").join(right, F.col("l_block") < F.col("r_block")).mapInArrow(each, schema)
 
 
-def _placed(points: DataFrame, dim: int, n: int, cells: int) -> DataFrame:
-    """points (id, v) with `cell`, by which like vectors come to the same blocks. It decides how much is compared in vain only."""
+def _placed(points: DataFrame, dim: int, n: int, cells: int) -> tuple[DataFrame, tuple[int, ...]]:
+    """(points (id, v, asked) with `cell`, the cells of vectors far from all centres).
+
+    By their cell like vectors come to the same blocks, those that are asked before the others. Vectors far from their centre,
+    or of a centre that is itself far from most of its own, have a cell to themselves, so that they meet a block at once. All
+    this decides only how much is compared in vain."""
     some = points.select("v").sample(min(1.0, 1.2 * FIT_ROWS / n), 11).limit(FIT_ROWS).toArrow().column("v").combine_chunks()
     x = _matrix(some, dim) if len(some) else np.zeros((0, dim))
     if len(x) <= cells:
-        return points.withColumn("cell", F.lit(0))
+        return points.withColumn("cell", F.when(F.col("asked"), 0).otherwise(1)), ()
     centres = fit_cells(x, cells, 11, 6).astype(np.float32)
+    to = x.astype(np.float32) @ centres.T
+    at, near = to.argmax(1), to.max(1)
+    middle = np.array([np.median(near[at == c]) if (at == c).any() else 1.0 for c in range(cells)], np.float32)
+    least = np.maximum(middle, np.median(near) - FAR) - np.float32(FAR)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = (_matrix(batch.column("v"), dim).astype(np.float32) @ centres.T).argmax(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell)], ["id", "v", "cell"])
+            to = _matrix(batch.column("v"), dim).astype(np.float32) @ centres.T
+            cell = to.argmax(1)
+            cell = np.where(to[np.arange(len(to)), cell] < least[cell], cells, cell)
+            cell += np.where(batch.column("asked").to_numpy(zero_copy_only=False), 0, cells + 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "asked")), pa.array(cell.astype(np.int32))], ["id", "v", "asked", "cell"])
 
-    return points.mapInArrow(place, "id long, v array<float>, cell int")
+    return points.mapInArrow(place, "id long, v array<float>, asked boolean, cell int"), (cells, 2 * cells + 1)
 
 
-def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK) -> DataFrame:
+def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK, asked: Column | None = None) -> DataFrame:
     """(id, neighbour_id, sim, rank): exact k nearest by cosine of every point (id, v), v of `dim` values, among all others;
-    all-zero and repeated vectors are points like any other.
+    all-zero and repeated vectors are points like any other. With `asked`, a condition on points, those of the points that
+    fulfil it, still among all others.
 
     Vectors are packed into blocks of like ones. A block is first searched by itself, which bounds the k-th similarity of
     each of its rows; then every two blocks meet once: what by the centres of groups of their rows may reach the bound of
     either row is multiplied in single precision, and what then may is taken again in double precision and leaves the task.
     """
-    points = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
+    wanted = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    points = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"), wanted.alias("asked"))
     rows = points.count()
     n = max(1, -(-rows // block))
-    placed = _placed(points, dim, rows, min(256, 3 * n)) if n > 1 else points.withColumn("cell", F.lit(0))
+    placed, far = _placed(points, dim, rows, min(256, 3 * n)) if n > 1 else (points.withColumn("cell", F.when(F.col("asked"), 0).otherwise(1)), ())
 
     def pack(batch: pa.RecordBatch) -> dict:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         order = np.argsort(ids)
         ids, raw = ids[order], batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
         x = _unit(raw)
-        groups = _groups(x, batch.column("cell").to_numpy(zero_copy_only=False)[order])
-        row, col, sim = _within(ids, x, k, groups)
-        least, count = np.full(len(ids), -2.0), np.bincount(row, minlength=len(ids))
+        groups = _groups(x, batch.column("cell").to_numpy(zero_copy_only=False)[order], far)
+        asks = batch.column("asked").to_numpy(zero_copy_only=False)[order]
+        row, col, sim = _within(ids, x, k, groups, asks)
+        least, count = np.where(asks, -2.0, UNASKED), np.bincount(row, minlength=len(ids))
         last = np.cumsum(count) - 1
         full = count >= k
         least[full] = sim[last[full]]
         by = np.lexsort((-least, groups))
         made = {"ids": ids[by], "v": raw[by].astype(np.float32), "least": least[by], "groups": groups[by], "row": ids[row], "near": ids[col], "sim": sim}
-        return {c: np.ascontiguousarray(z).tobytes() for c, z in made.items()}
+        return {"asks": int(asks.any())} | {c: np.ascontiguousarray(z).tobytes() for c, z in made.items()}
 
     columns = ("ids", "v", "least", "groups", "row", "near", "sim")
-    blocks = _blocks(placed, n, ("cell", "id"), pack, "block int, " + ", ".join(f"{c} binary" for c in columns), "blocks")
+    blocks = _blocks(placed, n, ("cell", "id"), pack, "block int, asks int, " + ", ".join(f"{c} binary" for c in columns), "blocks")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +387,9 @@ def all_nearest(points: DataFrame, k: int, dim: int = 64, block: int = BLOCK) ->
 
     near = blocks.select("row", "near", "sim").mapInArrow(inside, PAIRS)
     if n > 1:
-        near = near.unionByName(_met(blocks.select("block", "ids", "v", "least", "groups"), n, opened, between, PAIRS))
+        met = ("block", "ids", "v", "least", "groups")
+        lefts = None if asked is None else blocks.where("asks = 1").select(*met)
+        near = near.unionByName(_met(blocks.select(*met), n, opened, between, PAIRS, lefts))
     w = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "neighbour_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

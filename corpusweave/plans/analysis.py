@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.ids import bare_id
@@ -34,9 +34,9 @@ EDGES = f"""nn as (select a.id as a, b.id as b, {COS.format('a.v', 'b.v')} as si
   ed as (select least(a, b) as src, greatest(a, b) as dst, max(sim) as weight from nb group by all)"""
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d).select("id", "v")
-    return Staging(spark).write(G.undirected(all_nearest(p, 6)), "edges")
+def _edges(spark: SparkSession, d: str, asked: Column | None = None) -> DataFrame:
+    """The edges that the neighbours of all points give, or only those of the points that are asked."""
+    return Staging(spark).write(G.undirected(all_nearest(_points(spark, d), 6, asked=asked)), "edges")
 
 
 @_R.add(f"with {POINTS}, {EDGES} select src, dst, round(weight, 6) as weight from ed")
@@ -76,8 +76,9 @@ def area_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @_R.add(f"with {POINTS}, {EDGES}, kept as (select id from pts where cluster_id between 0 and 3) select src, dst from ed where src in (select id from kept) and dst in (select id from kept)")
 def induced_edges(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _points(spark, d).where("cluster_id between 0 and 3").select(F.col("id").alias("node"))
-    return G.within(_edges(spark, d), nodes).select("src", "dst")
+    kept = F.col("cluster_id").between(0, 3)
+    nodes = _points(spark, d).where(kept).select(F.col("id").alias("node"))
+    return G.within(_edges(spark, d, kept), nodes).select("src", "dst")  # an edge of two kept nodes is of a neighbour of one of them
 
 
 _UNIT = "un as (select id, cluster_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from pts where cluster_id >= 0), el as (select id, cluster_id, unnest(u) as x, generate_subscripts(u, 1) as i from un), mn as (select cluster_id, i, avg(x) as m from el group by all), ce as (select cluster_id, list(m order by i) as c from mn group by 1), si as (select id, cluster_id, list_dot_product(u, c) / sqrt(list_dot_product(c, c)) as sim from un join ce using (cluster_id))"

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusweave.operators import clusters, graph, leads, neighbours
 from corpusweave.operators.neighbours import all_nearest
@@ -204,3 +205,32 @@ def test_steps_of_a_traversal_do_not_tell_all_edges_apart(spark, monkeypatch):
     got = graph.neighbourhood(edges, spark.createDataFrame([(1,)], "node long"), 3)
     assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert len(plans) == 3 and not any("Aggregate [a#" in p for p in plans)
+
+
+@pytest.mark.parametrize("block", [40, 1000])
+def test_neighbours_of_some_points_among_all(spark, block):
+    """Points that are not asked get no rows, and are neighbours like any other."""
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=(4, 8))[rng.integers(0, 4, 260)] + 0.4 * rng.normal(size=(260, 8)), rng.normal(size=(40, 8))])
+    v[250:260], v[299] = v[7], 0
+    ids = rng.permutation(3000)[:300]
+    points = spark.createDataFrame([(int(i), x.tolist(), None if i % 9 == 0 else int(i % 3)) for i, x in zip(ids, v)], "id long, v array<float>, c int")
+    got = {(r.id, r.neighbour_id, r["rank"]) for r in all_nearest(points, 6, 8, block, F.col("c") == 1).collect()}
+    assert got == {z for z in brute(v, ids, 6) if z[0] % 3 == 1 and z[0] % 9} and got
+    assert all_nearest(points, 6, 8, block, F.col("c") == 7).count() == 0
+
+
+def test_induced_edges_asks_for_the_kept_nodes_alone(spark, monkeypatch):
+    """Only neighbours of kept nodes are looked for, so every edge written has one of them."""
+    written, write = [], Staging.write
+
+    def seen(self, df, what, partition_by=None):
+        out = write(self, df, what, partition_by)
+        written.append((what, out))
+        return out
+
+    monkeypatch.setattr(Staging, "write", seen)
+    catalogue.QUERIES["induced_edges"](spark, "/root/testdata/sf0.001")
+    edges = dict(written)["edges"]
+    kept = {r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/bundle.parquet").where("labels between 0 and 3").select("vec_id").collect()}
+    assert all(r.src in kept or r.dst in kept for r in edges.collect()) and edges.count()
