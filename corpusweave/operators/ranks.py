@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from corpusweave.runtime import Staging
 
-#: Parts that a group is ranked in first, and ranges that a whole table is sorted by.
-PARTS, RANGES = 64, 200
+#: Parts that a group is ranked in first, ranges that a whole table is sorted by at most, and rows that are worth a range.
+PARTS, RANGES, RANGE_ROWS = 64, 200, 16_384
 
 
 def with_rank(df: DataFrame, order: str, tie: str) -> DataFrame:
     """df with `rank`, 0 for the least by `order`, then by `tie`.
 
-    The table is written in ranges of `order`; the rows of each range are counted, and a row's rank is its place in its
+    The table is written once, so that bounds of ranges are told without making it again, and then in ranges of `order`; the rows of each range are counted, and a row's rank is its place in its
     range after all rows of lesser ranges. Equal values stay in one range, so a value that most rows have is one task's."""
-    ranged = df.repartitionByRange(RANGES, order, tie).withColumn("__range", F.spark_partition_id())
-    rows = Staging(df.sparkSession).write(ranged, "ranges")
+    staging = Staging(df.sparkSession)
+    df = staging.write(df, "unranked")
+    ranges = max(1, min(RANGES, -(-df.count() // RANGE_ROWS)))
+    ranged = df.repartitionByRange(ranges, order, tie).withColumn("__range", F.spark_partition_id())
+    rows = staging.write(ranged, "ranges")
     counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each of the ranges
     before = counts.select("__range", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusweave.operators import clusters, graph, leads, neighbours
+from corpusweave.operators import clusters, graph, leads, neighbours, ranks
 from corpusweave.operators.neighbours import all_nearest
 from corpusweave.plans import catalogue
 from corpusweave.runtime import Staging
@@ -234,3 +234,36 @@ def test_induced_edges_asks_for_the_kept_nodes_alone(spark, monkeypatch):
     edges = dict(written)["edges"]
     kept = {r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/bundle.parquet").where("labels between 0 and 3").select("vec_id").collect()}
     assert all(r.src in kept or r.dst in kept for r in edges.collect()) and edges.count()
+
+
+def test_vectors_far_from_all_centres_have_a_cell_to_themselves(spark):
+    """Blocks of near vectors hold none that nearly all others may reach; those that are asked come before the others."""
+    rng = np.random.default_rng(10)
+    v = np.linalg.qr(rng.normal(size=(64, 64)))[0][:6][np.arange(1200) % 6] + 0.05 * rng.normal(size=(1200, 64))
+    v[::10] = rng.normal(size=(120, 64))
+    points = spark.createDataFrame([(i, x.tolist(), i % 4 == 0) for i, x in enumerate(v)], "id long, v array<float>, asked boolean")
+    placed, far = neighbours._placed(points, 64, 1200, 12)
+    cell = {r.id: r.cell for r in placed.collect()}
+    assert {i for i, c in cell.items() if c in far} == set(range(0, 1200, 10))
+    assert max(c for i, c in cell.items() if i % 4 == 0) < min(c for i, c in cell.items() if i % 4)
+
+
+def test_a_rank_makes_its_table_once_and_cuts_it_by_its_rows(spark, monkeypatch):
+    """Bounds of the ranges are told from the table as written, and few rows are not cut into ranges of next to nothing."""
+    made, written, write = spark.sparkContext.accumulator(0), {}, Staging.write
+
+    def pass_on(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    def seen(self, df, what, partition_by=None):
+        out = write(self, df, what, partition_by)
+        written[what] = out
+        return out
+
+    monkeypatch.setattr(Staging, "write", seen)
+    values = spark.range(40_000, numPartitions=4).selectExpr("id", "id * 7919 % 40009 as kd").mapInArrow(pass_on, "id long, kd long")
+    got = ranks.with_rank(values, "kd", "id")
+    assert [r["rank"] for r in got.orderBy("kd").collect()] == list(range(40_000))
+    assert made.value == 40_000 and written["ranges"].select("__range").distinct().count() == 3
